@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chunked_bpe, packing
+from plumbline.llm import chunked_bpe, packing, quality_rules, url_markov
 from plumbline.llm.common import read_table
 
 
@@ -14,13 +14,25 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = quality_rules.apply_rules(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return kept.select("doc_id", *(f"measures.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
+
+
+def op8_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_markov.judge(read_table(spark, sf_dir, "pages", "page_id", "url"))
+
+
 def op9_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked_bpe.round_trip(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op9_chunked_bpe)}
+    return {f.__name__: f for f in (op3_best_fit_packing, op7_quality_rules, op8_url_language_models, op9_chunked_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_quality_rules": quality_rules.oracle_sql(),
+        "op8_url_language_models": url_markov.oracle_sql(),
+    }
