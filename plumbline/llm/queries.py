@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chunked_bpe, packing, quality_rules, url_markov
+from plumbline.llm import chunked_bpe, packing, quality_rules, secret_markov, substring_dedup, url_markov
 from plumbline.llm.common import read_table
 
 
+def op2_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeated(read_table(spark, sf_dir, "documents", "doc_id", "text"), digest=True)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -27,8 +31,14 @@ def op9_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked_bpe.round_trip(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return secret_markov.summary(secret_markov.scan(docs).select("doc_id", "spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op7_quality_rules, op8_url_language_models, op9_chunked_bpe)}
+    found = (op2_difference_cover, op3_best_fit_packing, op7_quality_rules, op8_url_language_models, op9_chunked_bpe, op10_secret_scan)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
