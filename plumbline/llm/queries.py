@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chunked_bpe, packing, quality_rules, secret_markov, simhash_pigeonring, substring_dedup, url_markov
+from plumbline.llm import chunked_bpe, impact_search, packing, quality_rules, secret_markov, simhash_pigeonring, substring_dedup, url_markov
 from plumbline.llm.common import read_table
 
 
@@ -18,6 +18,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_impact_ordered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.top_k(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_pigeonring.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", simhash_pigeonring.hexadecimal("fp").alias("fingerprint"), "component_id")
@@ -42,12 +46,13 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_difference_cover, op3_best_fit_packing, op6_simhash_pigeonring, op7_quality_rules, op8_url_language_models, op9_chunked_bpe, op10_secret_scan)
+    found = (op2_difference_cover, op3_best_fit_packing, op4_impact_ordered_search, op6_simhash_pigeonring, op7_quality_rules, op8_url_language_models, op9_chunked_bpe, op10_secret_scan)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_impact_ordered_search": impact_search.oracle_sql(),
         "op7_quality_rules": quality_rules.oracle_sql(),
         "op8_url_language_models": url_markov.oracle_sql(),
     }
