@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chunked_bpe, impact_search, packing, quality_rules, secret_markov, simhash_pigeonring, substring_dedup, url_markov
+from plumbline.llm import chunked_bpe, cotraining, impact_search, packing, quality_rules, secret_markov, simhash_pigeonring, substring_dedup, url_markov, warc_fixity
 from plumbline.llm.common import read_table
 
 
+def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits all pages against a rehearsal replica with faults."""
+    pages = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return warc_fixity.audit(pages, warc_fixity.rehearsal(pages))
+
+
 def op2_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated(read_table(spark, sf_dir, "documents", "doc_id", "text"), digest=True)
 
@@ -22,6 +28,10 @@ def op4_impact_ordered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_search.top_k(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op5_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_pigeonring.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", simhash_pigeonring.hexadecimal("fp").alias("fingerprint"), "component_id")
@@ -46,12 +56,13 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_difference_cover, op3_best_fit_packing, op4_impact_ordered_search, op6_simhash_pigeonring, op7_quality_rules, op8_url_language_models, op9_chunked_bpe, op10_secret_scan)
+    found = (op1_warc_fixity, op2_difference_cover, op3_best_fit_packing, op4_impact_ordered_search, op5_cotrained_quality, op6_simhash_pigeonring, op7_quality_rules, op8_url_language_models, op9_chunked_bpe, op10_secret_scan)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc_fixity": warc_fixity.oracle_sql(),
         "op4_impact_ordered_search": impact_search.oracle_sql(),
         "op7_quality_rules": quality_rules.oracle_sql(),
         "op8_url_language_models": url_markov.oracle_sql(),
