@@ -183,27 +183,47 @@ def links(fps: DataFrame, *, bits: int = 4, exact: int = 3, most: int = MOST) ->
     return near.unionByName(met).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", shingle: int = 4, bits: int = 4, exact: int = 3, most: int = MOST) -> DataFrame:
-    """A row for each row of ``docs``: its id, ``fp`` (signed) and ``component_id``.
+def grouped(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", shingle: int = 4, bits: int = 4, exact: int = 3, most: int = MOST) -> DataFrame:
+    """A row for each row of ``docs``: id, text_hash (of the text as it is), fp (signed), group and component_id.
 
-    Words are lower-cased (A-Z) runs of ``[^\\\\x20\\\\x09-\\\\x0D]+``; a text of fewer than ``shingle``
-    words is one shingle; one without words, or null, has fingerprint 0 and is linked like any other.
-    component_id is the smallest id reachable over links of at most ``bits`` bits; null ids don't
-    count for it, and a component of null ids has none. Repeated rows stay. An empty table gives no
-    rows. Other columns of ``docs`` are not read.
+    Rows of one component have one group, a fingerprint, also where no id is known.
     """
     folder = shared_folder(docs.sparkSession)
-    rows = docs.select(F.col(id_column).alias("id"), text_of(docs, text).alias("_text"))
+    rows = docs.select(F.col(id_column).alias("id"), text_of(docs, text).alias("_text")).withColumn("text_hash", F.xxhash64("_text"))
     kind = dict(rows.dtypes)["id"]
-    marked = stored(rows.mapInArrow(_fingerprints(shingle), f"id {kind}, fp long"), folder, "fingerprints")
+    marked = rows.select("id", "text_hash", "_text").mapInArrow(_fingerprints(shingle), f"id {kind}, text_hash long, fp long")
+    marked = stored(marked, folder, "fingerprints")
     fps = stored(marked.groupBy("fp").agg(F.min("id").alias("least")), folder, "distinct")
     found = connected_components(links(fps.select("fp"), bits=bits, exact=exact, most=most), folder)
     joined = fps.join(found.withColumnRenamed("node", "fp"), "fp")
     parts = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked_fps = joined.select("fp", "root").join(parts, "root").select("fp", "component_id")
-    of_fp = fps.join(linked_fps, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    of_fp = stored(of_fp, folder, "components")
-    return marked.join(of_fp, "fp").select(F.col("id").alias(id_column), "fp", "component_id")
+    linked_fps = joined.select("fp", "root").join(parts, "root").select("fp", "root", "component_id")
+    of_fp = fps.join(linked_fps, "fp", "left").select("fp", F.coalesce("root", "fp").alias("group"), F.coalesce("component_id", "least").alias("component_id"))
+    return marked.join(stored(of_fp, folder, "components"), "fp").select("id", "text_hash", "fp", "group", "component_id")
+
+
+def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", **options) -> DataFrame:
+    """A row for each row of ``docs``: its id, ``fp`` (signed) and ``component_id``.
+
+    Words are lower-cased (A-Z) runs of ``[^\\x20\\x09-\\x0D]+``; a text of fewer than ``shingle``
+    words is one shingle; one without words, or null, has fingerprint 0 and is linked like any other.
+    component_id is the smallest id reachable over links of at most ``bits`` bits; null ids don't
+    count for it, and a component of null ids has none. Repeated rows stay. An empty table gives no
+    rows. Other columns of ``docs`` are not read.
+    """
+    return grouped(docs, id_column=id_column, **options).select(F.col("id").alias(id_column), "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each component: that of the smallest id, null ids last.
+
+    Of several rows with that id the one of least text hash stays, and of equal rows one.
+    """
+    own = grouped(docs, id_column=id_column, text=text, **options)
+    chosen = own.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("best")).select(F.col("best.id").alias("_id"), F.col("best.text_hash").alias("_hash"))
+    marked = docs.withColumn("_text_hash", F.xxhash64(text_of(docs, text)))
+    kept = marked.join(chosen, marked[id_column].eqNullSafe(chosen["_id"]) & (marked["_text_hash"] == chosen["_hash"]))
+    return kept.dropDuplicates([id_column, "_text_hash"]).select(*docs.columns)
 
 
 def hexadecimal(fp):
