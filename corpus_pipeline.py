@@ -1,28 +1,65 @@
-"""Raw documents to packed training sequences, in stages."""
+"""Raw documents to packed training sequences, in five stages.
+
+Each stage takes all that its predecessor kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm.packing import pack_documents
+from plumbline.llm import packing, quality_rules, secret_markov, simhash_pigeonring, substring_dedup
+from plumbline.llm.common import shared_folder, stored
 
+#: No SQL: fingerprint components, Markov models and best-fit bins have none; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs)
+def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The given columns, n_chars as the changed text has it."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
 
 
-STAGES = [("packing", packing)]
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that keep all quality rules."""
+    return quality_rules.apply_rules(docs).filter("kept").select(*docs.columns)
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES over the documents of sf_dir; each stage but the last is written and read again."""
-    from plumbline.llm.common import shared_folder, stored
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component, that of the smallest doc_id."""
+    return simhash_pigeonring.keep_one(docs)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the words of passages that occur elsewhere too; one may be left empty."""
+    return _with_text(substring_dedup.remove_repeated(docs), docs.columns)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked."""
+    masked = secret_markov.scan(docs, redacted=True)
+    return _with_text(masked.withColumn("text", F.col("redacted")), docs.columns)
 
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their places in sequences of at most 1024 tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("SimHash near-dedup", near_dedup_stage),
+    ("substring dedup", substring_stage),
+    ("secret scan", secret_stage),
+    ("best-fit packing", packing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES over the documents of sf_dir; each stage but the last is written to the shared folder and read again."""
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_folder(spark)
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs, folder, f"{k}-{name.replace(' ', '-')}")
+            docs = stored(docs, folder, f"stage-{k}")
     return docs
