@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from public_tokenizers import PATTERN
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,13 +108,13 @@ def _short(path: str):
 
 def _cut(chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 36
+        n = 0
         for batch in batches:
-            for doc_id, value in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                text = value.as_py()
+            for doc_id, part, value in zip(batch["doc_id"].to_pylist(), batch["part"].to_pylist(), batch["text"], strict=True):
+                text, row = value.as_py(), (part << 36) + n
                 starts = range(0, len(text), chunk)
                 yield pa.RecordBatch.from_pydict({"row": pa.array([row] * len(starts), pa.int64()), "doc_id": pa.array([doc_id] * len(starts), pa.int64()), "chunk": pa.array(range(len(starts)), pa.int32()), "text": pa.array([text[a : a + chunk + overlap] for a in starts], pa.string())})
-                row += 1
+                n += 1
 
     return run
 
@@ -174,7 +173,7 @@ def _digested(path: str):
 def encode_long(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``docs(doc_id, text)`` to (row, doc_id, piece, ids): little-endian ids of each stitched piece."""
     n = partitions_for(docs, 16 << 20, docs.sparkSession.sparkContext.defaultParallelism)
-    chunks = docs.mapInArrow(_cut(chunk, overlap), "row long, doc_id long, chunk int, text string").repartition(n).mapInArrow(_pre_tokenise(chunk, overlap), _CHUNKS)
+    chunks = docs.withColumn("part", F.spark_partition_id()).mapInArrow(_cut(chunk, overlap), "row long, doc_id long, chunk int, text string").repartition(n).mapInArrow(_pre_tokenise(chunk, overlap), _CHUNKS)
     pieces = chunks.repartition(n, "row").sortWithinPartitions("row", "chunk").mapInArrow(_stitched(chunk), "row long, doc_id long, piece int, text string")
     return pieces.repartition(n).mapInArrow(_encoded(path), "row long, doc_id long, piece int, ids binary")
 

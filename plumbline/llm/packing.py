@@ -14,7 +14,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,15 +81,16 @@ def _pieces(path: str, end_id: int, capacity: int):
 
 def _pack(capacity: int, most: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins, task = OpenBins(capacity, most), TaskContext.get().partitionId() << 36
+        bins = OpenBins(capacity, most)
         for batch in batches:
-            placed = []
+            placed, task = [], batch["task"][0].as_py() << 36 if batch.num_rows else 0
             for size in batch["length"].to_pylist():
                 placed.append(bins.place(size) if size < capacity else (bins.started, 0))
                 if size >= capacity:
                     bins.started += 1
             sequence = pa.array([task + n for n, _ in placed], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, sequence, pa.array([o for _, o in placed], pa.int64())], [*batch.schema.names, "sequence_id", "offset"])
+            pieces = batch.drop_columns(["task"])
+            yield pa.RecordBatch.from_arrays([*pieces.columns, sequence, pa.array([o for _, o in placed], pa.int64())], [*pieces.schema.names, "sequence_id", "offset"])
 
     return pack
 
@@ -110,4 +110,6 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, *, capacity: i
     pieces = rows.mapInArrow(_pieces(tokenizer or bpe.default_tokenizer(), end_id, capacity), _PIECES)
     tasks = partitions_for(docs, 128 << 20, 4)
     dealt = pieces.repartition(tasks).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
+    # Spark's number of the partition: a task can work on several of them
+    dealt = dealt.withColumn("task", F.spark_partition_id())
     return dealt.mapInArrow(_pack(capacity, open_bins), _PIECES + ", sequence_id long, offset long")
