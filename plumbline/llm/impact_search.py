@@ -19,19 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import partitions_for
+from plumbline.llm.common import partitions_for, shared_folder, stored
 
 #: Impact levels, rows of an index block, and queries of a query block.
 LEVELS, ROWS, QUERIES = 4, 8192, 2048
 SCALE = 64
 
-_BLOCK = "block long, data binary"
-_HITS = "query_row long, query_id long, vec_id long, score long"
+_HITS = "query_block long, query int, query_id long, vec_id long, score long"
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -74,6 +72,8 @@ def build_index(ids: np.ndarray, x: np.ndarray, levels: int = LEVELS) -> dict[st
     ids, x = ids[order], x[order]
     top = int(np.abs(x).max(initial=0))
     level = levels - 1 - np.minimum(levels - 1, np.abs(x) * levels // (top + 1))
+    if top < 2**31:
+        x = x.astype(np.int32)
     out = {"ids": ids, "x": x}
     rest = [np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))]
     for s in range(levels):
@@ -143,16 +143,15 @@ def search(index: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndar
 
 def _blocks(rows: int, index: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = TaskContext.get().partitionId() << 32, []
+        held: list[pa.RecordBatch] = []
 
         def block_of(n: int) -> pa.RecordBatch:
-            nonlocal block, held
+            nonlocal held
             table = pa.Table.from_batches(held).combine_chunks()
             ids, x = table["vec_id"][:n].to_numpy(), matrix_of(table["x"][:n].combine_chunks())
             held = table[n:].to_batches()
-            block += 1
             data = packed(**build_index(ids, x)) if index else packed(ids=ids, x=x)
-            return pa.RecordBatch.from_pydict({"block": pa.array([block - 1], pa.int64()), "data": pa.array([data], pa.binary())})
+            return pa.RecordBatch.from_pydict({"data": pa.array([data], pa.binary())})
 
         for batch in batches:
             held.append(batch)
@@ -173,24 +172,30 @@ def top_k(vectors: DataFrame, k: int = 20, *, every: int = 20, scale: int = SCAL
     filled with zeros. A repeated row is a candidate each time, and a repeated query has its k rows
     each time. Scores must fit 64 bits. Other columns of ``vectors`` are not read.
     """
-    rows = quantised(vectors, scale)
+    rows, folder = quantised(vectors, scale), shared_folder(vectors.sparkSession)
     n = partitions_for(vectors, 2 << 20)
-    index = rows.repartition(n).mapInArrow(_blocks(ROWS, True), _BLOCK)
-    queries = rows.filter(F.col("vec_id") % every == 0).repartition(math.ceil(n / every)).mapInArrow(_blocks(QUERIES, False), _BLOCK)
+
+    def blocks(part: DataFrame, tasks: int, most: int, index: bool, name: str) -> DataFrame:
+        found = part.repartition(tasks).mapInArrow(_blocks(most, index), "data binary")
+        return stored(found.select(F.monotonically_increasing_id().alias(f"{name}_block"), F.col("data").alias(f"{name}_data")), folder, name)
+
+    index = blocks(rows, n, ROWS, True, "index")
+    queries = blocks(rows.filter(F.col("vec_id") % every == 0), math.ceil(n / every), QUERIES, False, "query")
 
     def search_pair(table: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"query_row": [], "query_id": [], "vec_id": [], "score": []}
-        for block, data, query_data in zip(table["query_block"].to_pylist(), table["data"], table["query_data"], strict=True):
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
+        for block, data, query_data in zip(table["query_block"].to_pylist(), table["index_data"], table["query_data"], strict=True):
             own = unpacked(query_data.as_py())
             for q, ids, scores in search(unpacked(data.as_py()), own["ids"], own["x"], k):
-                values = (np.full(len(ids), (block << 12) + q), np.full(len(ids), own["ids"][q]), ids, scores)
-                for column, value in zip(out.values(), values, strict=True):
+                values = (np.full(len(ids), block), np.full(len(ids), q), np.full(len(ids), own["ids"][q]), ids, scores)
+                for column, value in zip(out, values, strict=True):
                     column.append(value)
-        return pa.table({c: pa.array(np.concatenate([*v, np.empty(0, np.int64)]).astype(np.int64)) for c, v in out.items()})
+        kinds = (np.int64, np.int32, np.int64, np.int64, np.int64)
+        names = ("query_block", "query", "query_id", "vec_id", "score")
+        return pa.table({c: np.concatenate([*v, np.empty(0, t)]).astype(t) for c, v, t in zip(names, out, kinds, strict=True)})
 
-    pairs = index.join(queries.select(F.col("block").alias("query_block"), F.col("data").alias("query_data")))
-    hits = pairs.groupBy("block", "query_block").applyInArrow(search_pair, _HITS)
-    order = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    hits = index.crossJoin(queries).groupBy("index_block", "query_block").applyInArrow(search_pair, _HITS)
+    order = W.partitionBy("query_block", "query").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
