@@ -127,6 +127,16 @@ def apply_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
     return out.withColumn("broken", compile_rules((*base, *rules))).withColumn("kept", F.size("broken") == 0)
 
 
+def only_kept(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
+    """The rows of ``docs`` that break no rule, in their own columns.
+
+    A row number stands between the measures and the filter. Without it the optimizer pushes the
+    filter below the projection and copies the measures into it once for each rule.
+    """
+    out = measured(docs, text).withColumn("_row", F.monotonically_increasing_id())
+    return out.filter((F.size(compile_rules((*base, *rules))) == 0) & (F.col("_row") >= 0)).select(*docs.columns)
+
+
 def oracle_sql(rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE_RULES) -> str:
     """The query's rows in DuckDB SQL."""
     word = r"[^\x20\x09-\x0D]+"
