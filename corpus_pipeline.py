@@ -22,7 +22,7 @@ def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that keep all quality rules."""
-    return quality_rules.apply_rules(docs).filter("kept").select(*docs.columns)
+    return quality_rules.only_kept(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
