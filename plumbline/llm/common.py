@@ -8,14 +8,15 @@ word's 64-bit hash, a polynomial over word hashes that of a window.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.storage import shared_folder, stored
+
 #: The six separators between words.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -146,30 +147,32 @@ def partitions_for(df: DataFrame, each: int, least: int = 1) -> int:
     return max(least, min(2**20, math.ceil(size / each))) if size < 2**60 else max(least, shuffle_partitions(df.sparkSession))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which executors and driver share.
+def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.select(*columns) if columns else df
 
-    Where the setting is absent, as in tests, a local one is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have yet, whatever columns it brings."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Writes a DataFrame to the shared folder and reads it back: lineage ends there, and a lost executor costs a read."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns by their names as they are, dots included."""
+    return [F.col(f"`{c}`") for c in df.columns]
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+
+def plainly_named(df: DataFrame) -> DataFrame:
+    """The same columns as c0, c1, ...: Python functions can't take names with dots."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
 
 
 def text_of(df: DataFrame, column: str = "text"):
     """A text column with null as the empty text."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
+
+
+__all__ = ["free_name", "own_columns", "plainly_named", "shared_folder", "stored"]

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import own_columns
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 
@@ -122,9 +124,16 @@ def apply_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
     rows and further columns pass through, but for columns that are named like an added one, which
     are replaced.
     """
-    out = measured(docs, text)
+    added = ("measures", "base_failed", "broken", "kept")
+    out = measured(_boxed(docs, text), "text")
     out = out.withColumn("base_failed", F.size(compile_rules(base)) > 0)
-    return out.withColumn("broken", compile_rules((*base, *rules))).withColumn("kept", F.size("broken") == 0)
+    out = out.withColumn("broken", compile_rules((*base, *rules))).withColumn("kept", F.size("broken") == 0)
+    return out.select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c.lower() not in added), *added)
+
+
+def _boxed(docs: DataFrame, text: str) -> DataFrame:
+    """All columns in one struct beside the text, so that no name clashes with one of the measures' steps."""
+    return docs.select(F.struct(*own_columns(docs)).alias("doc"), F.col(f"`{text}`").alias("text"))
 
 
 def only_kept(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
@@ -133,8 +142,9 @@ def only_kept(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RUL
     A row number stands between the measures and the filter. Without it the optimizer pushes the
     filter below the projection and copies the measures into it once for each rule.
     """
-    out = measured(docs, text).withColumn("_row", F.monotonically_increasing_id())
-    return out.filter((F.size(compile_rules((*base, *rules))) == 0) & (F.col("_row") >= 0)).select(*docs.columns)
+    out = measured(_boxed(docs, text), "text").withColumn("_row", F.monotonically_increasing_id())
+    kept = out.filter((F.size(compile_rules((*base, *rules))) == 0) & (F.col("_row") >= 0))
+    return kept.select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE_RULES) -> str:

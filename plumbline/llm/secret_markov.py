@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.llm.common import text_of, text_slices
+from plumbline.llm.common import plainly_named, text_of, text_slices
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -163,12 +164,12 @@ def _scan(model: Model, redacted: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x.as_py() for x in batch["_text"]]
+            texts = [x.as_py() for x in batch["text"]]
             spans = [all_spans(x, model) for x in texts]
             added = [pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in own] for own in spans], kind)]
             if redacted:
                 added.append(pa.array([redact(x, own) for x, own in zip(texts, spans, strict=True)], pa.string()))
-            kept = [c for c in batch.schema.names if c != "_text"]
+            kept = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *added], [*kept, "spans", *["redacted"] * redacted])
 
     return run
@@ -194,10 +195,12 @@ def scan(docs: DataFrame, model: Model | None = None, *, text: str = "text", red
     pass without a shuffle; the model is trained on ``docs`` if none is given.
     """
     model = model or train(docs, text=text)
-    kept = docs.drop("spans", "redacted", "_text")
-    rows = kept.withColumn("_text", text_of(docs, text))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return rows.mapInArrow(_scan(model, redacted), f"{fields}, spans array<struct<kind: string, start: bigint, end: bigint>>" + ", redacted string" * redacted)
+    rows = plainly_named(docs).select("*", text_of(plainly_named(docs), f"c{docs.columns.index(text)}").alias("text"))
+    added = "spans array<struct<kind: string, start: bigint, end: bigint>>" + ", redacted string" * redacted
+    schema = T.StructType([*rows.drop("text").schema.fields, *T.StructType.fromDDL(added).fields])
+    new = ("spans", "redacted") if redacted else ("spans",)
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in new]
+    return rows.mapInArrow(_scan(model, redacted), schema).select(*kept, *new)
 
 
 def joined(spans: Column) -> Column:

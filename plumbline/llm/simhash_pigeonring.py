@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import shared_folder, stored, text_of
-from plumbline.llm.graph import connected_components
+from plumbline.llm.common import free_name, own_columns, shared_folder, stored, text_of
+from plumbline.operators.graph import connected_components
 
 SEGMENTS, WIDTH = 8, 8
 #: Members of a candidate group that are compared with each other.
@@ -220,10 +220,12 @@ def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text",
     Of several rows with that id the one of least text hash stays, and of equal rows one.
     """
     own = grouped(docs, id_column=id_column, text=text, **options)
-    chosen = own.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("best")).select(F.col("best.id").alias("_id"), F.col("best.text_hash").alias("_hash"))
-    marked = docs.withColumn("_text_hash", F.xxhash64(text_of(docs, text)))
-    kept = marked.join(chosen, marked[id_column].eqNullSafe(chosen["_id"]) & (marked["_text_hash"] == chosen["_hash"]))
-    return kept.dropDuplicates([id_column, "_text_hash"]).select(*docs.columns)
+    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash"))
+    id_name, hash_name, own_hash = (free_name(docs, n) for n in ("_kept_id", "_kept_hash", "_text_hash"))
+    chosen = own.groupBy("group").agg(best.alias("b")).select(F.col("b.id").alias(id_name), F.col("b.text_hash").alias(hash_name))
+    marked = docs.withColumn(own_hash, F.xxhash64(text_of(docs, text)))
+    kept = marked.join(chosen, F.col(f"`{id_column}`").eqNullSafe(F.col(id_name)) & (F.col(own_hash) == F.col(hash_name)))
+    return kept.dropDuplicates([id_column, own_hash]).select(*own_columns(docs))
 
 
 def hexadecimal(fp):

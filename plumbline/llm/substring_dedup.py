@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.llm.common import WINDOW_BASES, hash_windows, hash_words, input_bytes, shuffle_partitions, text_of, text_slices, word_spans
+from plumbline.llm.common import WINDOW_BASES, hash_windows, hash_words, input_bytes, plainly_named, shuffle_partitions, text_of, text_slices, word_spans
 
 #: Words of a window.
 LENGTH = 35
@@ -150,11 +151,11 @@ def _by_stage(table: pa.Table) -> dict[int, dict[int, bytes]]:
 class Bucket:
     """The texts of a bucket, gone through slice by slice in the same order at each stage."""
 
-    def __init__(self, plan: Plan, texts: pa.Table) -> None:
+    def __init__(self, plan: Plan, texts: pa.ChunkedArray) -> None:
         self.plan, self.texts = plan, texts
 
     def slices(self):
-        for i, j, data, limits in text_slices(self.texts["text"]):
+        for i, j, data, limits in text_slices(self.texts):
             yield i, j, data, self.plan.words(data, limits)
 
     def anchors(self) -> np.ndarray:
@@ -236,32 +237,36 @@ def remove_repeated(docs: DataFrame, *, text: str = "text", length: int = LENGTH
     spark = docs.sparkSession
     n, shards = bucket_count(docs), shuffle_partitions(spark)
     plan = Plan(length, period, cover, shards)
-    kept = docs.drop("n_words", "n_removed", "kept_sha256", "bucket")
-    body = text_of(kept, text)
-    others = [c for c in kept.columns if c != text]
-    seed = F.xxhash64(body, *others) if all("map" not in t for _, t in kept.select(*others).dtypes) else F.xxhash64(body)
+    inner = plainly_named(docs)
+    at = docs.columns.index(text)
+    others = [c for i, c in enumerate(inner.columns) if i != at]
+    plain = [F.col(c) for c, kind in inner.dtypes if c in others and "map<" not in kind and "variant" not in kind]
+    seed = F.xxhash64(text_of(inner, f"c{at}"), *plain)
     # the same exchange serves all three stages
-    dealt = kept.select(*others, F.col(text).cast("string").alias("text"), F.pmod(seed, F.lit(n)).cast("int").alias("bucket")).repartition(shards, "bucket")
+    dealt = inner.select(*others, F.col(f"c{at}").cast("string").alias("text"), F.pmod(seed, F.lit(n)).cast("int").alias("bucket")).repartition(shards, "bucket")
 
     def anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return _packed(plan, key[0].as_py(), Bucket(plan, table).anchors())
+        return _packed(plan, key[0].as_py(), Bucket(plan, table["text"]).anchors())
 
     def windows(key: tuple[pa.Scalar, ...], answers: pa.Table, table: pa.Table) -> pa.Table:
-        return _packed(plan, key[0].as_py(), Bucket(plan, table).windows(_by_stage(answers)[0]))
+        return _packed(plan, key[0].as_py(), Bucket(plan, table["text"]).windows(_by_stage(answers)[0]))
 
     def removed(key: tuple[pa.Scalar, ...], answers: pa.Table, table: pa.Table) -> pa.Table:
         rows: list[tuple] = []
-        column = table["text"].combine_chunks() if isinstance(table["text"], pa.ChunkedArray) else table["text"]
-        for row, data, starts, ends, gone in Bucket(plan, table).removed(_by_stage(answers)):
+        column = table["text"].combine_chunks()
+        for row, data, starts, ends, gone in Bucket(plan, table["text"]).removed(_by_stage(answers)):
             value = digest_of(data, starts, ends, gone) if digest else kept_text(column[row].as_py(), data, starts, ends, gone)
             rows.append((len(starts), int(gone.sum()), value))
         n_words, n_removed, values = zip(*rows, strict=True) if rows else ((), (), ())
-        columns = {c: table[c] for c in others} | {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), ("kept_sha256" if digest else text): pa.array(values, pa.string())}
+        columns = {c: table[c] for c in others} | {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "value": pa.array(values, pa.string())}
         return pa.table(columns)
 
     first = dealt.groupBy("bucket").applyInArrow(anchors, _PACKED).groupBy("shard").applyInArrow(_answers(1, 0), _ANSWER)
     both = lambda answers, f, schema: answers.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(f, schema)
     second = both(first, windows, _PACKED).groupBy("shard").applyInArrow(_answers(2, 1), _ANSWER)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != text]
-    schema = ", ".join([*fields, "n_words long", "n_removed long", "kept_sha256 string" if digest else f"`{text}` string"])
-    return both(first.unionByName(second), removed, schema)
+    schema = T.StructType([*inner.select(*others).schema.fields, *T.StructType.fromDDL("n_words long, n_removed long, value string").fields])
+    out = both(first.unionByName(second), removed, schema)
+    new = ["n_words", "n_removed", *["kept_sha256"] * digest]
+    value = F.col("value").alias("kept_sha256" if digest else text)
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if i != at and c.lower() not in new]
+    return out.select(*kept, "n_words", "n_removed", value)
