@@ -17,7 +17,7 @@ ORACLE_SQL = None
 
 def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The given columns, n_chars as the changed text has it."""
-    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*(F.col(f"`{c}`") for c in columns))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
