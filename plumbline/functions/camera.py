@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import linalg as L
+from plumbline.functions.binding import bind_all
 from plumbline.functions.linalg import entries, num, pack
 
 
@@ -302,3 +303,6 @@ def scale_2d(s, center=(0.0, 0.0)) -> Column:
 def apply_2d(m, p) -> Column:
     m, (x, y) = entries(m, 9), entries(p, 2)
     return pack([m[0] * x + m[1] * y + m[2], m[3] * x + m[4] * y + m[5]])
+
+
+bind_all(globals(), __name__, ("pixel_grid",))

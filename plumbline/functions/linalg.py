@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plumbline.functions.binding import bind_all
+
 Entries = list[Column]
 
 
@@ -178,3 +180,6 @@ def to_4x4(rotation, translation) -> Column:
 
 def homogeneous(v, n: int = 3) -> Column:
     return pack([*entries(v, n), 1])
+
+
+bind_all(globals(), __name__, ("num", "col", "pack", "entries", "add_all", "identity"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plumbline.functions import linalg as L
+from plumbline.functions.binding import bind_all
 from plumbline.functions.linalg import entries, num, pack
 
 #: Below this squared angle series replace quotients.
@@ -484,3 +485,6 @@ def points_to_world(point, rotation, translation) -> Column:
 
 def pose_inverse(transform) -> Column:
     return L.inverse_rigid(transform)
+
+
+bind_all(globals(), __name__)

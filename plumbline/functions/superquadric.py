@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import linalg as L
+from plumbline.functions.binding import bind_all
 from plumbline.functions import rotation as R
 from plumbline.functions.linalg import entries, num, pack
 
@@ -107,3 +108,6 @@ def uv_sphere(uv, radius: float = 1.0) -> Column:
     u, v = entries(uv, 2)
     phi, theta = (u - 0.5) * (2 * math.pi), v * math.pi
     return pack([radius * F.sin(theta) * F.cos(phi), radius * F.sin(theta) * F.sin(phi), radius * F.cos(theta)])
+
+
+bind_all(globals(), __name__, ("inside_loss", "surface_samples", "random_samples", "equal_arc_angles", "superquadric_mesh"))

@@ -115,7 +115,8 @@ def normals_from_points(df: DataFrame, by: Sequence[str] = ("t",), mask: str | N
     diff = lambda c: [F.col(f"{c}.{k}") - F.col(k) for k in ("px", "py", "pz")]
     units = [L.normalize(L.cross(diff(a), diff(b))) for a, b in (("_u", "_l"), ("_l", "_d"), ("_d", "_r"), ("_r", "_u"))]
     valid = valid.withColumn("_n", F.filter(F.array(*units), lambda n: n.isNotNull() & F.get(n, F.lit(0)).isNotNull()))
-    total = [F.aggregate("_n", F.lit(0.0), lambda s, n, i=i: s + F.get(n, F.lit(i))) for i in range(3)]
+    summed = lambda i: F.aggregate("_n", F.lit(0.0), lambda s, n: s + F.get(n, F.lit(i)))
+    total = [summed(i) for i in range(3)]
     unit = L.normalize(total)
     return valid.withColumn("_m", unit).select("*", *(F.get("_m", F.lit(i)).alias(f"n{c}") for i, c in enumerate("xyz"))).drop("_u", "_l", "_d", "_r", "_n", "_m")
 
