@@ -82,7 +82,7 @@ def first_file(files: DataFrame) -> DataFrame:
 
 def split_name(column) -> tuple:
     """Date, scene and method of ``<date>_<scene>_<method>``; a method ``trimesh`` is joined to the one before it."""
-    pattern = r"^([^_]+)_(.+)_([^_]+(?:_trimesh)?)$"
+    pattern = r"^([^_]+)_(.+?)_([^_]+(?:_trimesh)?)$"
     return tuple(F.regexp_extract(column, pattern, i) for i in (1, 2, 3))
 
 
