@@ -172,7 +172,7 @@ def _digested(path: str):
 
 def encode_long(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``docs(doc_id, text)`` to (row, doc_id, piece, ids): little-endian ids of each stitched piece."""
-    n = partitions_for(docs, 16 << 20, docs.sparkSession.sparkContext.defaultParallelism)
+    n = partitions_for(docs, 4 << 20, docs.sparkSession.sparkContext.defaultParallelism)
     chunks = docs.withColumn("part", F.spark_partition_id()).mapInArrow(_cut(chunk, overlap), "row long, doc_id long, chunk int, text string").repartition(n).mapInArrow(_pre_tokenise(chunk, overlap), _CHUNKS)
     pieces = chunks.repartition(n, "row").sortWithinPartitions("row", "chunk").mapInArrow(_stitched(chunk), "row long, doc_id long, piece int, text string")
     return pieces.repartition(n).mapInArrow(_encoded(path), "row long, doc_id long, piece int, ids binary")
@@ -189,6 +189,6 @@ def round_trip(docs: DataFrame, ranks: str | None = None, *, chunk: int = CHUNK,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     short = rows.filter(F.length("text") <= chunk).mapInArrow(_short(path), _DIGESTS)
     ids = encode_long(rows.filter(F.length("text") > chunk), path, chunk, overlap)
-    n = partitions_for(docs, 64 << 20, docs.sparkSession.sparkContext.defaultParallelism)
+    n = partitions_for(docs, 16 << 20, docs.sparkSession.sparkContext.defaultParallelism)
     long = ids.repartition(n, "row").sortWithinPartitions("row", "piece").mapInArrow(_digested(path), _DIGESTS)
     return short.unionByName(long)
