@@ -68,8 +68,7 @@ def rand_index(cells: DataFrame) -> DataFrame:
 
 def variation_of_information(cells: DataFrame) -> DataFrame:
     """In bits: both conditional entropies."""
-    total = F.sum("n").over(W.partitionBy(F.lit(0)))
-    small = cells.select("n", "n_gt", "n_pred", total.alias("total"))
+    small = cells.select("n", "n_gt", "n_pred").join(cells.agg(F.sum("n").alias("total")))
     part = lambda m: F.sum(-(F.col("n") / F.col("total")) * F.log2(F.col("n") / F.col(m)))
     return small.agg(part("n_gt").alias("split"), part("n_pred").alias("merge")).select("split", "merge", (F.col("split") + F.col("merge")).alias("voi"))
 
@@ -179,7 +178,8 @@ def segment_modes(df: DataFrame, by: Sequence[str], value: str, spread: str, *,
 def contact_report(contacts: DataFrame) -> DataFrame:
     """``(t, v, touch)``: percentage of touching vertices by frame, and over frames."""
     frames = contacts.groupBy("t").agg((100 * F.avg(F.col("touch").cast("double"))).alias("percent_vertices"), F.max("touch").alias("any"))
-    return frames.withColumn("percent_frames", 100 * F.avg(F.col("any").cast("double")).over(W.partitionBy(F.lit(0)))).drop("any")
+    share = frames.agg((100 * F.avg(F.col("any").cast("double"))).alias("percent_frames"))
+    return frames.drop("any").join(share)
 
 
 def segment_report(members: DataFrame) -> DataFrame:

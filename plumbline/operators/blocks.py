@@ -73,7 +73,8 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, *, exclude_same_id:
     def blocks(df: DataFrame, name: str) -> DataFrame:
         rows = df.select(F.col("id").cast("long").alias("id"), F.transform("x", lambda v: v.cast("double")).alias("x")).dropna()
         size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-        n = max(1, min(4096, math.ceil(size / (1 << 20))))
+        known = size < 2**60  # else the plan's size is unknown
+        n = max(1, math.ceil(size / (1 << 20))) if known else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         found = rows.repartition(n).mapInArrow(_packed, "data binary")
         return stored(found.select(F.monotonically_increasing_id().alias(name), F.col("data").alias(f"{name}_data")), folder, name)
 

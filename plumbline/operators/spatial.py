@@ -53,10 +53,13 @@ def radius_join(left: DataFrame, right: DataFrame, coords: Sequence[str], radius
         condition = [keyed[k] == others[k] for k in keys]
         for c in condition:
             near = near & c
-        semi = keyed.join(others, near, "left_semi").drop(*keys)
+        kept = keyed.join(others, near, how).drop(*keys)
         if how == "left_semi":
-            return semi
-        return left.exceptAll(semi.select(*left.columns))
+            return kept
+        absent = F.lit(False)
+        for c in coords:
+            absent = absent | F.col(c).isNull()
+        return kept.unionByName(left.filter(absent))
     joined = keyed.join(others, keys).filter(near)
     d = F.sqrt(squared_distance([F.col(c) for c in coords], [F.col(f"_r_{c}") for c in coords]))
     return joined.withColumn("distance", d).drop(*keys, *(f"_r_{c}" for c in coords))
@@ -169,6 +172,17 @@ def interpolate(samples: DataFrame, knots: DataFrame, by: Sequence[str], time: s
     return found.select(*by, time, *(lerp(v).alias(v) for v in values))
 
 
+def interpolate_poses(samples: DataFrame, knots: DataFrame, by: Sequence[str], time: str, pose: str) -> DataFrame:
+    """4x4 poses at the samples' times between those of the knots; constant beyond the ends."""
+    from plumbline.functions import rotation as R
+
+    found = as_of(samples, knots, by, time, [pose])
+    u = (F.col(time) - F.col(f"prev_{time}")) / F.greatest(F.col(f"next_{time}") - F.col(f"prev_{time}"), F.lit(1e-12))
+    between = R.lerp_se3_matrix(F.col(f"prev_{pose}"), F.col(f"next_{pose}"), u)
+    inner = F.col(f"prev_{pose}").isNotNull() & F.col(f"next_{pose}").isNotNull()
+    return found.select(*by, time, F.when(inner, between).otherwise(F.coalesce(f"prev_{pose}", f"next_{pose}")).alias(pose))
+
+
 def semi_by_key(rows: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows whose key is among ``keys``, such as contact vertices of a body part."""
     return rows.join(keys.select(*on).distinct(), list(on), "left_semi")
