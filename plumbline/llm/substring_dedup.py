@@ -218,9 +218,11 @@ def bucket_count(docs: DataFrame) -> int:
 
     Buckets times shards are rows of the exchange, so both must not grow with the input.
     """
-    size = min(input_bytes(docs), 2**60)
+    size, least = input_bytes(docs), shuffle_partitions(docs.sparkSession)
+    if size >= 2**60:  # the plan's size is unknown
+        return 8 * least
     each = min(16.0, max(1.0, math.sqrt(size / 2**30))) * 2**20
-    return int(min(2**24, max(shuffle_partitions(docs.sparkSession), math.ceil(size / each))))
+    return int(min(2**24, max(least, math.ceil(size / each))))
 
 
 def remove_repeated(docs: DataFrame, *, text: str = "text", length: int = LENGTH, period: int = PERIOD, cover: tuple[int, ...] = COVER, digest: bool = False) -> DataFrame:
