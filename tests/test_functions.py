@@ -61,17 +61,19 @@ def test_so3_laws(groups):
 
 
 def test_se3_laws(groups):
-    a, b, c = (R.se3_from(F.col(q), F.col(t)) for q, t in (("a", "v"), ("b", "u"), ("c", "v")))
-    v, tangent = F.col("u"), L.pack([*L.entries("v", 3), *L.entries("w", 3)])
-    close(groups, R.se3_multiply(a, R.se3_inverse(a)), R.se3_identity())
-    close(groups, R.se3_multiply(R.se3_multiply(a, b), c), R.se3_multiply(a, R.se3_multiply(b, c)))
-    close(groups, R.se3_apply(a, v), L.apply_transform(R.se3_as_matrix(a), v))
-    close(groups, R.se3_log(R.se3_exp(tangent)), tangent, 1e-6)
-    close(groups, R.se3_as_matrix(R.se3_from_matrix(R.se3_as_matrix(a))), R.se3_as_matrix(a), 1e-7)
-    close(groups, L.inverse_rigid(R.se3_as_matrix(a)), R.se3_as_matrix(R.se3_inverse(a)))
-    close(groups, L.inverse(R.se3_as_matrix(a), 4), L.inverse_rigid(R.se3_as_matrix(a)), 1e-7)
-    adjoint = L.matvec(R.se3_adjoint(a), tangent, 6)
-    close(groups.filter("i % 3 = 0"), R.se3_as_matrix(R.se3_exp(adjoint)), R.se3_as_matrix(R.se3_multiply(R.se3_multiply(a, R.se3_exp(tangent)), R.se3_inverse(a))), 1e-6)
+    elements = [R.se3_from(F.col(q), F.col(t)).alias(n) for n, q, t in (("a", "a", "v"), ("b", "b", "u"), ("c", "c", "v"))]
+    g = groups.select("i", "u", *elements, L.pack([*L.entries("v", 3), *L.entries("w", 3)]).alias("x")).cache()
+    a, b, c, v, x = (F.col(k) for k in "abcux")
+    close(g, R.se3_multiply(a, R.se3_inverse(a)), R.se3_identity())
+    close(g, R.se3_multiply(R.se3_multiply(a, b), c), R.se3_multiply(a, R.se3_multiply(b, c)))
+    close(g, R.se3_log(R.se3_exp(x)), x, 1e-6)
+    m = g.select("*", R.se3_as_matrix(a).alias("m"), R.se3_as_matrix(R.se3_inverse(a)).alias("n"), L.matvec(R.se3_adjoint(a), x, 6).alias("moved"), R.se3_exp(x).alias("e")).cache()
+    close(m, R.se3_apply(a, v), L.apply_transform("m", v))
+    close(m, R.se3_as_matrix(R.se3_from_matrix("m")), F.col("m"), 1e-7)
+    close(m, L.inverse_rigid("m"), F.col("n"))
+    close(m, L.inverse("m", 4), F.col("n"), 1e-7)
+    h = m.select("i", R.se3_exp("moved").alias("p"), R.se3_multiply(R.se3_multiply(a, F.col("e")), R.se3_inverse(a)).alias("q")).cache()
+    close(h.filter("i % 3 = 0"), R.se3_as_matrix("p"), R.se3_as_matrix("q"), 1e-6)
 
 
 def test_plane_groups(groups):
