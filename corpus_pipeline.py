@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import packing, quality_rules, secret_markov, simhash_pigeonring, substring_dedup
+from plumbline.llm import near_copies, packing, quality_rules, secret_markov, substring_dedup
 from plumbline.llm.common import shared_folder, stored
 
 #: No SQL: fingerprint components, Markov models and best-fit bins have none; the stages are tested against brute force.
@@ -26,8 +26,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, that of the smallest doc_id."""
-    return simhash_pigeonring.keep_one(docs)
+    """One document of each near-duplicate component, that of the smallest doc_id.
+
+    Linked are texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+    """
+    return near_copies.keep_one(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -219,7 +219,11 @@ def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text",
 
     Of several rows with that id the one of least text hash stays, and of equal rows one.
     """
-    own = grouped(docs, id_column=id_column, text=text, **options)
+    return chosen_rows(docs, grouped(docs, id_column=id_column, text=text, **options), id_column=id_column, text=text)
+
+
+def chosen_rows(docs: DataFrame, own: DataFrame, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each group of ``own(id, text_hash, group)`` the row of ``docs`` that stays."""
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash"))
     id_name, hash_name, own_hash = (free_name(docs, n) for n in ("_kept_id", "_kept_hash", "_text_hash"))
     chosen = own.groupBy("group").agg(best.alias("b")).select(F.col("b.id").alias(id_name), F.col("b.text_hash").alias(hash_name))
