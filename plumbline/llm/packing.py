@@ -66,7 +66,7 @@ def _pieces(path: str, end_id: int, capacity: int):
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids = np.append(encoding.encode_to_numpy(text.as_py(), disallowed_special=()).astype("<u4"), np.uint32(end_id)).astype("<u4")
+                ids = np.append(encoding.encode_to_numpy(text.as_py(), allowed_special="all").astype("<u4"), np.uint32(end_id)).astype("<u4")
                 first = len(ids) % capacity or min(capacity, len(ids))
                 a, piece = 0, 0
                 while a < len(ids):
@@ -102,7 +102,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, *, capacity: i
     which only the first may be shorter. Returns a row for each piece: doc_id, piece, start,
     length, ids_crc32, sequence_id, offset.
 
-    A null or empty text is the end id alone. Null and repeated doc_ids are packed like any other
+    Added tokens of the tokenizer's file have their own ids where a text holds them. A null or empty text is the end id alone. Null and repeated doc_ids are packed like any other
     row. Ties go to any bin of the same free space. An empty table gives no rows. Other columns
     of ``docs`` are not read.
     """

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import corpus_pipeline
+import numpy as np
+from tokenizers import Tokenizer
+
+from plumbline.llm import bpe, packing
 
 from .conftest import DOCS, prose
 
@@ -35,3 +40,12 @@ def test_the_pipeline_drops_what_is_alike_by_five_words(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS).repartition(3)
     left = {x["doc_id"] for x in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()}
     assert left == set(root)
+
+
+def test_packing_takes_the_ids_of_added_tokens(spark):
+    texts = ["hi <|endoftext|> there", "<|endoftext|><|endoftext|>\n x", "a<|endoftext|", " <|endoftext|>"]
+    tokenizer = Tokenizer.from_file(bpe.default_tokenizer())
+    want = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert want[0] == [5303, 220, 50256, 612, 2]
+    got = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in got} == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
