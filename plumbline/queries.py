@@ -574,8 +574,7 @@ def overlay_merge(spark, sf_dir):
 
 @query("SELECT p_partkey, split_part(p_name, ' ', 1) AS head, lpad(cast(p_partkey AS varchar), 5, '0') AS frame, p_partkey || '_' || p_size AS key FROM part WHERE p_partkey < 100000")
 def split_names(spark, sf_dir):
-    p = table(spark, sf_dir, "part").filter("p_partkey < 100000")
-    return p.select("p_partkey", F.substring_index("p_name", " ", 1).alias("head"), tables.frame_name(F.col("p_partkey")).alias("frame"), tables.component_key(F.col("p_partkey"), F.col("p_size")).alias("key"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.substring_index("p_name", " ", 1).alias("head"), tables.frame_name(F.col("p_partkey")).alias("frame"), tables.component_key(F.col("p_partkey"), F.col("p_size")).alias("key"))
 
 
 # scalar functions

@@ -92,7 +92,9 @@ def sequence_name(column):
 
 
 def frame_name(column, width: int = 5):
-    return F.lpad(column.cast("string"), width, "0")
+    """Zero-padded to ``width`` digits; longer numbers keep all of theirs."""
+    digits = column.cast("string")
+    return F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), "0")
 
 
 def component_key(frame, segment):

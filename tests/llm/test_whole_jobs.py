@@ -9,6 +9,7 @@ import corpus_pipeline
 import numpy as np
 from tokenizers import Tokenizer
 
+from plumbline import queries as core
 from plumbline.llm import bpe, packing
 
 from .conftest import DOCS, prose
@@ -49,3 +50,9 @@ def test_packing_takes_the_ids_of_added_tokens(spark):
     assert want[0] == [5303, 220, 50256, 612, 2]
     got = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in got} == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
+
+
+def test_split_names_keeps_all_parts_and_digits(spark, tmp_path):
+    spark.createDataFrame([(7, "a b", 1), (10000, "c d", 2), (100000, "e f", 3), (1234567, "g h", 4)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["p_partkey"]: r["frame"] for r in core.split_names(spark, str(tmp_path)).collect()}
+    assert got == {i: f"{i:05d}" for i in (7, 10000, 100000, 1234567)}
