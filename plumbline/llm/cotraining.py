@@ -1,30 +1,34 @@
 """Quality classifier by co-training on two views of a document.
 
 One view is its text (hashed words and shape), the other its metadata (language, source, length).
-A logistic model of each view is fitted on labelled documents. Over some rounds each gives its most
-confident verdicts on a pool of unlabelled documents to the other as pseudo-labels, in the
+A logistic model of each view is fitted on labelled documents. Over some rounds each judges all
+unlabelled documents and gives its most confident verdicts to the other as pseudo-labels, in the
 proportion of the classes. Labelled documents kept apart calibrate both views (Platt scaling) and
 weigh them; the combined model scores every document.
 
-Fitting uses a bounded, documented sample: at most LABELLED labelled and POOL unlabelled documents,
-those of least hash. Scoring is one pass over all documents without a shuffle.
+Features are computed once and stored; each round is a pass over all of them. Fitting uses bounded,
+documented samples, those of least hash: at most LABELLED labelled documents, and of the confident
+share of all unlabelled ones at most POOL pseudo-labelled documents a view.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import hash_words, text_of, text_slices, word_spans
+from plumbline.llm.common import hash_words, shared_folder, stored, text_of, text_slices, word_spans
 
-#: Bounds of the sample that is fitted on, and buckets of hashed words.
+#: Bounds of the samples that are fitted on, and buckets of hashed words.
 LABELLED, POOL, WORDS = 6000, 4000, 2048
+#: Rounds of exchange, and steps of a probability that are told apart there.
+ROUNDS, BINS = 4, 10000
 SHAPE, META = 8, 256
 
 _SYMBOL = np.zeros(256, dtype=np.float64)
@@ -130,40 +134,36 @@ def _dense_meta(cells: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_views(text: np.ndarray, meta: np.ndarray, label: np.ndarray, *, rounds: int = 4, each: float = 0.05, confident: float = 0.9, held_out: float = 0.25) -> Classifier:
-    """Co-trains on rows with ``label`` 0 or 1 and exchanges verdicts on those with -1.
+def _fit_view(x: np.ndarray, y: np.ndarray, n_train: int) -> Logistic:
+    """Fits labelled rows, of which there are n_train, and after them pseudo-labelled ones of less weight."""
+    classes = np.where(y > 0.5, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+    return Logistic.fit(x, y, classes * np.where(np.arange(len(y)) < n_train, 1.0, 0.3), penalty=0.3)
+
+
+#: For turn, both models and the share of kept ones: rows that each view gives to the other, as (text, meta, verdicts).
+Exchange = Callable[[int, list[Logistic], float], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+
+
+def fit_views(text: np.ndarray, meta: np.ndarray, label: np.ndarray, exchange: Exchange, *, rounds: int = ROUNDS, held_out: float = 0.25) -> Classifier:
+    """Co-trains on rows with ``label`` 0 or 1; ``exchange`` judges the unlabelled documents of each round.
 
     text: WORDS + SHAPE columns. Without rows of both classes every document scores 0.5 and is kept.
     """
-    known = np.flatnonzero(label >= 0)
-    if len(known) < 8 or len(np.unique(label[known])) < 2:
+    if len(label) < 8 or len(np.unique(label)) < 2:
         nothing = (np.zeros(WORDS), np.zeros(SHAPE), np.zeros(META))
         return Classifier(*nothing, (0.0, 0.0), (0.0, 0.0), (0.0, 0.0, 0.0), 0.5)
-    apart = known[np.arange(len(known)) % round(1 / held_out) == 0]
-    train = np.setdiff1d(known, apart)
-    pool = np.flatnonzero(label < 0)
+    apart = np.flatnonzero(np.arange(len(label)) % round(1 / held_out) == 0)
+    train = np.setdiff1d(np.arange(len(label)), apart)
     share = label[train].mean()
-    given = [(np.empty(0, int), np.empty(0)) for _ in range(2)]
     views = (text, meta)
+    rows, verdicts = [[view[train]] for view in views], [[label[train].astype(float)] for _ in views]
     for turn in range(rounds + 1):
-        models = []
-        for view, (rows, verdicts) in zip(views, given, strict=True):
-            own = np.concatenate([train, rows])
-            y = np.concatenate([label[train], verdicts]).astype(float)
-            classes = np.where(y > 0.5, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-            models.append(Logistic.fit(view[own], y, classes * np.where(np.arange(len(own)) < len(train), 1.0, 0.3), penalty=0.3))
-        if turn == rounds or not len(pool):
+        models = [_fit_view(np.concatenate(x), np.concatenate(y), len(train)) for x, y in zip(rows, verdicts, strict=True)]
+        if turn == rounds:
             break
-        for k in (0, 1):  # what view k is sure of goes to the other
-            p = sigmoid(views[k][pool] @ models[k].weights)
-            n = max(1, int(each * len(pool)))
-            order = np.argsort(p, kind="stable")
-            low, high = order[: max(1, int(n * (1 - share)))], order[::-1][: max(1, int(n * share))]
-            low, high = low[p[low] <= 1 - confident], high[p[high] >= confident]
-            rows, verdicts = given[1 - k]
-            new = np.concatenate([pool[low], pool[high]])
-            fresh = ~np.isin(new, rows)
-            given[1 - k] = (np.concatenate([rows, new[fresh]]), np.concatenate([verdicts, np.concatenate([np.zeros(len(low)), np.ones(len(high))])[fresh]]))
+        for k, given in enumerate(exchange(turn, models, share)):  # what view k is sure of goes to the other
+            rows[1 - k].append(given[1 - k])
+            verdicts[1 - k].append(given[2])
     y = label[apart].astype(float)
     raw = [(view[apart] @ model.weights).astype(float) for view, model in zip(views, models, strict=True)]
     even = np.ones(len(y))
@@ -188,25 +188,36 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             packed += [(word[a:b].astype("<i2").tobytes(), value[a:b].astype("<f4").tobytes(), s.astype("<f4").tobytes()) for a, b, s in zip(cuts[:-1], cuts[1:], shape, strict=True)]
         meta = meta_features(*(batch[c].to_pylist() for c in ("lang", "source", "n_chars")))
         columns = list(zip(*packed, strict=True)) if packed else [(), (), ()]
-        yield pa.RecordBatch.from_arrays([batch["label"], *(pa.array(c, pa.binary()) for c in columns), pa.array([m.astype("<i4").tobytes() for m in meta], pa.binary())], ["label", "words", "values_", "shape", "meta"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, pa.binary()) for c in columns), pa.array([m.astype("<i4").tobytes() for m in meta], pa.binary())], ["doc_id", "words", "values_", "shape", "meta"])
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("doc_id"), text_of(docs).alias("_text"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", labelled: int = LABELLED, pool: int = POOL) -> Classifier:
-    """Fits on at most ``labelled`` documents with a label and ``pool`` without; both are those of least id hash.
+def _raw_scores(batch: pa.RecordBatch, words: np.ndarray, shape: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both views' scores of rows of features."""
+    n = batch.num_rows
+    joined = lambda c, kind: np.frombuffer(b"".join(batch[c].to_pylist()), kind)
+    sizes = pc.binary_length(batch["words"]).to_numpy() // 2
+    text = np.bincount(np.repeat(np.arange(n), sizes), joined("values_", "<f4") * words[joined("words", "<i2")], n)
+    return text + joined("shape", "<f4").reshape(n, SHAPE) @ shape, meta[joined("meta", "<i4").reshape(n, 5)].sum(axis=1)
 
-    A document that is labelled more than once has the least of its labels; null labels count as
-    absent. The sample's ids are chosen first, on ids alone; then its texts are read.
-    """
-    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("long").alias("label"))
-    ids = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().join(known, "doc_id", "left").withColumn("label", F.coalesce("label", F.lit(-1).cast("long")))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = ids.filter("label >= 0").orderBy(*order).limit(labelled).unionByName(ids.filter("label < 0").orderBy(*order).limit(pool))
-    rows = _prepared(docs).join(F.broadcast(chosen), "doc_id").drop("doc_id")
-    found = rows.mapInArrow(_features, "label long, words binary, values_ binary, shape binary, meta binary").toArrow()
+
+def _judge(models: list[Logistic]):
+    text, meta = (m.weights.astype(float) for m in models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _raw_scores(batch, text[:WORDS], text[WORDS:], meta)
+            bins = [np.round(sigmoid(x) * BINS).astype(np.int32) for x in found]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *map(pa.array, bins)], ["doc_id", "p0", "p1"])
+
+    return run
+
+
+def _dense(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text and metadata columns and labels of features, in an order that doesn't depend on how they came."""
     n = found.num_rows
     order_of = sorted(range(n), key=lambda i: (found["label"][i].as_py(), xxhash.xxh64_intdigest(found["words"][i].as_py()), found["meta"][i].as_py()))
     text, y = np.zeros((n, WORDS + SHAPE), dtype=np.float32), np.zeros(n, dtype=np.int64)
@@ -216,18 +227,61 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", labelled:
         text[i, np.frombuffer(words, "<i2")] = np.frombuffer(values, "<f4")
         text[i, WORDS:] = np.frombuffer(shape, "<f4")
         y[i], cells[i] = found["label"][j].as_py(), np.frombuffer(meta, "<i4")
-    return fit_views(text, _dense_meta(cells).astype(np.float32), y)
+    return text, _dense_meta(cells).astype(np.float32), y
+
+
+def _exchange(features: DataFrame, known: DataFrame, folder: str, pool: int, each: float = 0.05, confident: float = 0.9) -> Exchange:
+    """Judges all unlabelled documents in a pass over ``features`` and takes the surest share of all of them.
+
+    Of those at most ``pool`` are given to each view over all rounds, the ones of least id hash.
+    Scores are whole numbers of 1 / BINS, so what reaches the driver is a count for each of them.
+    """
+    kind = dict(features.dtypes)["doc_id"]
+    before: list[DataFrame | None] = [None, None]
+
+    def run(turn: int, models: list[Logistic], share: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        judged = features.filter("doc_id IS NOT NULL").select("doc_id", "words", "values_", "shape", "meta").mapInArrow(_judge(models), f"doc_id {kind}, p0 int, p1 int")
+        judged = stored(judged.join(known, "doc_id", "left_anti").groupBy("doc_id").agg(F.min("p0").alias("p0"), F.min("p1").alias("p1")), folder, f"judged-{turn}")
+        out = []
+        for k, p in enumerate(("p0", "p1")):
+            counts = np.zeros(BINS + 1, dtype=np.int64)
+            for at, n in judged.groupBy(p).count().collect():
+                counts[at] = n
+            wanted, most = each * counts.sum(), pool / ROUNDS
+            low = min(int(np.searchsorted(np.cumsum(counts), max(1, wanted * (1 - share)))), int(BINS * (1 - confident)))
+            high = max(BINS - int(np.searchsorted(np.cumsum(counts[::-1]), max(1, wanted * share))), int(np.ceil(BINS * confident)))
+            sides = ((F.col(p) <= low, 0, max(1, int(most * (1 - share)))), (F.col(p) >= high, 1, max(1, int(most * share))))
+            fresh = judged if before[k] is None else judged.join(before[k], "doc_id", "left_anti")
+            chosen = None
+            for side, verdict, n in sides:
+                part = fresh.filter(side).select("doc_id", F.lit(verdict).cast("long").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+                chosen = part if chosen is None else chosen.unionByName(part)
+            chosen = stored(chosen, folder, f"given-{turn}-{k}")
+            before[k] = chosen.select("doc_id") if before[k] is None else before[k].unionByName(chosen.select("doc_id"))
+            out.append(_dense(features.join(F.broadcast(chosen), "doc_id").select("label", "words", "values_", "shape", "meta").toArrow()))
+        return out
+
+    return run
+
+
+def fit(features: DataFrame, labels: DataFrame, folder: str, *, label: str = "quality", labelled: int = LABELLED, pool: int = POOL) -> Classifier:
+    """Fits on at most ``labelled`` documents with a label, those of least id hash, and on verdicts exchanged over all others.
+
+    A document that is labelled more than once has the least of its labels; null labels count as
+    absent. ``pool`` bounds the pseudo-labelled documents that a view is fitted on, not those judged.
+    """
+    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("long").alias("label"))
+    ids = features.select("doc_id").filter("doc_id IS NOT NULL").distinct().join(known, "doc_id")
+    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+    found = features.join(F.broadcast(chosen), "doc_id").select("label", "words", "values_", "shape", "meta").toArrow()
+    return fit_views(*_dense(found), _exchange(features, known.select("doc_id"), folder, pool))
 
 
 def _score(model: Classifier):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [np.empty(0)]
-            for _, _, data, limits in text_slices(batch["_text"]):
-                at, word, value, shape = text_features(data, limits)
-                raw.append(np.bincount(at, value * model.words[word], len(shape)) + shape @ model.shape)
-            meta = model.meta[meta_features(*(batch[c].to_pylist() for c in ("lang", "source", "n_chars")))].sum(axis=1)
-            text, meta, both = (np.round(p, 6) for p in model.score(np.concatenate(raw), meta))
+            raw = _raw_scores(batch, model.words, model.shape, model.meta)
+            text, meta, both = (np.round(p, 6) for p in model.score(*raw))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *map(pa.array, (text, meta, both)), pa.array(both >= model.threshold)], ["doc_id", "text_score", "meta_score", "score", "kept"])
 
     return run
@@ -238,8 +292,9 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
     Null texts are empty, null metadata have values of their own; null ids and repeated rows are
     scored like others. Without labels of both classes every score is 0.5 and all are kept. An empty
-    table gives no rows.
+    table gives no rows. Texts are read once; their features are kept in the shared folder.
     """
-    kind = dict(docs.dtypes)["doc_id"]
-    model = fit(docs, labels, **options)
-    return _prepared(docs).mapInArrow(_score(model), f"doc_id {kind}, text_score double, meta_score double, score double, kept boolean")
+    kind, folder = dict(docs.dtypes)["doc_id"], shared_folder(docs.sparkSession)
+    features = stored(_prepared(docs).mapInArrow(_features, f"doc_id {kind}, words binary, values_ binary, shape binary, meta binary"), folder, "features")
+    model = fit(features, labels, folder, **options)
+    return features.mapInArrow(_score(model), f"doc_id {kind}, text_score double, meta_score double, score double, kept boolean")

@@ -7,10 +7,11 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plumbline import queries as core
-from plumbline.llm import bpe, packing
+from plumbline.llm import bpe, cotraining, packing
 
 from .conftest import DOCS, prose
 
@@ -56,3 +57,21 @@ def test_split_names_keeps_all_parts_and_digits(spark, tmp_path):
     spark.createDataFrame([(7, "a b", 1), (10000, "c d", 2), (100000, "e f", 3), (1234567, "g h", 4)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     got = {r["p_partkey"]: r["frame"] for r in core.split_names(spark, str(tmp_path)).collect()}
     assert got == {i: f"{i:05d}" for i in (7, 10000, 100000, 1234567)}
+
+
+def test_co_training_learns_words_that_few_unlabelled_documents_have(spark):
+    """A source of which no document is labelled and none is among the unlabelled ones of least id hash."""
+    ids = [x["id"] for x in spark.range(800).orderBy(F.xxhash64("id"), "id").collect()]
+    data, labels = [], []
+    for n, i in enumerate(ids):
+        good = i % 2 == 0
+        text = prose(i, 60)
+        late = n >= 600
+        source = ("new" if late else "site") if good else ("odd" if late else "spam")
+        data.append((i, text if good else " ".join(w + "%%%" for w in text.split()), "en", source, 400))
+        if n < 300:
+            labels.append((i, int(good)))
+    docs = spark.createDataFrame(data, DOCS)
+    got = {r["doc_id"]: r["meta_score"] for r in cotraining.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int"), pool=250).collect()}
+    new, odd = (np.mean([got[d[0]] for d in data if d[3] == s]) for s in ("new", "odd"))
+    assert new > odd + 0.05
