@@ -108,7 +108,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, *, capacity: i
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     pieces = rows.mapInArrow(_pieces(tokenizer or bpe.default_tokenizer(), end_id, capacity), _PIECES)
-    tasks = partitions_for(docs, 128 << 20, 4)
+    tasks = partitions_for(docs, 128 << 20)
     dealt = pieces.repartition(tasks).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
     # Spark's number of the partition: a task can work on several of them
     dealt = dealt.withColumn("task", F.spark_partition_id())

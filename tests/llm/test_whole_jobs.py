@@ -75,3 +75,8 @@ def test_co_training_learns_words_that_few_unlabelled_documents_have(spark):
     got = {r["doc_id"]: r["meta_score"] for r in cotraining.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int"), pool=250).collect()}
     new, odd = (np.mean([got[d[0]] for d in data if d[3] == s]) for s in ("new", "odd"))
     assert new > odd + 0.05
+
+
+def test_small_tables_are_packed_by_one_task(spark, tmp_path):
+    spark.createDataFrame([(i, f"line {i}") for i in range(4)], "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/d")
+    assert packing.pack_documents(spark.read.parquet(f"{tmp_path}/d")).select("sequence_id").distinct().count() == 1
