@@ -140,12 +140,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"cell": pa.array(cells, pa.int64()), "random": pa.array(random.ravel()[cells], pa.int64()), "ordinary": pa.array(ordinary.ravel()[cells], pa.int64())})
 
 
+#: The corpus's share in a model.
+CORPUS = 10 / 11
+
+
 def train(docs: DataFrame, smoothing: float = 0.5, text: str = "text") -> Model:
     """Both models from all documents and the built-in samples.
 
     What reaches the driver is a count for each transition of the alphabet, SIZE * (SIZE + 1) rows
-    at most. The corpus's own transitions are scaled to ten times the built-in ones at most, so
-    that neither label's sample drowns the other.
+    at most. A model is a fixed mixture of two: CORPUS parts that of the corpus's own transitions as
+    they are counted, smoothed towards the built-in ones, and the rest that of the built-in ones.
     """
     counted = docs.select(text_of(docs, text).alias("text")).mapInArrow(_count, "cell long, random long, ordinary long").groupBy("cell").agg(F.sum("random"), F.sum("ordinary"))
     found = np.zeros((2, (SIZE + 1) * SIZE))
@@ -153,9 +157,9 @@ def train(docs: DataFrame, smoothing: float = 0.5, text: str = "text") -> Model:
         found[:, cell] = sums
     log = []
     for own, built_in in zip(found.reshape(2, SIZE + 1, SIZE), built_in_samples(), strict=True):
-        most = 10 * built_in.sum()
-        counts = built_in + own * min(1.0, most / max(own.sum(), 1)) + smoothing
-        log.append(np.log(counts / counts.sum(axis=1, keepdims=True)))
+        base = (built_in + smoothing) / (built_in + smoothing).sum(axis=1, keepdims=True)
+        corpus = (own + smoothing * SIZE * base) / (own.sum(axis=1, keepdims=True) + smoothing * SIZE)
+        log.append(np.log(CORPUS * corpus + (1 - CORPUS) * base))
     return Model(log[0] - log[1])
 
 

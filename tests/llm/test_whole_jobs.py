@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plumbline import queries as core
-from plumbline.llm import bpe, cotraining, packing
+from plumbline.llm import bpe, cotraining, packing, secret_markov
 
 from .conftest import DOCS, prose
 
@@ -80,3 +80,13 @@ def test_co_training_learns_words_that_few_unlabelled_documents_have(spark):
 def test_small_tables_are_packed_by_one_task(spark, tmp_path):
     spark.createDataFrame([(i, f"line {i}") for i in range(4)], "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/d")
     assert packing.pack_documents(spark.read.parquet(f"{tmp_path}/d")).select("sequence_id").distinct().count() == 1
+
+
+def test_rare_ordinary_transitions_of_a_large_corpus_count(spark, monkeypatch):
+    size = secret_markov.SIZE
+    monkeypatch.setattr(secret_markov, "built_in_samples", lambda: np.full((2, size + 1, size), 1e-3))
+    docs = spark.createDataFrame([("qu" * 500_000 + " " + "qx " * 3000,)], "text string")
+    ratio = secret_markov.train(docs).ratio
+    a, b = (secret_markov.ALPHABET.index(c) for c in "qx")
+    # an ordinary transition of 0.6 % against one of 1 / SIZE in random strings, of which there are none
+    assert abs(ratio[a + 1, b] - np.log((1 / size) / (3000 / 503_000))) < 0.3
