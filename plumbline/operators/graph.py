@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.storage import stored
+from plumbline.storage import remove, stored
 
 #: Over how many tasks the edges of one node are dealt.
 SALTS = 16
@@ -25,8 +25,8 @@ def connected_components(edges: DataFrame, folder: str, most_rounds: int = 60) -
 
     Each round links every larger neighbour of a node to the node's least one, then every smaller
     one. Rounds go on until the edges stay the same and form stars; their number grows with the
-    logarithm of a component's diameter. Each round's edges are written to the shared folder, and
-    only a count and a checksum come to the driver.
+    logarithm of a component's diameter. Each round's edges are written to the shared folder, where
+    they replace those of the round before; only a count and a checksum come to the driver.
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
     now, before = stored(now, folder, "edges-0"), None
@@ -36,6 +36,7 @@ def connected_components(edges: DataFrame, folder: str, most_rounds: int = 60) -
         smaller = _with_least(larger)
         smaller = smaller.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(smaller.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         now = stored(smaller, folder, f"edges-{k}")
+        remove(now.sparkSession, f"{folder}/edges-{k - 1}")
         mark = now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(2**31)))).first()
         if mark == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
