@@ -1,12 +1,15 @@
 """Merkle fixity audit of WARC replicas.
 
-A record's leaf hash covers its key, length and the SHA-256 of its bytes. Leaves are ordered by key,
-and so by offset; a range of RANGE keys is a bottom node, FAN nodes make the next one up. Each node
-also holds its bytes, so offsets follow from the tree. Two replicas are compared from the roots
-down: only children of nodes that differ are looked at, and at the bottom only their records.
-
-Hashes of a bottom node are added up (four 60-bit parts), not listed, so that a key with very many
-records is summed where it is read. Nodes above hash their children in order.
+A record's leaf covers its key, length, number of copies and the SHA-256 of its bytes. Records are
+ordered by key and digest, which gives each its offset; a range of RANGE bytes of the primary's
+offsets is a bottom node, FAN nodes make the next one up, and each node hashes its children in
+order. A replica's records are dealt into the same ranges by the first record of each, so a missing
+or an extra record changes one range and shifts none. Two replicas are compared from the roots down:
+only children of nodes that differ are looked at, and at the bottom only their records.
+
+A range's records are hashed in order in lists of RANGE bytes at most. The primary has one list a
+range; a replica with far more records in a range has several, and their numbered hashes are added
+up (four 60-bit parts), so no task holds a range of unbounded size.
 """
 
 from __future__ import annotations
@@ -15,10 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import shared_folder, stored
+from plumbline.llm.common import shared_folder, shuffle_partitions, stored
 
-#: Keys of a bottom range, and children of a node.
-RANGE, FAN = 64, 16
+#: Bytes of a bottom range, and children of a node.
+RANGE, FAN = 1 << 16, 16
 
 
 def warc_record(key: Column, url: Column, body: Column) -> Column:
@@ -40,43 +43,77 @@ def records_of(pages: DataFrame) -> DataFrame:
     return rows.select(key.alias("key"), "length", "digest").groupBy("key", "length", "digest").agg(F.count("*").alias("copies"))
 
 
+def placed(records: DataFrame, firsts: DataFrame | None, folder: str, name: str) -> DataFrame:
+    """Adds each record's offset, and of the range that it is dealt into the number ``node`` and the ``start``.
+
+    ``firsts(node, key, digest)`` are the first records of the ranges; without them ranges are cut at
+    multiples of RANGE. Partitions of the order are summed in parallel, and one row a partition gives
+    what lies before it.
+    """
+    rows = records.select("key", "digest", "length", "copies", F.lit(None).cast("long").alias("first"))
+    if firsts is not None:
+        rows = rows.unionByName(firsts.select("key", "digest", F.lit(0).cast("long").alias("length"), F.lit(0).cast("long").alias("copies"), F.col("node").alias("first")))
+    n = shuffle_partitions(records.sparkSession)
+    ranged = stored(rows.repartitionByRange(n, "key", "digest").withColumn("part", F.spark_partition_id()), folder, f"{name}-ranged")
+    own = W.partitionBy("part").orderBy("key", "digest", "copies")  # the mark of a range has no copies and so comes first
+    before = F.coalesce(F.sum(F.col("length") * F.col("copies")).over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    local = ranged.withColumn("before", before)
+    mark = F.when(F.col("first").isNotNull(), F.struct(F.col("first").alias("node"), F.col("before").alias("at")))
+    local = local.withColumn("mark", F.last(mark, ignorenulls=True).over(own.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    parts = local.groupBy("part").agg(F.sum(F.col("length") * F.col("copies")).alias("bytes"), F.max(mark).alias("last"))
+    ahead = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row a partition
+    parts = parts.withColumn("base", F.coalesce(F.sum("bytes").over(ahead), F.lit(0)))
+    carried = F.last(F.when(F.col("last").isNotNull(), F.struct(F.col("last.node").alias("node"), (F.col("last.at") + F.col("base")).alias("at"))), ignorenulls=True).over(ahead)
+    parts = parts.select("part", "base", carried.alias("carried"))
+    found = local.filter("copies > 0").join(F.broadcast(parts), "part").withColumn("offset", F.col("base") + F.col("before"))
+    if firsts is None:
+        node, start = F.floor(F.col("offset") / RANGE).cast("long"), F.floor(F.col("offset") / RANGE).cast("long") * RANGE
+    else:
+        node, start = F.coalesce("mark.node", "carried.node", F.lit(0)), F.coalesce(F.col("mark.at") + F.col("base"), F.col("carried.at"), F.lit(0))
+    return stored(found.select("key", "digest", "length", "copies", "offset", node.cast("long").alias("node"), start.cast("long").alias("start")), folder, name)
+
+
+def first_records(primary: DataFrame) -> DataFrame:
+    """The first record of each range of the placed primary."""
+    return primary.groupBy("node").agg(F.min(F.struct("key", "digest")).alias("f")).select("node", "f.key", "f.digest")
+
+
+def _listed(rows: Column) -> Column:
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda c: F.concat_ws(":", *(c[x].cast("string") for x in ("key", "digest", "length", "copies")))), "|"), 256)
+
+
 def _bottom(records: DataFrame) -> DataFrame:
-    h = F.sha2(F.concat_ws("|", "key", "length", "digest", "copies"), 256)
-    parts = [F.sum(F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")) for i in range(4)]
-    sums = records.groupBy(F.floor(F.col("key") / RANGE).cast("long").alias("node")).agg(F.sum(F.col("length") * F.col("copies")).alias("bytes"), F.sum("copies").alias("n"), *(p.alias(f"p{i}") for i, p in enumerate(parts)))
-    return sums.select("node", "bytes", F.sha2(F.concat_ws("|", "n", "bytes", "p0", "p1", "p2", "p3"), 256).alias("hash"))
+    """(node, hash) of the ranges."""
+    first = records.groupBy("node").agg(F.min("offset").alias("least"))
+    part = F.floor((F.col("offset") - F.col("least")) / RANGE).cast("long")
+    lists = records.join(first, "node").groupBy("node", part.alias("part")).agg(_listed(F.struct("key", "digest", "length", "copies")).alias("hash"))
+    numbered = F.sha2(F.concat_ws(":", F.col("part").cast("string"), "hash"), 256)
+    parts = [F.sum(F.conv(F.substring(numbered, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")) for i in range(4)]
+    sums = lists.groupBy("node").agg(F.count("*").alias("n"), *(p.alias(f"p{i}") for i, p in enumerate(parts)))
+    return sums.select("node", F.sha2(F.concat_ws("|", "n", "p0", "p1", "p2", "p3"), 256).alias("hash"))
 
 
 def _parents(nodes: DataFrame) -> DataFrame:
     children = F.array_sort(F.collect_list(F.struct("node", "hash")))
     listed = F.array_join(F.transform(children, lambda c: F.concat_ws(":", c["node"].cast("string"), c["hash"])), "|")
-    return nodes.groupBy(F.floor(F.col("node") / FAN).cast("long").alias("node")).agg(F.sum("bytes").alias("bytes"), F.sha2(listed, 256).alias("hash"))
+    return nodes.groupBy(F.floor(F.col("node") / FAN).cast("long").alias("node")).agg(F.sha2(listed, 256).alias("hash"))
 
 
 def build_tree(records: DataFrame, folder: str, depth: int) -> list[DataFrame]:
-    """Levels (node, bytes, hash) from the ranges up; ``depth`` levels stand above them."""
+    """Levels (node, hash) from the ranges up; ``depth`` levels stand above them."""
     levels = [stored(_bottom(records), folder, "level-0")]
     for k in range(1, depth + 1):
-        levels.append(stored(_parents(levels[-1]).coalesce(max(1, 64 >> (2 * k))), folder, f"level-{k}"))
+        levels.append(stored(_parents(levels[-1]), folder, f"level-{k}"))
     return levels
 
 
-def _span(records: DataFrame) -> tuple[int, int]:
-    least, most = records.agg(F.min("key"), F.max("key")).first()
-    return (0, 0) if least is None else (least // RANGE, most // RANGE)
-
-
 def _differing(ours: DataFrame, theirs: DataFrame, parents: DataFrame | None) -> DataFrame:
-    """Nodes of a level, below the given parents, whose hashes differ, with their place among siblings."""
-    up = F.floor(F.col("node") / FAN).cast("long")
+    """Nodes of a level, below the given parents, whose hashes differ."""
     if parents is not None:
-        ours, theirs = (x.withColumn("up", up).join(parents.select(F.col("node").alias("up"), "start"), "up") for x in (ours, theirs))
-    else:
-        ours, theirs = (x.withColumn("up", F.lit(0)).withColumn("start", F.lit(0).cast("long")) for x in (ours, theirs))
-    before = F.coalesce(F.sum("bytes").over(W.partitionBy("up").orderBy("node").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ours = ours.withColumn("start", F.col("start") + before)
-    both = ours.select("node", "start", F.col("hash").alias("h1")).join(theirs.select("node", F.col("start").alias("start2"), F.col("hash").alias("h2")), "node", "full")
-    return both.filter(~F.col("h1").eqNullSafe(F.col("h2"))).select("node", F.coalesce("start", "start2").alias("start"))
+        above = parents.select(F.col("node").alias("up"))
+        ours, theirs = (x.withColumn("up", F.floor(F.col("node") / FAN).cast("long")).join(above, "up", "left_semi") for x in (ours, theirs))
+    both = ours.select("node", F.col("hash").alias("h1")).join(theirs.select("node", F.col("hash").alias("h2")), "node", "full")
+    return both.filter(~F.col("h1").eqNullSafe(F.col("h2"))).select("node")
 
 
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
@@ -86,36 +123,44 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     replica), offset and length in the primary (null for extra ones), and both digests. Equal
     replicas and two empty ones give no rows; against an empty one all records are missing or extra.
     Repeated records count: of one that is there in a different number, the fault is ``copies``.
-    If a key has several records, those that differ are missing or extra, not altered.
+    If a key has several records, those that differ are missing or extra, not altered. Null urls and
+    bodies are empty ones; records without an id are known by their digest. A body of any length is
+    hashed where it is read, and one longer than a range takes the range in which it starts. Other
+    columns are not read.
     """
     folder = shared_folder(primary.sparkSession)
-    sides = [stored(records_of(x), folder, name) for x, name in ((primary, "primary"), (replica, "replica"))]
-    spans = [_span(x) for x in sides]
+    ours = placed(records_of(primary), None, folder, "primary")
+    firsts = stored(first_records(ours), folder, "firsts")
+    theirs = placed(records_of(replica), firsts, folder, "replica")
+    last = firsts.agg(F.max("node")).first()[0] or 0
     depth = 0
-    while not {n // FAN**depth for span in spans for n in span} <= {-1, 0}:  # a root each for keys below 0 and others
+    while last // FAN**depth:
         depth += 1
-    ours, theirs = (build_tree(x, f"{folder}/tree-{k}", depth) for k, x in enumerate(sides))
+    trees = [build_tree(x, f"{folder}/tree-{k}", depth) for k, x in enumerate((ours, theirs))]
     differing = None
     for level in range(depth, -1, -1):
-        differing = stored(_differing(ours[level], theirs[level], differing), folder, f"differing-{level}")
+        differing = stored(_differing(trees[0][level], trees[1][level], differing), folder, f"differing-{level}")
         if level and differing.isEmpty():
-            differing = differing.limit(0)
             break
-    node = F.floor(F.col("key") / RANGE).cast("long").alias("node")
-    mine, other = (x.withColumn("node", node).join(differing, "node") for x in sides)
-    several = W.partitionBy("key")
-    place = W.partitionBy("node").orderBy("key", "digest").rowsBetween(W.unboundedPreceding, -1)
-    mine = mine.withColumn("offset", F.col("start") + F.coalesce(F.sum(F.col("length") * F.col("copies")).over(place), F.lit(0)))
-    same = mine.alias("a").join(other.alias("b"), ["key", "length", "digest"], "full").select("key", F.col("a.offset").alias("offset"), "length", "digest", F.col("a.copies").alias("n1"), F.col("b.copies").alias("n2"))
+    mine, other = (x.join(differing, "node", "left_semi") for x in (ours, theirs))
+    if level:
+        mine, other = mine.limit(0), other.limit(0)
+    return _faults(mine, other)
+
+
+def _faults(mine: DataFrame, other: DataFrame) -> DataFrame:
+    """Records of differing ranges that aren't the same on both sides. No step gathers the records of a key."""
+    kind = ["key", "length", "digest"]
+    same = mine.select(*kind, "offset", F.col("copies").alias("n1")).join(other.select(*kind, F.col("copies").alias("n2")), kind, "full")
     rest = same.filter(~F.col("n1").eqNullSafe(F.col("n2")))
-    rest = rest.withColumn("only", F.count("n1").over(several) + 10 * F.count("n2").over(several))
-    pair = lambda c, side: F.max(F.when(F.col(side).isNotNull(), F.col(c))).over(several)
-    altered = (F.col("only") == 11) & (F.col("n1").isNull() | F.col("n2").isNull())
-    rest = rest.withColumn("d2", F.when(altered, pair("digest", "n2")))
-    fault = F.when(altered, "altered").when(F.col("n1").isNull(), "extra").when(F.col("n2").isNull(), "missing").otherwise("copies")
-    found = rest.withColumn("fault", fault).filter(~(altered & F.col("n1").isNull()))
+    of = lambda c, side: F.max(F.when(F.col(side).isNotNull(), F.col(c))).alias(f"{c}_{side}")
+    keys = rest.groupBy("key").agg(F.count("*").alias("n"), F.count("n1").alias("c1"), F.count("n2").alias("c2"), of("offset", "n1"), of("length", "n1"), of("digest", "n1"), of("digest", "n2"))
+    altered = keys.filter("n = 2 AND c1 = 1 AND c2 = 1").select("key", F.lit("altered").alias("fault"), F.col("offset_n1").alias("offset"), F.col("length_n1").alias("length"), F.col("digest_n1").alias("primary_sha256"), F.col("digest_n2").alias("replica_sha256"))
+    told = altered.select("key", F.explode(F.array("primary_sha256", "replica_sha256")).alias("digest"))
     lost = F.col("n1").isNotNull()
-    return found.select("key", "fault", "offset", F.when(lost, F.col("length")).alias("length"), F.when(lost, F.col("digest")).alias("primary_sha256"), F.when(F.col("fault") == "altered", F.col("d2")).when(F.col("fault") != "missing", F.col("digest")).alias("replica_sha256"))
+    fault = F.when(~lost, "extra").when(F.col("n2").isNull(), "missing").otherwise("copies")
+    others = rest.join(told, ["key", "digest"], "left_anti").select("key", fault.alias("fault"), "offset", F.when(lost, F.col("length")).alias("length"), F.when(lost, F.col("digest")).alias("primary_sha256"), F.when(F.col("n2").isNotNull(), F.col("digest")).alias("replica_sha256"))
+    return altered.unionByName(others)
 
 
 #: A rehearsal's faults: the last digit of page_id's SHA-256, second to last digit 0.

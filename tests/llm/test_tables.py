@@ -59,6 +59,29 @@ def test_faults_are_located(pages):
     assert hit["replica_sha256"] == hashlib.sha256(plain_record(77, "http://h/77", "broken")).hexdigest()
 
 
+def test_ranges_are_cut_by_offset_and_shift_by_nothing(pages, spark, monkeypatch):
+    monkeypatch.setattr(warc_fixity, "RANGE", 4096)
+    df, data = pages
+    folder = warc_fixity.shared_folder(spark)
+    ours = warc_fixity.placed(warc_fixity.records_of(df), None, folder, "a")
+    theirs = warc_fixity.placed(warc_fixity.records_of(df.filter("page_id IS NULL OR page_id != 3")), warc_fixity.first_records(ours), folder, "b")
+    trees = [{r["node"]: r["hash"] for r in warc_fixity.build_tree(x, f"{folder}/{k}", 2)[0].collect()} for k, x in enumerate((ours, theirs))]
+    assert len(trees[0]) > 2 and sum(trees[0][n] != trees[1].get(n) for n in trees[0]) == 1
+    spans = ours.groupBy("node").agg(F.min("offset").alias("a"), F.max("offset").alias("b")).collect()
+    assert all(r["a"] // warc_fixity.RANGE == r["b"] // warc_fixity.RANGE == r["node"] for r in spans)
+    swapped = ours.withColumn("digest", F.when(F.col("key") == 1, F.lit("x")).otherwise(F.col("digest")))
+    assert warc_fixity.build_tree(swapped, f"{folder}/c", 2)[2].collect() != warc_fixity.build_tree(ours, f"{folder}/d", 2)[2].collect()
+
+
+def test_a_replica_with_far_more_records_of_one_id(spark):
+    few = spark.createDataFrame([(5, "u", "x"), (6, "u", "y")], "page_id long, url string, html string")
+    many = few.unionByName(spark.range(4000).select(F.lit(5).cast("long").alias("page_id"), F.col("id").cast("string").alias("url"), F.lit("z" * 50).alias("html")))
+    found = warc_fixity.audit(few, many)
+    assert {(r["key"], r["fault"]): r["count"] for r in found.groupBy("key", "fault").count().collect()} == {(5, "extra"): 4000}
+    back = warc_fixity.audit(many, few).groupBy("fault").agg(F.count("*").alias("n"), F.countDistinct("offset").alias("places")).collect()
+    assert [tuple(r) for r in back] == [("missing", 4000, 4000)]
+
+
 def test_a_missing_copy_is_seen(pages):
     df, _ = pages
     found = warc_fixity.audit(df, df.dropDuplicates(["page_id", "url", "html"])).collect()
@@ -71,10 +94,10 @@ def test_a_missing_copy_is_seen(pages):
 def plain_top(data: list[tuple], k: int) -> Counter:
     sound = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v in data if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = Counter()
-    for q, x in sound:
+    for at, (q, x) in enumerate(sound):
         if q % 20 == 0:
             score = lambda y: sum(a * b for a, b in zip(x, y, strict=False))  # noqa: B023, E731
-            best = sorted(((-score(y), i) for i, y in sound if i != q))[:k]
+            best = sorted((-score(y), i) for other, (i, y) in enumerate(sound) if other != at)[:k]
             for n, (s, i) in enumerate(best):
                 want[(q, n + 1, i, -s)] += 1
     return want
@@ -91,11 +114,45 @@ def test_top_k_is_exact_with_ties_and_odd_vectors(spark, monkeypatch):
     assert impact_search.top_k(df.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_are_candidates_of_each_other(spark):
+    df = spark.createDataFrame([(0, [1.0], "a"), (0, [3.0], "b"), (1, [2.0], "c")], "vec_id long, embedding array<double>, row string")
+    got = Counter(tuple(r) for r in impact_search.top_k(df).collect())
+    assert got == Counter([(0, 1, 0, 3 * 64 * 64), (0, 2, 1, 2 * 64 * 64), (0, 1, 1, 6 * 64 * 64), (0, 2, 0, 3 * 64 * 64)])
+
+
+def test_postings_are_skipped_on_the_table_itself(spark):
+    rows = impact_search.quantised(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")).collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["x"] for r in rows])
+    own, counter = np.flatnonzero(ids % 20 == 0), {}
+    index = impact_search.build_index(np.arange(len(ids)), ids, x)
+    for q, found, scores in impact_search.search(index, own, x[own], 20, counter=counter):
+        s = x @ x[own[q]]
+        order = np.lexsort((ids, -s))
+        order = order[order != own[q]][:20]
+        assert found.tolist() == ids[order].tolist() and scores.tolist() == s[order].tolist()
+    assert 0.05 < counter["skipped"] / counter["all"] < 1
+
+
+def test_blocks_share_what_they_found():
+    rng = np.random.default_rng(2)
+    x = np.rint(rng.normal(0, 8, (3000, 16))).astype(np.int64)
+    ids, counters, floor, best = np.arange(3000), ({}, {}), np.full(1, -np.inf), []
+    for n, block in enumerate(np.split(np.arange(3000), 3)):
+        index = impact_search.build_index(block, ids[block], x[block])
+        list(impact_search.search(index, np.array([7]), x[[7]], 5, counter=counters[0]))
+        for _, found, scores in impact_search.search(index, np.array([7]), x[[7]], 5, floor, counters[1]):
+            best += zip((-scores).tolist(), found.tolist(), strict=True)
+    s = x @ x[7]
+    order = np.lexsort((ids, -s))
+    assert [i for _, i in sorted(best)[:5]] == order[order != 7][:5].tolist()
+    assert counters[1]["skipped"] >= counters[0]["skipped"]
+
+
 def test_search_stops_only_on_proof():
     rng = np.random.default_rng(1)
     x = np.rint(rng.normal(0, 3, (4000, 16))).astype(np.int64)
     x[::500] = np.rint(rng.normal(0, 30, (8, 16)))
-    index = impact_search.build_index(np.arange(4000), x)
+    index = impact_search.build_index(np.arange(4000), np.arange(4000), x)
     for q, ids, scores in impact_search.search(index, np.array([3, 500, 9999]), np.stack([x[3], x[500], x[7] * 100]), 10):
         query = [x[3], x[500], x[7] * 100][q]
         own = [3, 500, 9999][q]
