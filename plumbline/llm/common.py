@@ -23,8 +23,9 @@ SPACES = " \t\n\x0b\x0c\r"
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_BYTE_VALUES = np.random.Generator(np.random.PCG64(20240607)).integers(0, 2**64, 256, dtype=np.uint64)
-_WORD_BASE = 0x9E3779B97F4A7C15
+#: Two independent hashes of words: values of bytes and a base for each.
+_BYTE_VALUES = np.random.Generator(np.random.PCG64(20240607)).integers(0, 2**64, (2, 256), dtype=np.uint64)
+_WORD_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 WINDOW_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _BLOCK = 1 << 20
 
@@ -75,16 +76,16 @@ def word_spans(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, limits)
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, a block of bytes at a time."""
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word, one of two independent ones, a block of bytes at a time."""
     out = np.empty(len(starts), dtype=np.uint64)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + _BLOCK, side="right")))
         a, b = int(starts[i]), int(ends[j - 1])
-        up, down = powers(_WORD_BASE, b - a + 1)
+        up, down = powers(_WORD_BASES[which], b - a + 1)
         total = np.zeros(b - a + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_VALUES[data[a:b]] * up[: b - a], out=total[1:])
+        np.cumsum(_BYTE_VALUES[which][data[a:b]] * up[: b - a], out=total[1:])
         out[i:j] = (total[ends[i:j] - a] - total[starts[i:j] - a]) * down[starts[i:j] - a]
         i = j
     return mix(out)
@@ -152,6 +153,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
+#: A key is hot if more than one in so many rows has it; there are as many hot keys at most.
+HOT = 1024
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join with a stored ``table`` that has each key once, and in ``n`` its number of rows.
+
+    Rows of hot keys never meet in a task: the table's rows of those, HOT at most, are broadcast.
+    """
+    total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
+    hot = table.filter(F.col("n") * HOT > total).drop("n")
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.filter(F.col("n") * HOT <= total).drop("n"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(others)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that the table doesn't have yet, whatever columns it brings."""
     taken = {c.lower() for c in df.columns}

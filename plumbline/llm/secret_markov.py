@@ -1,16 +1,19 @@
 """Secret scans: fixed patterns, and Markov models of random strings and ordinary identifiers.
 
-The patterns' matches are always reported. Beyond them, a token is a secret if a first-order
-Markov model of random strings explains it better than one of ordinary identifiers: the
-log-likelihood ratio must exceed a bound, in all and by character.
-
-Both models are trained from labelled samples. Random: values that the patterns found, and
-strings drawn from a seeded generator. Ordinary: the transitions within letters, within digits
-and across joiners over all documents, and identifiers made from a word list.
+The patterns' matches are always reported. Beyond them, a token (a run of the alphabet, of any
+length) is a secret if a first-order Markov model of random strings explains it better than one of
+ordinary identifiers, by a log-likelihood ratio that reaches a bound.
+
+Both models are trained from labelled samples: the patterns label the corpus, what they found being
+random and every other token ordinary, and beside it there are strings drawn from a seeded generator
+and identifiers made from a word list. All documents count; the share HELD_OUT of them, by their
+text's checksum, isn't trained on but sets the bound.
 """
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,12 +35,11 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # so long ones of [0-9a-f]+
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET)
-_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-_INDEX = np.full(256, -1, dtype=np.int64)
+_INDEX = np.full(256, -1, dtype=np.int16)
 _INDEX[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(SIZE)
-#: 0 letters, 1 digits, 2 joiners of ordinary identifiers, -1 others.
-_CLASS = np.full(256, -1, dtype=np.int64)
-_CLASS[np.frombuffer(ALPHABET.encode(), np.uint8)] = [0] * 52 + [1] * 10 + [-1, -1, 2, -1, 2]
+
+#: One document in so many is held out; the least bound (a prior of one secret in 10,000 tokens); what a share of false finds costs against one of missed secrets; steps of a bound.
+HELD_OUT, PRIOR, COST, STEPS = 8, math.log(10_000), 1000.0, 240
 
 #: Labelled words of ordinary identifiers.
 _WORDS = (
@@ -55,16 +57,14 @@ class Model:
     """Log-likelihood ratios of transitions, ``ratio[previous + 1, symbol]``; row 0 holds first symbols."""
 
     ratio: np.ndarray
-    least_total: float = 12.0
-    least_mean: float = 0.5
+    bound: float = PRIOR
 
     def score(self, token: str) -> float:
         at = _INDEX[np.frombuffer(token.encode("ascii"), np.uint8)]
         return float(self.ratio[np.append(0, at[:-1] + 1), at].sum())
 
     def is_random(self, token: str) -> bool:
-        s = self.score(token)
-        return s >= self.least_total and s >= self.least_mean * len(token)
+        return self.score(token) >= self.bound
 
 
 def transitions(tokens: Iterator[str]) -> np.ndarray:
@@ -77,8 +77,8 @@ def transitions(tokens: Iterator[str]) -> np.ndarray:
     return counts
 
 
-def built_in_samples(seed: int = 7, each: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Transition counts of labelled random strings and of labelled identifiers; the same for every input."""
+def built_in_tokens(seed: int = 7, each: int = 400) -> tuple[list[str], list[str]]:
+    """Labelled random strings and labelled identifiers; the same for every input."""
     rng = np.random.Generator(np.random.PCG64(seed))
     digits, lower, upper = ALPHABET[52:62], ALPHABET[26:52], ALPHABET[:26]
     random = []
@@ -89,6 +89,12 @@ def built_in_samples(seed: int = 7, each: int = 400) -> tuple[np.ndarray, np.nda
         words = [str(w) for w in rng.choice(_WORDS, 3)]
         style = rng.integers(0, 5)
         ordinary.append(["_".join(words), "-".join(words), words[0] + words[1].title() + words[2].title(), "_".join(words).upper(), "/".join(words)][style] + (str(rng.integers(0, 2100)) if rng.random() < 0.3 else ""))
+    return random, ordinary
+
+
+def built_in_samples() -> tuple[np.ndarray, np.ndarray]:
+    """Transition counts of both built-in samples."""
+    random, ordinary = built_in_tokens()
     return transitions(iter(random)), transitions(iter(ordinary))
 
 
@@ -103,64 +109,163 @@ def in_order(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
+def token_scores(data: np.ndarray, limits: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte spans and scores of all tokens of texts that lie one after another."""
+    symbol = _INDEX[data]
+    inside = symbol >= 0
+    cuts = limits[1:-1]
+    cuts = cuts[(cuts > 0) & (cuts < len(data))]
+    before = np.empty_like(symbol)
+    before[:1] = -1
+    before[1:] = symbol[:-1]
+    before[cuts] = -1
+    last = inside.copy()
+    last[:-1] &= symbol[1:] < 0
+    last[cuts - 1] = inside[cuts - 1]
+    starts, ends = np.flatnonzero(inside & (before < 0)), np.flatnonzero(last) + 1
+    total = np.zeros(len(data) + 1)
+    np.cumsum(np.where(inside, ratio[before + 1, np.maximum(symbol, 0)], 0.0), out=total[1:])
+    return starts, ends, total[ends] - total[starts]
+
+
+def apart(spans: list[tuple[int, int]], base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Those of ``spans``, which are in order and disjoint, that overlap no base span; one sweep."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted((x, y) for _, x, y in base):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    out = []
+    for a, b in spans:
+        i = bisect.bisect_right(ends, a)
+        if i == len(starts) or b <= starts[i]:
+            out.append((a, b))
+    return out
+
+
+def spans_of(column: pa.Array, model: Model) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
+    """Each text with its base spans and the random tokens that overlap none of them."""
+    for i, j, data, limits in text_slices(column):
+        starts, ends, scores = token_scores(data, limits, model.ratio)
+        hit = np.flatnonzero(scores >= model.bound - 1e-6)
+        row = np.searchsorted(limits, starts[hit], side="right") - 1
+        points = np.append(0, np.cumsum((data & 0xC0) != 0x80)) if len(hit) else None
+        cuts = np.searchsorted(row, np.arange(j - i + 1))
+        for k in range(j - i):
+            text = column[i + k].as_py() or ""
+            base = base_spans(text)
+            own = [(int(points[starts[h]] - points[limits[k]]), int(points[ends[h]] - points[limits[k]])) for h in hit[cuts[k] : cuts[k + 1]]]
+            own = [(a, b) for a, b in own if model.is_random(text[a:b])]
+            yield text, in_order([*base, *(("random", a, b) for a, b in apart(own, base))])
+
+
 def all_spans(text: str, model: Model) -> list[tuple[str, int, int]]:
     """The base spans, and random tokens that overlap none of them."""
-    base = base_spans(text)
-    found = list(base)
-    for m in _TOKEN.finditer(text):
-        a, b = m.span()
-        if all(b <= x or y <= a for _, x, y in base) and model.is_random(m.group()):
-            found.append(("random", a, b))
-    return in_order(found)
-
-
-def _ordinary_counts(data: np.ndarray) -> np.ndarray:
-    """Transitions between neighbours of one class, or to and from a joiner, in the bytes of texts."""
-    symbol, kind = _INDEX[data], _CLASS[data]
-    a, b = kind[:-1], kind[1:]
-    inner = ((a == b) & (a >= 0)) | ((a == 0) & (b == 2)) | ((a == 2) & (b == 0))
-    counts = np.zeros((SIZE + 1, SIZE), dtype=np.int64)
-    counts[1:] = np.bincount(symbol[:-1][inner] * SIZE + symbol[1:][inner], minlength=SIZE * SIZE).reshape(SIZE, SIZE)
-    starts = (b == 0) & (a == -1)
-    counts[0] = np.bincount(symbol[1:][starts], minlength=SIZE)
-    return counts
+    return next(spans_of(pa.array([text], pa.string()), model), (text, []))[1]
+
+
+def _labelled(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of texts with, for each byte, 0 outside base spans, 1 in a value that a pattern found and 2 in the rest of a span."""
+    for i, j, data, limits in text_slices(column):
+        role = np.zeros(len(data), dtype=np.int8)
+        for k in range(j - i):
+            text = column[i + k].as_py() or ""
+            plain = len(text) == limits[k + 1] - limits[k]
+            at = lambda n: int(limits[k]) + (n if plain else len(text[:n].encode()))  # noqa: B023, E731
+            for m in _ASSIGN.finditer(text):
+                if m.end() - m.start(2) >= 6:
+                    role[at(m.start()) : at(m.start(2))] = 2
+                    role[at(m.start(2)) : at(m.end())] = 1
+            for pattern in (_ACCESS, _HEX):
+                for m in pattern.finditer(text):
+                    role[at(m.start()) : at(m.end())] = 1
+        yield data, limits, role
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    random = np.zeros((SIZE + 1, SIZE), dtype=np.int64)
-    ordinary = random.copy()
+    """Transitions within tokens, by role; a change of role starts a token."""
+    counts = np.zeros((2, (SIZE + 1) * SIZE), dtype=np.int64)
     for batch in batches:
-        for _, _, data, _ in text_slices(batch["text"]):
-            ordinary += _ordinary_counts(data)
-        for value in batch["text"]:
-            text = value.as_py()
-            values = [m.group(2) for m in _ASSIGN.finditer(text) if m.end() - m.start(2) >= 16]
-            random += transitions(iter([*values, *(m.group() for m in _ACCESS.finditer(text))]))
-    cells = np.flatnonzero((random + ordinary).ravel())
-    yield pa.RecordBatch.from_pydict({"cell": pa.array(cells, pa.int64()), "random": pa.array(random.ravel()[cells], pa.int64()), "ordinary": pa.array(ordinary.ravel()[cells], pa.int64())})
+        for data, limits, role in _labelled(batch["text"]):
+            symbol = _INDEX[data].astype(np.int64)
+            before = np.append(-1, symbol[:-1])[: len(symbol)]
+            before[np.flatnonzero(np.diff(role)) + 1] = -1
+            before[limits[:-1][limits[:-1] < len(data)]] = -1
+            cell = (before + 1) * SIZE + symbol
+            for kind in (1, 0):
+                counts[1 - kind] += np.bincount(cell[(symbol >= 0) & (role == kind)], minlength=counts.shape[1])
+    cells = np.flatnonzero(counts.sum(axis=0))
+    yield pa.RecordBatch.from_pydict({"cell": pa.array(cells, pa.int64()), "random": pa.array(counts[0][cells], pa.int64()), "ordinary": pa.array(counts[1][cells], pa.int64())})
+
+
+def steps_of(scores: np.ndarray) -> np.ndarray:
+    """The number of the last bound that a score reaches: bounds are whole numbers from 1 on, 0 none."""
+    return np.clip(np.floor(scores), 0, STEPS).astype(np.int64)
+
+
+def _held_out(model: Model, alike: float):
+    """Counts of held-out tokens by step. Unlabelled ones that score like random strings, ``alike`` a character, tell nothing of ordinary ones and aren't counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, STEPS + 1), dtype=np.int64)
+        for batch in batches:
+            for data, limits, role in _labelled(batch["text"]):
+                edges = np.union1d(limits, np.flatnonzero(np.diff(role)) + 1)
+                starts, ends, scores = token_scores(data, edges, model.ratio)
+                for kind, able in ((1, True), (0, scores < alike * (ends - starts))):
+                    counts[1 - kind] += np.bincount(steps_of(scores[(role[starts] == kind) & able]), minlength=STEPS + 1)
+        at = np.flatnonzero(counts.sum(axis=0))
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(at, pa.int64()), "random": pa.array(counts[0][at], pa.int64()), "ordinary": pa.array(counts[1][at], pa.int64())})
+
+    return run
+
+
+def bound_of(random: np.ndarray, ordinary: np.ndarray) -> float:
+    """The bound, PRIOR at least, at which missed secrets and COST times false finds, as shares of held-out tokens, are least."""
+    missed = np.append(0, np.cumsum(random)[:-1]) / max(1, random.sum())
+    false = np.cumsum(ordinary[::-1])[::-1] / max(1, ordinary.sum())
+    least = math.ceil(PRIOR)
+    return float(least + np.argmin((missed + COST * false)[least:]))
 
 
 #: The corpus's share in a model.
 CORPUS = 10 / 11
 
 
-def train(docs: DataFrame, smoothing: float = 0.5, text: str = "text") -> Model:
-    """Both models from all documents and the built-in samples.
+def train(docs: DataFrame, smoothing: float = 0.5, text: str = "text", prior: float = 1000.0) -> Model:
+    """Both models and the bound, from all documents and the built-in samples.
 
     What reaches the driver is a count for each transition of the alphabet, SIZE * (SIZE + 1) rows
-    at most. A model is a fixed mixture of two: CORPUS parts that of the corpus's own transitions as
-    they are counted, smoothed towards the built-in ones, and the rest that of the built-in ones.
+    at most, and one for each step of a bound. A model is a fixed mixture of two: CORPUS parts that
+    of the corpus's own transitions as they are counted, with ``prior`` built-in ones after each
+    symbol, so that a few tokens of a small corpus don't vouch for themselves, and the rest that of
+    the built-in ones.
     """
-    counted = docs.select(text_of(docs, text).alias("text")).mapInArrow(_count, "cell long, random long, ordinary long").groupBy("cell").agg(F.sum("random"), F.sum("ordinary"))
-    found = np.zeros((2, (SIZE + 1) * SIZE))
-    for cell, *sums in counted.collect():
-        found[:, cell] = sums
+    texts = docs.select(text_of(docs, text).alias("text"))
+    held = F.pmod(F.crc32("text"), F.lit(HELD_OUT)) == 0
+
+    def summed(part: DataFrame, f, size: int) -> np.ndarray:
+        found = np.zeros((2, size))
+        for cell, *sums in part.mapInArrow(f, "cell long, random long, ordinary long").groupBy("cell").agg(F.sum("random"), F.sum("ordinary")).collect():
+            found[:, cell] = sums
+        return found
+
     log = []
-    for own, built_in in zip(found.reshape(2, SIZE + 1, SIZE), built_in_samples(), strict=True):
+    for own, built_in in zip(summed(texts.filter(~held), _count, (SIZE + 1) * SIZE).reshape(2, SIZE + 1, SIZE), built_in_samples(), strict=True):
         base = (built_in + smoothing) / (built_in + smoothing).sum(axis=1, keepdims=True)
-        corpus = (own + smoothing * SIZE * base) / (own.sum(axis=1, keepdims=True) + smoothing * SIZE)
+        corpus = (own + prior * base) / (own.sum(axis=1, keepdims=True) + prior)
         log.append(np.log(CORPUS * corpus + (1 - CORPUS) * base))
-    return Model(log[0] - log[1])
+    model = Model(log[0] - log[1])
+    tokens = built_in_tokens(seed=8, each=100)
+    scores = [np.array([model.score(x) for x in own]) for own in tokens]
+    alike = float(np.quantile(scores[0] / np.array([len(x) for x in tokens[0]]), 0.1))
+    seen = summed(texts.filter(held), _held_out(model, alike), STEPS + 1)
+    for k, own in enumerate(scores):
+        seen[k] += np.bincount(steps_of(own), minlength=STEPS + 1)
+    return Model(model.ratio, bound_of(*seen))
 
 
 def _scan(model: Model, redacted: bool):
@@ -168,12 +273,14 @@ def _scan(model: Model, redacted: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x.as_py() for x in batch["text"]]
-            spans = [all_spans(x, model) for x in texts]
-            added = [pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in own] for own in spans], kind)]
-            if redacted:
-                added.append(pa.array([redact(x, own) for x, own in zip(texts, spans, strict=True)], pa.string()))
             kept = [c for c in batch.schema.names if c != "text"]
+            spans: list[list[dict]] = []
+            masked: list[str] = []
+            for text, own in spans_of(batch["text"], model):
+                spans.append([{"kind": k, "start": a, "end": b} for k, a, b in own])
+                if redacted:
+                    masked.append(redact(text, own))
+            added = [pa.array(spans, kind), *[pa.array(masked, pa.string())] * redacted]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *added], [*kept, "spans", *["redacted"] * redacted])
 
     return run
@@ -191,20 +298,33 @@ def redact(text: str, spans: list[tuple[str, int, int]], mask: str = "[SECRET]")
     return "".join([*out, text[at:]])
 
 
+def _scanned(docs: DataFrame, model: Model | None, text: str, redacted: bool) -> DataFrame:
+    """Columns c0, c1, ... of ``docs`` and the added ones."""
+    model = model or train(docs, text=text)
+    plain = plainly_named(docs)
+    rows = plain.select("*", text_of(plain, f"c{docs.columns.index(text)}").alias("text"))
+    added = "spans array<struct<kind: string, start: bigint, end: bigint>>" + ", redacted string" * redacted
+    return rows.mapInArrow(_scan(model, redacted), T.StructType([*rows.drop("text").schema.fields, *T.StructType.fromDDL(added).fields]))
+
+
 def scan(docs: DataFrame, model: Model | None = None, *, text: str = "text", redacted: bool = False) -> DataFrame:
     """Adds ``spans`` (array of kind, start, end; in order) and, if asked for, the ``redacted`` text to ``docs``.
 
-    A null text is empty and has no spans; its redacted text is empty. Every row stays, repeated
-    ones and those with null ids too; columns named like an added one are replaced. The scan is one
-    pass without a shuffle; the model is trained on ``docs`` if none is given.
+    A null text is empty and has no spans; its redacted text is empty. A token of any length is
+    judged, and a text of any length read once. Tokens of equal score share a verdict; one at the
+    bound is a secret. Every row stays, repeated ones and those with null ids too; columns named like
+    an added one are replaced. The scan is one pass without a shuffle; the model is trained on
+    ``docs`` if none is given.
     """
-    model = model or train(docs, text=text)
-    rows = plainly_named(docs).select("*", text_of(plainly_named(docs), f"c{docs.columns.index(text)}").alias("text"))
-    added = "spans array<struct<kind: string, start: bigint, end: bigint>>" + ", redacted string" * redacted
-    schema = T.StructType([*rows.drop("text").schema.fields, *T.StructType.fromDDL(added).fields])
     new = ("spans", "redacted") if redacted else ("spans",)
     kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in new]
-    return rows.mapInArrow(_scan(model, redacted), schema).select(*kept, *new)
+    return _scanned(docs, model, text, redacted).select(*kept, *new)
+
+
+def masked(docs: DataFrame, model: Model | None = None, *, text: str = "text") -> DataFrame:
+    """``docs`` in its own columns, whatever their names, the secrets of its texts masked."""
+    at = docs.columns.index(text)
+    return _scanned(docs, model, text, True).select(*(F.col("redacted" if i == at else f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def joined(spans: Column) -> Column:
