@@ -7,9 +7,10 @@ fingerprints that are equal in one of a few sets of three segments (24 bits). Ca
 the chain test before the full Hamming check.
 
 Distinct fingerprints only are compared. Within a candidate group a breadth-first search over the
-members not yet reached yields one edge a member, not all pairs. A group of more than ``most``
-members isn't compared at all: there each fingerprint is sent to all points within T / 2 bits, and
-two fingerprints within T bits meet in one of them, so the work is linear in the group's size.
+members not yet reached yields one edge a member, not all pairs. Groups of more than CROWDED members
+are split by the same principle once more: members that agree in some segments and differ in at most T
+bits agree in at least one of T + 1 others, and in a task at least one of T + 1 parts of the bits in
+which a group's members vary is equal. No link is lost, and no group is compared as a whole.
 """
 
 from __future__ import annotations
@@ -20,15 +21,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import free_name, own_columns, shared_folder, stored, text_of
+from plumbline.llm.common import free_name, join_counted, own_columns, shared_folder, shuffle_partitions, stored, text_of
 from plumbline.operators.graph import connected_components
 
 SEGMENTS, WIDTH = 8, 8
-#: Members of a candidate group that are compared with each other.
-MOST = 32768
+#: Members of a candidate group beyond which it is split by another segment, and of a part that is compared as it is.
+CROWDED, TOGETHER = 32768, 4096
+#: Distinct fingerprints beyond which keys have a segment more.
+MANY = 10**8
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
@@ -99,13 +102,44 @@ def linked(one: np.ndarray, others: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-def search_group(members: np.ndarray, most: int, tile: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (member, seed) that join the members of a group as all its links do."""
-    left, a, b = members, [], []
+def parts_of(members: np.ndarray, most: int, together: int) -> Iterator[np.ndarray]:
+    """Parts of at most ``together`` members, or of members that vary in few bits: any two within ``most`` bits meet in one.
+
+    The bits in which members vary are cut into most + 1 parts, of which two such members share one.
+    """
+    vary = int(np.bitwise_or.reduce(members ^ members[:1])) if len(members) else 0
+    bits = [i for i in range(64) if vary >> i & 1]
+    if len(members) <= together or len(bits) <= 2 * most:
+        yield members
+        return
+    for chosen in np.array_split(np.array(bits, dtype=np.uint64), most + 1):
+        value = members & np.uint64(sum(1 << int(i) for i in chosen))
+        order = np.argsort(value, kind="stable")
+        cuts = np.flatnonzero(np.diff(value[order])) + 1
+        for part in np.split(members[order], cuts):
+            if len(part) > 1:
+                yield from parts_of(part, most, together)
+
+
+def search_group(members: np.ndarray, most: int, tile: int = 1 << 18, together: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (member, seed) that join the members of a group as all its links do.
+
+    Dense groups are soon reached whole. Once each member has been compared ``together`` times on
+    average, those not yet reached are split into parts.
+    """
+    together = together or TOGETHER
+    left, a, b, work, size = members, [], [], 0, len(members)
     while len(left) > 1:
+        if work > together * size and len(left) > together:
+            for part in parts_of(left, most, together):
+                found = search_group(part, most, tile, len(part))
+                a.append(found[0])
+                b.append(found[1])
+            break
         seed, frontier, left = left[0], left[:1], left[1:]
         while len(frontier) and len(left):
             step = max(1, tile // len(left))
+            work += len(frontier[:step]) * len(left)
             found = linked(frontier[:step], left, most).any(axis=0)
             frontier = np.concatenate([frontier[step:], left[found]])
             a.append(left[found])
@@ -142,24 +176,11 @@ def _compare(most: int):
     return run
 
 
-def _ball(radius: int):
-    masks = np.array([sum(1 << i for i in bits) for r in range(radius + 1) for bits in itertools.combinations(range(64), r)], dtype=np.uint64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = batch["fp"].to_numpy().view(np.uint64)
-            for a in range(0, len(fps), 64):
-                part = fps[a : a + 64]
-                yield pa.RecordBatch.from_pydict({"at": pa.array((part[:, None] ^ masks[None, :]).ravel().view(np.int64)), "fp": pa.array(np.repeat(part, len(masks)).view(np.int64))})
-
-    return run
-
-
-def links(fps: DataFrame, *, bits: int = 4, exact: int = 3, most: int = MOST) -> DataFrame:
+def links(fps: DataFrame, *, bits: int = 4, exact: int = 3, most: int | None = None) -> DataFrame:
     """Edges (a, b) between distinct ``fps(fp)`` that connect the same ones as all pairs within ``bits`` do.
 
     ``exact`` sets the key width, 8 bits a segment: 24 bits suit up to about 10**8 fingerprints, 32
-    bits (70 keys in place of 20) more.
+    bits (70 keys in place of 22) more.
     """
     sets = key_sets(SEGMENTS, bits, exact)
     part = lambda i: F.shiftrightunsigned("fp", WIDTH * i).bitwiseAND(F.lit(255).cast("long"))
@@ -168,38 +189,44 @@ def links(fps: DataFrame, *, bits: int = 4, exact: int = 3, most: int = MOST) ->
         key = F.lit(n).cast("long")
         for i in chosen:
             key = F.shiftleft(key, WIDTH).bitwiseOR(part(i))
-        keys.append(key)
-    keyed = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+        keys.append(F.struct(key.alias("key"), F.lit(n).alias("set")))
+    keyed = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.key", "k.set")
     several = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = keyed.join(several, "key").select("key", "n", "fp")
-    spark = fps.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    near = members.filter(F.col("n") <= most).select("key", "fp").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compare(bits), "a long, b long")
-    crowded = members.filter(F.col("n") > most).select("fp").distinct().mapInArrow(_ball((bits + 1) // 2), "at long, fp long")
-    least = crowded.groupBy("at").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1").select("at", "b")
-    met = crowded.join(least, "at").select(F.col("fp").alias("a"), "b").filter("a != b")
-    # a midpoint's members can lie up to 2 * radius bits apart, which for an odd bound is one bit more
-    met = met.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits) if bits % 2 else met
-    return near.unionByName(met).distinct()
-
-
-def grouped(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", shingle: int = 4, bits: int = 4, exact: int = 3, most: int = MOST) -> DataFrame:
+    members = keyed.join(several, "key").select("key", "set", "n", "fp")
+    # a crowded group's members go by one of bits + 1 other segments too, of which two within the bound share one
+    others = F.array(*(F.array(*map(F.lit, [i for i in range(SEGMENTS) if i not in chosen][: bits + 1])) for chosen in sets))
+    apart = F.transform(F.get(others, F.col("set")), lambda i: F.xxhash64(F.col("key"), i, F.shiftrightunsigned(F.col("fp"), 0).bitwiseAND(_segment_mask(i))))
+    most = CROWDED if most is None else most
+    able = all(SEGMENTS - len(chosen) > bits for chosen in sets)
+    group = F.when(F.col("n") > most, apart).otherwise(F.array(F.xxhash64("key"))) if able else F.array(F.xxhash64("key"))
+    n = shuffle_partitions(fps.sparkSession)
+    found = members.select(F.explode(group).alias("key"), "fp").repartition(n, "key").sortWithinPartitions("key")
+    return found.mapInArrow(_compare(bits), "a long, b long").distinct()
+
+
+def _segment_mask(i: Column) -> Column:
+    return F.get(F.array(*(F.lit((255 << WIDTH * k) - ((1 << 64) if k == SEGMENTS - 1 else 0)).cast("long") for k in range(SEGMENTS))), i)
+
+
+def grouped(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", shingle: int = 4, bits: int = 4, exact: int | None = None) -> DataFrame:
     """A row for each row of ``docs``: id, text_hash (of the text as it is), fp (signed), group and component_id.
 
-    Rows of one component have one group, a fingerprint, also where no id is known.
+    Rows of one component have one group, a fingerprint, also where no id is known. ``exact`` is
+    chosen by the number of distinct fingerprints if it isn't given; any choice gives the same links.
     """
     folder = shared_folder(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("id"), text_of(docs, text).alias("_text")).withColumn("text_hash", F.xxhash64("_text"))
     kind = dict(rows.dtypes)["id"]
     marked = rows.select("id", "text_hash", "_text").mapInArrow(_fingerprints(shingle), f"id {kind}, text_hash long, fp long")
     marked = stored(marked, folder, "fingerprints")
-    fps = stored(marked.groupBy("fp").agg(F.min("id").alias("least")), folder, "distinct")
-    found = connected_components(links(fps.select("fp"), bits=bits, exact=exact, most=most), folder)
+    fps = stored(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), folder, "distinct")
+    exact = exact or (3 if fps.count() <= MANY else 4)
+    found = connected_components(links(fps.select("fp"), bits=bits, exact=exact), folder)
     joined = fps.join(found.withColumnRenamed("node", "fp"), "fp")
     parts = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     linked_fps = joined.select("fp", "root").join(parts, "root").select("fp", "root", "component_id")
-    of_fp = fps.join(linked_fps, "fp", "left").select("fp", F.coalesce("root", "fp").alias("group"), F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(stored(of_fp, folder, "components"), "fp").select("id", "text_hash", "fp", "group", "component_id")
+    of_fp = fps.join(linked_fps, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("group"), F.coalesce("component_id", "least").alias("component_id"))
+    return join_counted(marked, stored(of_fp, folder, "components"), "fp").select("id", "text_hash", "fp", "group", "component_id")
 
 
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", **options) -> DataFrame:
@@ -208,8 +235,8 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", **options) ->
     Words are lower-cased (A-Z) runs of ``[^\\x20\\x09-\\x0D]+``; a text of fewer than ``shingle``
     words is one shingle; one without words, or null, has fingerprint 0 and is linked like any other.
     component_id is the smallest id reachable over links of at most ``bits`` bits; null ids don't
-    count for it, and a component of null ids has none. Repeated rows stay. An empty table gives no
-    rows. Other columns of ``docs`` are not read.
+    count for it, and a component of null ids has none. Repeated rows stay. A text of any length is
+    hashed as a whole. An empty table gives no rows. Other columns of ``docs`` are not read.
     """
     return grouped(docs, id_column=id_column, **options).select(F.col("id").alias(id_column), "fp", "component_id")
 
