@@ -4,7 +4,8 @@ A window is ``length`` consecutive words of one text. Any two equal windows, whe
 share an offset below the period at which both lie on a position of a difference cover modulo the
 period. So it is enough to hash short windows (anchors) at cover positions only: equal windows hold
 an equal, equally placed anchor. Anchors that occur twice mark where matches can be; from there
-the candidates extend to full windows, which are compared by 128-bit hashes.
+the candidates extend to full windows, which are compared by two independent 64-bit hashes of words
+and windows.
 
 Data flow: texts are dealt into buckets of bounded size, once. A bucket sends each of its distinct
 anchor hashes to a shard of the hash space, packed with others; a shard, having seen all buckets,
@@ -56,8 +57,8 @@ class Plan:
         """Word spans and hashes of a slice, and of each word its place in its text and the words from it on."""
         starts, ends, first = word_spans(data, limits)
         n = np.diff(first)
-        at = np.arange(len(starts)) - np.repeat(first[:-1], n)
-        return starts, ends, first, hash_words(data, starts, ends), at, np.repeat(n, n) - at
+        at = np.arange(len(starts), dtype=np.int32) - np.repeat(first[:-1], n).astype(np.int32)
+        return starts, ends, first, hash_words(data, starts, ends), at, np.repeat(n, n).astype(np.int32) - at
 
     def anchors(self, h: np.ndarray, at: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where anchors start, and their hashes; none in a text that is shorter than a window."""
@@ -71,9 +72,12 @@ class Plan:
         np.add.at(step, where + 1, -1)
         return np.flatnonzero((np.cumsum(step[:-1]) > 0) & (left >= self.length))
 
-    def windows(self, h: np.ndarray, where: np.ndarray) -> np.ndarray:
-        """128-bit hashes, a row of two numbers each."""
-        return np.stack([hash_windows(h, self.length, base)[where] for base in WINDOW_BASES], axis=1) if len(where) else np.empty((0, 2), np.uint64)
+    def windows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """Two hashes of each window, a row of two numbers; the second one is over other hashes of the words."""
+        if not len(where):
+            return np.empty((0, 2), np.uint64)
+        pair = zip((h, hash_words(data, starts, ends, 1)), WINDOW_BASES, strict=True)
+        return np.stack([hash_windows(words, self.length, base)[where] for words, base in pair], axis=1)
 
     def shard_of(self, first: np.ndarray) -> np.ndarray:
         return (first >> np.uint64(33)).astype(np.int64) % self.shards
@@ -172,15 +176,17 @@ class Bucket:
             yield i, j, data, (starts, ends, first, h), self.plan.candidates(own, left, at)
 
     def windows(self, answers: dict[int, bytes]) -> np.ndarray:
-        parts = [self.plan.windows(h, where) for *_, (_, _, _, h), where in self.candidates(answers)]
+        parts = [self.plan.windows(data, starts, ends, h, where) for _, _, data, (starts, ends, _, h), where in self.candidates(answers)]
         return np.concatenate([*parts, np.empty((0, 2), np.uint64)])
 
     def removed(self, answers: dict[int, dict[int, bytes]]):
-        """For each text: row, bytes, word starts and ends in them, and which words a repeated window covers."""
-        found = list(self.candidates(answers[0]))
-        marks = _marked(self.plan, np.concatenate([*(self.plan.windows(h, w) for *_, (_, _, _, h), w in found), np.empty((0, 2), np.uint64)]), answers[1])
+        """For each text: row, bytes, word starts and ends in them, and which words a repeated window covers.
+
+        Only the windows' hashes are held for the whole bucket; slices are gone through once more.
+        """
+        marks = _marked(self.plan, self.windows(answers[0]), answers[1])
         done = 0
-        for i, j, data, (starts, ends, first, _), where in found:
+        for i, j, data, (starts, ends, first, _), where in self.candidates(answers[0]):
             own = where[marks[done : done + len(where)]]
             done += len(where)
             step = np.zeros(len(starts) + self.plan.length + 1, dtype=np.int32)
@@ -225,6 +231,12 @@ def bucket_count(docs: DataFrame) -> int:
     return int(min(2**24, max(least, math.ceil(size / each))))
 
 
+def shard_count(docs: DataFrame) -> int:
+    """Shards of the hash space, one for 64 MB of stored text at least, so that none grows with the input."""
+    size, least = input_bytes(docs), shuffle_partitions(docs.sparkSession)
+    return least if size >= 2**60 else int(min(2**20, max(least, math.ceil(size / 2**26))))
+
+
 def remove_repeated(docs: DataFrame, *, text: str = "text", length: int = LENGTH, period: int = PERIOD, cover: tuple[int, ...] = COVER, digest: bool = False) -> DataFrame:
     """Removes each word covered by a ``length``-word window whose word sequence starts anywhere else too.
 
@@ -232,20 +244,36 @@ def remove_repeated(docs: DataFrame, *, text: str = "text", length: int = LENGTH
     either the text without the removed words or, with ``digest``, the SHA-256 of the kept words in
     place of it (kept_sha256). A text from which nothing goes stays as it is.
 
-    A null text has no words and stays null. Texts of fewer words than a window stay. A row that is
-    repeated repeats its windows. Null ids, empty tables and further columns pass through; those
-    named like an added one are replaced. Hash equality of 128 bits counts as equality.
+    A null text has no words and stays null. Texts of fewer words than a window stay. A text of any
+    length is gone through in slices. A row that is repeated repeats its windows. Null ids, empty
+    tables and further columns pass through; those named like an added one are replaced. Equality of
+    two independent 64-bit hashes counts as equality.
     """
-    spark = docs.sparkSession
-    n, shards = bucket_count(docs), shuffle_partitions(spark)
-    plan = Plan(length, period, cover, shards)
+    at = docs.columns.index(text)
+    new = ["n_words", "n_removed", *["kept_sha256"] * digest]
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if i != at and c.lower() not in new]
+    found = _removed(docs, text, Plan(length, period, cover, shard_count(docs)), digest)
+    return found.select(*kept, "n_words", "n_removed", F.col("value").alias("kept_sha256" if digest else text))
+
+
+def without_repeated(docs: DataFrame, *, text: str = "text", length: int = LENGTH, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
+    """``docs`` in its own columns, whatever their names, its texts without the words that ``remove_repeated`` removes."""
+    at = docs.columns.index(text)
+    found = _removed(docs, text, Plan(length, period, cover, shard_count(docs)), False)
+    return found.select(*(F.col("value" if i == at else f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
+def _removed(docs: DataFrame, text: str, plan: Plan, digest: bool) -> DataFrame:
+    """Columns c0, c1, ... of ``docs`` but the text, n_words, n_removed and value."""
+    n, parts = bucket_count(docs), shuffle_partitions(docs.sparkSession)
     inner = plainly_named(docs)
     at = docs.columns.index(text)
     others = [c for i, c in enumerate(inner.columns) if i != at]
-    plain = [F.col(c) for c, kind in inner.dtypes if c in others and "map<" not in kind and "variant" not in kind]
-    seed = F.xxhash64(text_of(inner, f"c{at}"), *plain)
+    # equal rows are dealt apart by where they were read, which a task that runs again finds again
+    rows = inner.select(*others, F.col(f"c{at}").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), "row"), F.lit(n)).cast("int")).drop("row")
     # the same exchange serves all three stages
-    dealt = inner.select(*others, F.col(f"c{at}").cast("string").alias("text"), F.pmod(seed, F.lit(n)).cast("int").alias("bucket")).repartition(shards, "bucket")
+    dealt = dealt.repartition(max(parts, min(n, plan.shards)), "bucket")
 
     def anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return _packed(plan, key[0].as_py(), Bucket(plan, table["text"]).anchors())
@@ -267,8 +295,4 @@ def remove_repeated(docs: DataFrame, *, text: str = "text", length: int = LENGTH
     both = lambda answers, f, schema: answers.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(f, schema)
     second = both(first, windows, _PACKED).groupBy("shard").applyInArrow(_answers(2, 1), _ANSWER)
     schema = T.StructType([*inner.select(*others).schema.fields, *T.StructType.fromDDL("n_words long, n_removed long, value string").fields])
-    out = both(first.unionByName(second), removed, schema)
-    new = ["n_words", "n_removed", *["kept_sha256"] * digest]
-    value = F.col("value").alias("kept_sha256" if digest else text)
-    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if i != at and c.lower() not in new]
-    return out.select(*kept, "n_words", "n_removed", value)
+    return both(first.unionByName(second), removed, schema)
