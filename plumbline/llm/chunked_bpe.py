@@ -63,26 +63,30 @@ def zones(text: str, chunk: int, overlap: int, pattern: str = PATTERN) -> tuple[
 def stitch(parts: list[tuple[str, list[int], list[int]]], chunk: int, pattern: str = PATTERN) -> list[str]:
     """Cuts a text, given as overlapping (text, head, tail) chunks, into pieces that encode by themselves.
 
-    Where the overlap of two chunks has no common boundary (one pre-token fills it), both are joined
-    and the boundaries found anew, so the result is always exact.
+    Where the overlap of two chunks has no common boundary (one pre-token fills it), chunks are joined,
+    and boundaries are found anew each time that what is joined has doubled. So the result is always
+    exact, and the work is in proportion to the text.
     """
     pieces: list[str] = []
-    open_text, at, (_, _, tail) = parts[0][0], 0, parts[0]
-    width = chunk  # code points of open_text before the next chunk's start
+    joined, at, tail = [parts[0][0]], 0, parts[0][2]
+    width = chunk  # code points that are joined before the next chunk's start
+    due = 2 * chunk
     for text, head, next_tail in parts[1:]:
-        common = sorted(set(head) & set(tail))
-        common = [c for c in common if width + c > at]
-        if common:
-            pieces.append(open_text[at : width + common[0]])
-            open_text, at, width, tail = text, common[0], chunk, next_tail
-        else:
-            open_text = open_text[:width] + text
-            width += chunk
-            marks = [i - width for i in boundaries(open_text[at:], pattern)]
-            marks = [i + at for i in marks]
-            seen = len(open_text) - width
-            tail = [i for i in marks if 0 < i <= seen * 3 // 4 and not open_text[width + i - 1].isspace()]
-    pieces.append(open_text[at:])
+        common = min(set(head) & set(tail), default=None)
+        if common is not None and width + common > at:
+            pieces.append("".join(joined)[at : width + common])
+            joined, at, tail, width, due = [text], common, next_tail, chunk, 2 * chunk
+            continue
+        joined[-1] = joined[-1][:chunk]
+        joined.append(text)
+        width, tail = width + chunk, []
+        if width >= due:
+            whole = "".join(joined)
+            seen = len(whole) - width
+            marks = [i + at - width for i in boundaries(whole[at:], pattern)]
+            tail = [i for i in marks if 0 < i <= seen * 3 // 4 and not whole[width + i - 1].isspace()]
+            due = 2 * width
+    pieces.append("".join(joined)[at:])
     return pieces
 
 
@@ -182,7 +186,8 @@ def round_trip(docs: DataFrame, ranks: str | None = None, *, chunk: int = CHUNK,
     """Encodes ``docs(doc_id, text)``, decodes the ids, and returns doc_id, n_tokens and both SHA-256.
 
     A null or empty text has no ids; its hashes are those of the empty string. Null and repeated
-    doc_ids stay, a row each. Texts of over ``chunk`` code points go through overlapping chunks.
+    doc_ids stay, a row each. Texts of over ``chunk`` code points go through overlapping chunks; an
+    empty table gives no rows.
     Other columns of ``docs`` are not read.
     """
     path = ranks or bpe.default_ranks()
