@@ -1,6 +1,8 @@
 """Raw documents to packed training sequences, in five stages.
 
-Each stage takes all that its predecessor kept. All but the last return the columns of documents.
+Each stage takes all that its predecessor kept. All but the last return the columns of documents, of
+whatever names, with their values; only text and n_chars change. Null ids and repeated rows are rows
+like others, a null text is an empty one, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -15,9 +17,10 @@ from plumbline.llm.common import shared_folder, stored
 ORACLE_SQL = None
 
 
-def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The given columns, n_chars as the changed text has it."""
-    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*(F.col(f"`{c}`") for c in columns))
+def _counted(docs: DataFrame) -> DataFrame:
+    """The same columns, n_chars as the changed text has it; a table without n_chars gets none."""
+    length = F.length("text").cast("long")
+    return docs.select(*((length if c == "n_chars" else F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +38,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of passages that occur elsewhere too; one may be left empty."""
-    return _with_text(substring_dedup.remove_repeated(docs), docs.columns)
+    return _counted(substring_dedup.without_repeated(docs))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets masked."""
-    masked = secret_markov.scan(docs, redacted=True)
-    return _with_text(masked.withColumn("text", F.col("redacted")), docs.columns)
+    return _counted(secret_markov.masked(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
