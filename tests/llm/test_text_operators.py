@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -19,7 +21,7 @@ from tokenizers import Tokenizer
 
 from plumbline.llm import bpe, chunked_bpe, packing, quality_rules, secret_markov, simhash_pigeonring, substring_dedup
 from plumbline.llm.common import hash_windows, hash_words, stored, shared_folder, word_spans
-from tests.llm.conftest import rows
+from tests.llm.conftest import prose, rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -110,6 +112,51 @@ def test_scan_masks_values_and_keeps_rows(docs, no_docs, spark):
     assert secret_markov.summary(secret_markov.scan(df)).first()["spans"] == f"random:4:{4 + len(token)}"
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet="aZ9+/_=- .é漢\n", max_size=30), min_size=1, max_size=6))
+def test_token_scores_of_many_texts_are_those_of_each_token(texts):
+    ratio = np.random.default_rng(3).normal(0, 1, (secret_markov.SIZE + 1, secret_markov.SIZE))
+    model = secret_markov.Model(ratio, -1e9)
+    token = re.compile(r"[A-Za-z0-9+/_=-]+")
+    got = list(secret_markov.spans_of(pa.array(texts, pa.string()), model))
+    assert [[(a, b) for k, a, b in own if k == "random"] for _, own in got] == [[m.span() for m in token.finditer(t) if all(m.end() <= x or y <= m.start() for _, x, y in secret_markov.base_spans(t))] for t in texts]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    limits = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    scores = secret_markov.token_scores(data, limits, ratio)[2]
+    assert np.allclose(scores, [model.score(m.group()) for t in texts for m in token.finditer(t)])
+
+
+def test_planted_tokens_are_found_and_prose_is_left_alone(spark):
+    r, letters = random.Random(17), secret_markov.ALPHABET[:62]
+    plant = {i: "".join(r.choice(letters) for _ in range(r.choice([14, 16, 20, 24, 32, 40]))) for i in range(0, 400, 4)}
+    words = secret_markov._WORDS
+    texts = [prose(3000 + i, 120) + " " + "_".join(r.choice(words) for _ in range(4)) + f" /{r.choice(words)}/{r.choice(words)}-{r.randrange(999)} 2024-05-{i % 28:02d} " + (plant[i] if i in plant else "") for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {x["doc_id"]: [texts[x["doc_id"]][s["start"] : s["end"]] for s in x["spans"]] for x in secret_markov.scan(docs).collect()}
+    caught = sum(plant[i] in found[i] for i in plant)
+    false = sum(len(f) for f in found.values()) - caught
+    assert caught / len(plant) >= 0.9 and false / len(texts) <= 0.005
+
+
+def test_bound_weighs_misses_and_false_finds():
+    at = np.zeros((2, secret_markov.STEPS + 1))
+    at[0, [12, 60]] = 1, 99
+    at[1, [0, 30]] = 10**6, 10
+    assert secret_markov.bound_of(*at) == 10  # one in 10^5 false costs as much as a hundredth missed
+    at[1, 30] = 10**4
+    assert secret_markov.bound_of(*at) == 31
+
+
+def test_many_spans_take_time_in_proportion():
+    model, took = secret_markov.Model(np.full((secret_markov.SIZE + 1, secret_markov.SIZE), 1.0)), []
+    for n in (4000, 8000):
+        text = "token=abcdefgh ZZZZZZZZZZZZ " * n
+        start = time.perf_counter()
+        assert len(secret_markov.all_spans(text, model)) == 2 * n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 3 * took[0] + 0.05
+
+
 # substrings
 
 
@@ -215,6 +262,40 @@ def test_links_of_dense_clusters(spark, bits, exact, most):
     assert {frozenset(g) for g in got.values()} == {frozenset(g) for g in of.values()}
 
 
+@pytest.mark.parametrize("spread", [12, 40])
+def test_split_groups_lose_no_link(spread):
+    r = random.Random(spread)
+    members = np.unique(np.array([sum(1 << b for b in r.sample(range(spread), r.randrange(7))) for _ in range(600)] + [r.getrandbits(spread) for _ in range(300)], np.uint64))
+    of = plain_components(members.tolist(), 4)
+    root = {x: x for x in members.tolist()}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in zip(*simhash_pigeonring.search_group(members, 4, together=20), strict=True):
+        root[top(int(a))] = top(int(b))
+    got = {}
+    for x in root:
+        got.setdefault(top(x), set()).add(x)
+    assert {frozenset(g) for g in got.values()} == {frozenset(g) for g in of.values()}
+    parts = list(simhash_pigeonring.parts_of(members, 4, 20))
+    assert max(map(len, parts)) <= max(20, 2**8)
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    from plumbline.llm import common
+
+    rows_ = spark.createDataFrame([(i, 7 if i % 3 else i) for i in range(3000)], "id long, fp long")
+    table = stored(rows_.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("least")), shared_folder(spark), "t")
+    for most in (4, common.HOT):
+        monkeypatch.setattr(common, "HOT", most)
+        out = common.join_counted(rows_, table, "fp")
+        assert out.count() == 3000 and out.columns == ["fp", "id", "least"]
+        assert out.filter("fp = 7").agg(F.max("least"), F.count("*")).first()[:] == (1, 2000)
+
+
 def test_chain_test_passes_every_close_pair():
     r = random.Random(5)
     sets = simhash_pigeonring.key_sets(8, 4, 3)
@@ -295,6 +376,18 @@ def test_stitched_pieces_encode_like_the_text(parts):
     assert [i for p in pieces for i in encoding.encode_ordinary(p)] == encoding.encode_ordinary(text)
 
 
+def test_a_pre_token_over_many_chunks_takes_time_in_proportion():
+    took = []
+    for n in (60, 120):
+        text = "é x" + "q" * (n * 4096) + " end"
+        chunks = [(text[a : a + 4096 + 512], *chunked_bpe.zones(text[a : a + 4096 + 512], 4096, 512)) for a in range(0, len(text), 4096)]
+        start = time.perf_counter()
+        pieces = chunked_bpe.stitch(chunks, 4096)
+        took.append(time.perf_counter() - start)
+        assert "".join(pieces) == text
+    assert took[1] < 3 * took[0] + 0.05
+
+
 def test_both_engines_give_the_same_ids():
     tokenizer = Tokenizer.from_file(bpe.default_tokenizer())
     tokenizer.encode_special_tokens = True
@@ -306,7 +399,7 @@ def test_both_engines_give_the_same_ids():
 # columns of any name
 
 
-def test_clashing_names(clashing):
+def test_clashing_names(clashing, docs):
     n = len(rows())
     assert quality_rules.only_kept(clashing).columns == clashing.columns
     assert quality_rules.only_kept(clashing).filter("bucket != 0").count() == 0
@@ -316,3 +409,9 @@ def test_clashing_names(clashing):
     assert packing.pack_documents(clashing).select("doc_id").count() >= n
     assert chunked_bpe.round_trip(clashing).count() == n
     assert quality_rules.apply_rules(clashing).filter(F.col("kept").isNull()).count() == 0
+    # values, not only names
+    own = [f"`{c}`" for c in clashing.columns if c not in docs.columns]
+    want = {tuple(range(len(own)))}
+    for out, texts in ((substring_dedup.without_repeated(clashing), substring_dedup.remove_repeated(docs)), (secret_markov.masked(clashing), secret_markov.scan(docs, redacted=True).select("doc_id", F.col("redacted").alias("text")))):
+        assert out.columns == clashing.columns and {tuple(r) for r in out.select(own).collect()} == want
+        assert Counter(map(tuple, out.select("doc_id", "text").collect())) == Counter(map(tuple, texts.select("doc_id", "text").collect()))
