@@ -1,11 +1,16 @@
 """URL filter: rules first, then a character language-model ratio, in built-in expressions only.
 
 URLs that a rule decides train two smoothed variable-order Markov models, one for accepted and one
-for rejected URLs. Each interpolates contexts of two, one and no characters (Witten-Bell), so an
-unseen context falls back to a shorter one. Over an alphabet of A symbols the difference of both
-log-likelihoods is a table of A**3 whole numbers (thousandths), whatever the input's size, so it
-can be broadcast. A URL's score is the mean of its entries, and the threshold
-is where scores of accepted and rejected URLs lie equally many deviations from their means.
+for rejected URLs; a share of them, HELD_OUT by their checksum, is kept apart. A model's contexts are
+the ORDER - 1 characters before one, whatever characters they are, and each shorter context is what a
+longer one backs off to (Witten-Bell), so an unseen one falls back to what has been seen of it. What
+is counted grows with the pages: every character sequence of ORDER that occurs has a row, a whole
+number of thousandths, the difference of both log-likelihoods. A URL's score is the mean over its
+characters, and the threshold is where scores of accepted and rejected held-out URLs lie equally many
+deviations from their means.
+
+Counts are pre-aggregated before they are shuffled. URLs meet the weights in a join of which each key
+is dealt over SALTS tasks, as sequences like that of a scheme occur in all URLs.
 """
 
 from __future__ import annotations
@@ -13,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import shared_folder, stored
+
 #: Rules as (verdict, host and path).
 RULES = (
     ("allow", "com/"),
@@ -22,11 +29,14 @@ RULES = (
     ("block", "net/fr/"),
 )
 
-#: Symbol i + 1 of the models is character i; 0 is any other and what precedes a URL.
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789./-_?=&#%:+~"
-SIZE = len(ALPHABET) + 1
+#: Characters of the longest sequence, the least likelihood (one of the characters there may be), tasks that a sequence is dealt over.
+ORDER, LEAST, SALTS = 5, "1e0 / 65536", 8
+#: First digits of a held-out URL's SHA-256.
+HELD_OUT = "012"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Stands for what is before a URL.
+_BEFORE = "\x02"
 
 
 def host_of(url: Column) -> Column:
@@ -51,83 +61,87 @@ def verdict_of(rule: Column, rules=RULES) -> Column:
     return F.when(rule.isin(*(r for v, r in rules if v == "allow")), F.lit("allow")).when(rule.isNotNull(), F.lit("block"))
 
 
-def trigrams(url: Column) -> Column:
-    """For each character the number of it and the two before it, in base SIZE."""
+def held_out(url: Column) -> Column:
+    return F.substring(F.sha2(F.coalesce(url, F.lit("")), 256), 1, 1).isin(*HELD_OUT)
+
+
+def sequences(url: Column) -> Column:
+    """For each character it and the ORDER - 1 before it, as a string."""
     characters = F.regexp_extract_all(F.translate(F.coalesce(url, F.lit("")), _UPPER, _LOWER), F.lit("(?s)(.)"), F.lit(1))
-    symbols = F.transform(characters, lambda c: F.position(c, F.lit(ALPHABET)))
 
-    def numbered(x: Column) -> Column:
-        zero, n = F.lit(0), F.size(x)
-        before = F.slice(F.concat(F.array(zero), x), F.lit(1), n)
-        twice = F.slice(F.concat(F.array(zero, zero), x), F.lit(1), n)
-        return F.zip_with(F.zip_with(twice, before, lambda a, b: a * SIZE + b), x, lambda ab, c: ab * SIZE + c)
+    def joined(x: Column) -> Column:
+        out = x
+        for k in range(1, ORDER):  # characters k places before
+            earlier = F.slice(F.concat(F.array_repeat(F.lit(_BEFORE), k), x), F.lit(1), F.size(x))
+            out = F.zip_with(earlier, out, lambda a, b: F.concat(a, b))
+        return out
 
-    return F.transform(F.array(symbols), numbered)[0]
+    return F.transform(F.array(characters), joined)[0]
 
 
 def _probability(order: int, kind: str) -> str:
-    """SQL of an interpolated probability from count c, its context's count s and distinct symbols t."""
-    shorter = f"1e0 / {SIZE}" if order == 0 else f"p{order - 1}_{kind}"
+    """SQL of an interpolated likelihood from count c, its context's count s and distinct successors t."""
+    shorter = LEAST if order == 1 else f"p{order - 1}_{kind}"
     c, s, t = (f"{x}{order}_{kind}" for x in "cst")
     return f"CASE WHEN coalesce({s}, 0) = 0 THEN {shorter} ELSE (coalesce({c}, 0) + {t} * ({shorter})) / ({s} + {t}) END"
 
 
-_SUMS = "sum(c{o}_a) AS s{o}_a, sum(c{o}_r) AS s{o}_r, sum(CASE WHEN c{o}_a > 0 THEN 1 ELSE 0 END) AS t{o}_a, sum(CASE WHEN c{o}_r > 0 THEN 1 ELSE 0 END) AS t{o}_r"
-
-
-def _weights_sql(counts: str, grid: str, div: str) -> str:
-    """SQL from counts(g, c2_a, c2_r) to weights (g, w) for every g in grid."""
-    both = lambda o: ", ".join(f"{_probability(o, k)} AS p{o}_{k}" for k in "ar")
-    return f"""
-    WITH bi AS (SELECT g % {SIZE**2} AS bc, sum(c2_a) AS c1_a, sum(c2_r) AS c1_r FROM {counts} GROUP BY 1),
-    uni AS (SELECT bc % {SIZE} AS c, sum(c1_a) AS c0_a, sum(c1_r) AS c0_r, 0 AS z FROM bi GROUP BY 1),
-    ctx2 AS (SELECT g {div} {SIZE} AS ab, {_SUMS.format(o=2)} FROM {counts} GROUP BY 1),
-    ctx1 AS (SELECT bc {div} {SIZE} AS b, {_SUMS.format(o=1)} FROM bi GROUP BY 1),
-    ctx0 AS (SELECT z, {_SUMS.format(o=0)} FROM uni GROUP BY 1),
-    grid AS (SELECT g, g {div} {SIZE} AS ab, g % {SIZE**2} AS bc, (g {div} {SIZE}) % {SIZE} AS b, g % {SIZE} AS c, 0 AS z FROM {grid}),
-    o0 AS (SELECT grid.*, {both(0)} FROM grid LEFT JOIN ctx0 ON grid.z = ctx0.z LEFT JOIN uni ON grid.c = uni.c),
-    o1 AS (SELECT o0.*, {both(1)} FROM o0 LEFT JOIN ctx1 ON o0.b = ctx1.b LEFT JOIN bi ON o0.bc = bi.bc),
-    o2 AS (SELECT o1.g, {both(2)} FROM o1 LEFT JOIN ctx2 ON o1.ab = ctx2.ab LEFT JOIN {counts} k ON o1.g = k.g)
-    SELECT g, cast(round(1000e0 * (ln(p2_a) - ln(p2_r))) AS bigint) AS w FROM o2"""
+def _weights_sql(counts: str, grid: str) -> str:
+    """SQL from counts(g, c_a, c_r) of trained sequences to weights (g, w) for every g in grid."""
+    steps = [f"n{ORDER} AS (SELECT g, c_a AS c{ORDER}_a, c_r AS c{ORDER}_r FROM {counts})"]
+    for k in range(ORDER - 1, 0, -1):
+        steps.append(f"n{k} AS (SELECT right(g, {k}) AS g, sum(c{k + 1}_a) AS c{k}_a, sum(c{k + 1}_r) AS c{k}_r FROM n{k + 1} GROUP BY 1)")
+    for k in range(1, ORDER + 1):
+        sums = ", ".join(f"sum(c{k}_{x}) AS s{k}_{x}, sum(CASE WHEN c{k}_{x} > 0 THEN 1 ELSE 0 END) AS t{k}_{x}" for x in "ar")
+        steps.append(f"x{k} AS (SELECT left(g, {k - 1}) AS x, {sums} FROM n{k} GROUP BY 1)")
+    before = grid
+    for k in range(1, ORDER + 1):
+        p = ", ".join(f"{_probability(k, x)} AS p{k}_{x}" for x in "ar")
+        own = ", ".join(f"d.p{k - 1}_{x}" for x in "ar") if k > 1 else ""
+        given = f"SELECT d.g, {own + ', ' if own else ''}{p} FROM {before} d LEFT JOIN x{k} ON x{k}.x = left(right(d.g, {k}), {k - 1}) LEFT JOIN n{k} ON n{k}.g = right(d.g, {k})"
+        steps.append(f"o{k} AS ({given})")
+        before = f"o{k}"
+    return f"WITH {', '.join(steps)} SELECT g, cast(round(1000e0 * (ln(p{ORDER}_a) - ln(p{ORDER}_r))) AS bigint) AS w FROM o{ORDER}"
 
 
 def fit(judged: DataFrame, folder: str) -> DataFrame:
-    """Weights (g, w) of all trigrams, from those rows of ``judged(verdict, grams)`` that have a verdict.
+    """Weights (g, w) of all sequences that occur, from those rows of ``judged(verdict, held, grams)`` that train.
 
-    There are SIZE**3 (117,649) rows of 16 bytes, whatever the input's size. Without training rows every weight is 0.
+    Without training rows every weight is 0.
     """
-    from plumbline.llm.common import stored
-
-    spark = judged.sparkSession
-    one = lambda verdict: F.sum(F.when(F.col("verdict") == verdict, 1).otherwise(0))
-    counts = judged.filter(F.col("verdict").isNotNull()).select("verdict", F.explode("grams").alias("g")).groupBy("g").agg(one("allow").alias("c2_a"), one("block").alias("c2_r"))
-    counts = stored(counts.coalesce(8), folder, "counts")
-    weights = spark.sql(_weights_sql("{counts}", "{grid}", "DIV"), counts=counts, grid=spark.range(SIZE**3).select(F.col("id").alias("g")))
-    return stored(weights.coalesce(8), folder, "weights")
+    one = lambda verdict: F.sum(F.when(F.col("trains") & (F.col("verdict") == verdict), 1).otherwise(0))
+    trains = F.col("verdict").isNotNull() & ~F.col("held")
+    counts = judged.select(trains.alias("trains"), "verdict", F.explode("grams").alias("g")).groupBy("g").agg(one("allow").alias("c_a"), one("block").alias("c_r"))
+    counts = stored(counts, folder, "counts")
+    weights = judged.sparkSession.sql(_weights_sql("{counts}", "{grid}"), counts=counts.filter("c_a + c_r > 0"), grid=counts.select("g"))
+    return stored(weights, folder, "weights")
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """Judges every ``pages(page_id, url)``: page_id, host, path, rule, verdict and the score in thousandths.
 
     A null URL and one without ``://`` have empty host and path and fit no rule. An empty URL scores
-    0. If accepted or rejected URLs are missing there is no threshold, and what no rule decides is
-    allowed. Equal scores get equal verdicts; a score at the threshold is allowed. Null ids, repeated
-    rows and an empty table pass through; other columns are not read.
+    0. If accepted or rejected URLs are missing among those held out there is no threshold, and what
+    no rule decides is allowed. Equal scores get equal verdicts; a score at the threshold is allowed.
+    A URL of any length is scored whole. Null ids, repeated rows and an empty table pass through;
+    other columns are not read.
     """
-    from plumbline.llm.common import shared_folder
-
+    folder = shared_folder(pages.sparkSession)
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     judged = pages.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
     judged = judged.withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules))
-    judged = judged.withColumn("verdict", verdict_of(F.col("rule"), rules)).withColumn("grams", trigrams(F.col("url")))
-    weights = fit(judged, shared_folder(pages.sparkSession))
-    keys = ["row", "page_id", "host", "path", "rule", "verdict"]
-    each = judged.withColumn("row", F.monotonically_increasing_id()).select(*keys, F.explode_outer("grams").alias("g"))
-    sums = each.join(F.broadcast(weights), "g", "left").groupBy(*keys).agg(F.sum("w").alias("w"), F.count("g").alias("n"))
-    scored = sums.withColumn("score", F.coalesce(F.floor(F.try_divide(F.col("w").cast("double"), F.col("n"))), F.lit(0)).cast("long")).drop("w", "n", "row")
+    judged = judged.withColumn("verdict", verdict_of(F.col("rule"), rules)).withColumn("held", held_out(F.col("url")))
+    judged = stored(judged.withColumn("row", F.monotonically_increasing_id()), folder, "judged")
+    with_grams = judged.withColumn("grams", sequences(F.col("url")))
+    weights = fit(with_grams, folder)
+    each = with_grams.select("row", F.pmod("row", F.lit(SALTS)).alias("salt"), F.explode("grams").alias("g"))
+    salted = weights.select("g", "w", F.explode(F.array(*(F.lit(i).cast("long") for i in range(SALTS)))).alias("salt"))
+    sums = each.join(salted, ["g", "salt"]).groupBy("row").agg(F.sum("w").alias("w"), F.count("g").alias("n"))
+    score = F.coalesce(F.floor(F.try_divide(F.col("w").cast("double"), F.col("n"))), F.lit(0)).cast("long")
+    scored = stored(judged.join(sums, "row", "left").select("page_id", "host", "path", "rule", "verdict", "held", score.alias("score")), folder, "scored")
     s = F.col("score")
     of = lambda verdict: F.when(F.col("verdict") == verdict, s)
-    marks = scored.filter(F.col("verdict").isNotNull()).agg(*(f(of(v)).alias(f"{name}_{v}") for v in ("allow", "block") for name, f in (("n", F.count), ("s", F.sum), ("q", lambda x: F.sum(x * x)))))
+    marks = scored.filter("verdict IS NOT NULL AND held").agg(*(f(of(v)).alias(f"{name}_{v}") for v in ("allow", "block") for name, f in (("n", F.count), ("s", F.sum), ("q", lambda x: F.sum(x * x)))))
     threshold = marks.select(F.expr(_threshold_sql()).alias("threshold")).scalar()
     own = F.when(s < threshold, F.lit("block")).otherwise(F.lit("allow"))
     return scored.withColumn("verdict", F.coalesce("verdict", own)).select("page_id", "host", "path", "rule", "verdict", "score")
@@ -147,20 +161,20 @@ def oracle_sql(rules=RULES) -> str:
         own, slash, rest = rule.partition("/")
         fits.append(f"WHEN (host = '{own}' OR suffix(host, '.{own}')) AND prefix(path, '{slash}{rest}') THEN '{rule}'")
     verdicts = " ".join(f"WHEN rule = '{r}' THEN '{v}'" for v, r in rules)
-    one = lambda v, k: f"sum(CASE WHEN verdict = '{v}' THEN 1 ELSE 0 END) AS c2_{k}"
+    one = lambda v: f"sum(CASE WHEN NOT held AND verdict = '{v}' THEN 1 ELSE 0 END)"
     parts = ", ".join(f"count(s) FILTER (verdict = '{v}') AS n_{v}, sum(s) FILTER (verdict = '{v}') AS s_{v}, sum(s * s) FILTER (verdict = '{v}') AS q_{v}" for v in ("allow", "block"))
     return f"""
     WITH urls AS (SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS url FROM pages),
     parts AS (SELECT r, page_id, url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM urls),
-    ruled AS (SELECT *, CASE {' '.join(fits)} END AS rule FROM parts),
+    ruled AS (SELECT *, CASE {' '.join(fits)} END AS rule, contains('{HELD_OUT}', left(sha256(url), 1)) AS held FROM parts),
     judged AS (SELECT *, CASE {verdicts} END AS verdict FROM ruled),
-    letters AS (SELECT r, unnest(range(1, length(url) + 1)) AS i, translate(url, '{_UPPER}', '{_LOWER}') AS url FROM urls),
-    symbols AS (SELECT r, i, strpos('{ALPHABET}', url[i]) AS c FROM letters),
-    grams AS (SELECT r, (coalesce(lag(c, 2) OVER w, 0) * {SIZE} + coalesce(lag(c) OVER w, 0)) * {SIZE} + c AS g FROM symbols WINDOW w AS (PARTITION BY r ORDER BY i)),
-    counts AS (SELECT g, {one('allow', 'a')}, {one('block', 'r')} FROM grams JOIN judged USING (r) WHERE verdict IS NOT NULL GROUP BY g),
-    weights AS ({_weights_sql('counts', f'(SELECT range AS g FROM range({SIZE**3}))', '//')}),
+    letters AS (SELECT r, unnest(range(1, length(url) + 1)) AS i, repeat(chr(2), {ORDER - 1}) || translate(url, '{_UPPER}', '{_LOWER}') AS url FROM urls),
+    grams AS (SELECT r, substring(url, i, {ORDER}) AS g FROM letters),
+    counts AS (SELECT g, {one('allow')} AS c_a, {one('block')} AS c_r FROM grams JOIN judged USING (r) GROUP BY g),
+    trained AS (SELECT * FROM counts WHERE c_a + c_r > 0),
+    weights AS ({_weights_sql('trained', '(SELECT g FROM counts)')}),
     scores AS (SELECT r, cast(floor(cast(sum(w) AS double) / count(*)) AS bigint) AS s FROM grams JOIN weights USING (g) GROUP BY r),
     scored AS (SELECT judged.*, coalesce(s, 0) AS s FROM judged LEFT JOIN scores USING (r)),
-    marks AS (SELECT {parts} FROM scored WHERE verdict IS NOT NULL),
+    marks AS (SELECT {parts} FROM scored WHERE verdict IS NOT NULL AND held),
     mark AS (SELECT {_threshold_sql()} AS threshold FROM marks)
     SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN s < (SELECT threshold FROM mark) THEN 'block' ELSE 'allow' END) AS verdict, s AS score FROM scored"""
