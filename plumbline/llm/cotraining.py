@@ -14,7 +14,7 @@ share of all unlabelled ones at most POOL pseudo-labelled documents a view.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -83,9 +83,9 @@ class Logistic:
     weights: np.ndarray
 
     @staticmethod
-    def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0, steps: int = 120) -> Logistic:
+    def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0, steps: int = 120, start: np.ndarray | None = None) -> Logistic:
         weight, y = weight.astype(x.dtype), y.astype(x.dtype)
-        w, velocity = np.zeros(x.shape[1], x.dtype), np.zeros(x.shape[1], x.dtype)
+        w, velocity = np.zeros(x.shape[1], x.dtype) if start is None else start.astype(x.dtype), np.zeros(x.shape[1], x.dtype)
         rate = 1.0 / (0.25 * power_norm(x, weight) + penalty)
         for step in range(steps):
             at = w + velocity * x.dtype.type(step / (step + 3))
@@ -121,6 +121,8 @@ class Classifier:
     meta_scale: tuple[float, float]
     combined: tuple[float, float, float]
     threshold: float
+    #: Shares of held-out labelled documents that the text view, the metadata view and both judge right, the larger class's share, and rows given by each view in each round.
+    report: dict = field(default_factory=dict)
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probabilities of the text view, the metadata view and both, from raw scores."""
@@ -134,10 +136,10 @@ def _dense_meta(cells: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fit_view(x: np.ndarray, y: np.ndarray, n_train: int) -> Logistic:
-    """Fits labelled rows, of which there are n_train, and after them pseudo-labelled ones of less weight."""
+def _fit_view(x: np.ndarray, y: np.ndarray, n_train: int, before: Logistic | None = None) -> Logistic:
+    """Fits labelled rows, of which there are n_train, and after them pseudo-labelled ones of less weight, from the model before on."""
     classes = np.where(y > 0.5, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-    return Logistic.fit(x, y, classes * np.where(np.arange(len(y)) < n_train, 1.0, 0.3), penalty=0.3)
+    return Logistic.fit(x, y, classes * np.where(np.arange(len(y)) < n_train, 1.0, 0.3), penalty=0.3, steps=60 if before else 120, start=before.weights if before else None)
 
 
 #: For turn, both models and the share of kept ones: rows that each view gives to the other, as (text, meta, verdicts).
@@ -157,26 +159,37 @@ def fit_views(text: np.ndarray, meta: np.ndarray, label: np.ndarray, exchange: E
     share = label[train].mean()
     views = (text, meta)
     rows, verdicts = [[view[train]] for view in views], [[label[train].astype(float)] for _ in views]
+    models: list[Logistic | None] = [None, None]
+    handed = []
     for turn in range(rounds + 1):
-        models = [_fit_view(np.concatenate(x), np.concatenate(y), len(train)) for x, y in zip(rows, verdicts, strict=True)]
+        models = [_fit_view(np.concatenate(x), np.concatenate(y), len(train), m) for x, y, m in zip(rows, verdicts, models, strict=True)]
         if turn == rounds:
             break
-        for k, given in enumerate(exchange(turn, models, share)):  # what view k is sure of goes to the other
-            rows[1 - k].append(given[1 - k])
-            verdicts[1 - k].append(given[2])
+        given = exchange(turn, models, share)
+        handed.append([len(g[2]) for g in given])
+        for k, g in enumerate(given):  # what view k is sure of goes to the other
+            rows[1 - k].append(g[1 - k])
+            verdicts[1 - k].append(g[2])
     y = label[apart].astype(float)
     raw = [(view[apart] @ model.weights).astype(float) for view, model in zip(views, models, strict=True)]
-    even = np.ones(len(y))
+    calibrating = np.arange(len(y)) % 2 == 0 if len(np.unique(y[::2])) == 2 else np.ones(len(y), dtype=bool)
+
+    def fitted(x: np.ndarray) -> Logistic:
+        return Logistic.fit(x[calibrating], y[calibrating], np.ones(int(calibrating.sum())), penalty=1e-2, steps=2000)
 
     def platt(x: np.ndarray) -> tuple[float, float]:
-        slope, shift = Logistic.fit(np.stack([x, np.ones(len(x))], axis=1), y, even, penalty=1e-2, steps=2000).weights
+        slope, shift = fitted(np.stack([x, np.ones(len(x))], axis=1)).weights
         return (max(0.0, float(slope)), float(shift))
 
     scales = [platt(x) for x in raw]
     calibrated = [x * a + b for x, (a, b) in zip(raw, scales, strict=True)]
-    both = Logistic.fit(np.stack([*calibrated, np.ones(len(y))], axis=1), y, even, penalty=1e-2, steps=2000).weights
+    both = fitted(np.stack([*calibrated, np.ones(len(y))], axis=1)).weights
     w, m = (model.weights.astype(float) for model in models)
-    return Classifier(w[:WORDS], w[WORDS:], m, *scales, tuple(map(float, both)), 0.5)
+    half = np.arange(len(y)) % 2 == 1  # of the documents kept apart, these measure what the others calibrate
+    found = Classifier(w[:WORDS], w[WORDS:], m, *scales, tuple(map(float, both)), 0.5)
+    right = [float(np.mean((p[half] >= 0.5) == (y[half] > 0.5))) for p in found.score(*raw)] if half.any() else []
+    report = dict(zip(("text", "meta", "both"), right, strict=False)) | {"larger_class": float(max(y.mean(), 1 - y.mean())), "given": handed}
+    return replace(found, report=report)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,6 +243,12 @@ def _dense(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, _dense_meta(cells).astype(np.float32), y
 
 
+def _one_row_an_id(features: DataFrame, chosen: DataFrame) -> pa.Table:
+    """Label and features of the documents ``chosen(doc_id, label)``; of an id with several rows the least one, so there are no more than ids."""
+    row = F.struct("label", "words", "values_", "shape", "meta")
+    return features.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(row).alias("r")).select("r.*").toArrow()
+
+
 def _exchange(features: DataFrame, known: DataFrame, folder: str, pool: int, each: float = 0.05, confident: float = 0.9) -> Exchange:
     """Judges all unlabelled documents in a pass over ``features`` and takes the surest share of all of them.
 
@@ -258,7 +277,7 @@ def _exchange(features: DataFrame, known: DataFrame, folder: str, pool: int, eac
                 chosen = part if chosen is None else chosen.unionByName(part)
             chosen = stored(chosen, folder, f"given-{turn}-{k}")
             before[k] = chosen.select("doc_id") if before[k] is None else before[k].unionByName(chosen.select("doc_id"))
-            out.append(_dense(features.join(F.broadcast(chosen), "doc_id").select("label", "words", "values_", "shape", "meta").toArrow()))
+            out.append(_dense(_one_row_an_id(features, chosen)))
         return out
 
     return run
@@ -273,8 +292,7 @@ def fit(features: DataFrame, labels: DataFrame, folder: str, *, label: str = "qu
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("long").alias("label"))
     ids = features.select("doc_id").filter("doc_id IS NOT NULL").distinct().join(known, "doc_id")
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    found = features.join(F.broadcast(chosen), "doc_id").select("label", "words", "values_", "shape", "meta").toArrow()
-    return fit_views(*_dense(found), _exchange(features, known.select("doc_id"), folder, pool))
+    return fit_views(*_dense(_one_row_an_id(features, chosen)), _exchange(features, known.select("doc_id"), folder, pool))
 
 
 def _score(model: Classifier):
@@ -291,8 +309,11 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Scores every document: doc_id, text_score, meta_score, score (probabilities) and kept.
 
     Null texts are empty, null metadata have values of their own; null ids and repeated rows are
-    scored like others. Without labels of both classes every score is 0.5 and all are kept. An empty
-    table gives no rows. Texts are read once; their features are kept in the shared folder.
+    scored like others, of several rows of a labelled id one is fitted on. Rows of equal features
+    have equal scores; a score at the threshold is kept. Without labels of both classes every score
+    is 0.5 and all are kept. An empty table gives no rows. A text of any length is one row of hashed
+    words. Texts are read once; their features are kept in the shared folder. Other columns are not
+    read.
     """
     kind, folder = dict(docs.dtypes)["doc_id"], shared_folder(docs.sparkSession)
     features = stored(_prepared(docs).mapInArrow(_features, f"doc_id {kind}, words binary, values_ binary, shape binary, meta binary"), folder, "features")
