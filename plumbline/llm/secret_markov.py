@@ -6,8 +6,8 @@ ordinary identifiers, by a log-likelihood ratio that reaches a bound.
 
 Both models are trained from labelled samples: the patterns label the corpus, what they found being
 random and every other token ordinary, and beside it there are strings drawn from a seeded generator
-and identifiers made from a word list. All documents count; the share HELD_OUT of them, by their
-text's checksum, isn't trained on but sets the bound.
+and identifiers made from a word list. One document in HELD_OUT, by its text's checksum, sets the
+bound of a model trained on the others; the model that is used then counts all documents.
 """
 
 from __future__ import annotations
@@ -186,19 +186,28 @@ def _labelled(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Transitions within tokens, by role; a change of role starts a token."""
-    counts = np.zeros((2, (SIZE + 1) * SIZE), dtype=np.int64)
+    """Transitions within tokens, by role and by whether the text is held out; a change of role starts a token."""
+    size = (SIZE + 1) * SIZE
+    counts = np.zeros((4, size), dtype=np.int64)  # random, ordinary, and both of held-out texts
     for batch in batches:
+        held, done = batch["held"].to_numpy(zero_copy_only=False).astype(np.int64), 0
         for data, limits, role in _labelled(batch["text"]):
             symbol = _INDEX[data].astype(np.int64)
             before = np.append(-1, symbol[:-1])[: len(symbol)]
             before[np.flatnonzero(np.diff(role)) + 1] = -1
             before[limits[:-1][limits[:-1] < len(data)]] = -1
-            cell = (before + 1) * SIZE + symbol
-            for kind in (1, 0):
-                counts[1 - kind] += np.bincount(cell[(symbol >= 0) & (role == kind)], minlength=counts.shape[1])
-    cells = np.flatnonzero(counts.sum(axis=0))
-    yield pa.RecordBatch.from_pydict({"cell": pa.array(cells, pa.int64()), "random": pa.array(counts[0][cells], pa.int64()), "ordinary": pa.array(counts[1][cells], pa.int64())})
+            apart_ = np.repeat(held[done : done + len(limits) - 1], np.diff(limits))
+            done += len(limits) - 1
+            able = (symbol >= 0) & (role < 2)
+            kind = 2 * apart_ + 1 - role
+            counts += np.bincount((kind * size + (before + 1) * SIZE + symbol)[able], minlength=4 * size).reshape(4, size)
+    yield _cells(counts)
+
+
+def _cells(counts: np.ndarray) -> pa.RecordBatch:
+    """A row for each cell that isn't empty."""
+    at = np.flatnonzero(counts.sum(axis=0))
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(c[at], pa.int64()) for c in counts)], ["cell", *(f"n{k}" for k in range(len(counts)))])
 
 
 def steps_of(scores: np.ndarray) -> np.ndarray:
@@ -217,8 +226,7 @@ def _held_out(model: Model, alike: float):
                 starts, ends, scores = token_scores(data, edges, model.ratio)
                 for kind, able in ((1, True), (0, scores < alike * (ends - starts))):
                     counts[1 - kind] += np.bincount(steps_of(scores[(role[starts] == kind) & able]), minlength=STEPS + 1)
-        at = np.flatnonzero(counts.sum(axis=0))
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(at, pa.int64()), "random": pa.array(counts[0][at], pa.int64()), "ordinary": pa.array(counts[1][at], pa.int64())})
+        yield _cells(counts)
 
     return run
 
@@ -244,28 +252,34 @@ def train(docs: DataFrame, smoothing: float = 0.5, text: str = "text", prior: fl
     symbol, so that a few tokens of a small corpus don't vouch for themselves, and the rest that of
     the built-in ones.
     """
-    texts = docs.select(text_of(docs, text).alias("text"))
     held = F.pmod(F.crc32("text"), F.lit(HELD_OUT)) == 0
+    texts = docs.select(text_of(docs, text).alias("text")).withColumn("held", held)
 
-    def summed(part: DataFrame, f, size: int) -> np.ndarray:
-        found = np.zeros((2, size))
-        for cell, *sums in part.mapInArrow(f, "cell long, random long, ordinary long").groupBy("cell").agg(F.sum("random"), F.sum("ordinary")).collect():
+    def summed(part: DataFrame, f, n: int, size: int) -> np.ndarray:
+        found, names = np.zeros((n, size)), [f"n{k}" for k in range(n)]
+        for cell, *sums in part.mapInArrow(f, "cell long, " + ", ".join(f"{c} long" for c in names)).groupBy("cell").agg(*map(F.sum, names)).collect():
             found[:, cell] = sums
-        return found
-
-    log = []
-    for own, built_in in zip(summed(texts.filter(~held), _count, (SIZE + 1) * SIZE).reshape(2, SIZE + 1, SIZE), built_in_samples(), strict=True):
-        base = (built_in + smoothing) / (built_in + smoothing).sum(axis=1, keepdims=True)
-        corpus = (own + prior * base) / (own.sum(axis=1, keepdims=True) + prior)
-        log.append(np.log(CORPUS * corpus + (1 - CORPUS) * base))
-    model = Model(log[0] - log[1])
+        return found.reshape(n, *([-1, SIZE] if f is _count else [size]))
+
+    built_in = built_in_samples()
+
+    def ratio(counts: np.ndarray) -> np.ndarray:
+        log = []
+        for own, sample in zip(counts, built_in, strict=True):
+            base = (sample + smoothing) / (sample + smoothing).sum(axis=1, keepdims=True)
+            corpus = (own + prior * base) / (own.sum(axis=1, keepdims=True) + prior)
+            log.append(np.log(CORPUS * corpus + (1 - CORPUS) * base))
+        return log[0] - log[1]
+
+    counts = summed(texts, _count, 4, (SIZE + 1) * SIZE)
+    model = Model(ratio(counts[:2]))
     tokens = built_in_tokens(seed=8, each=100)
     scores = [np.array([model.score(x) for x in own]) for own in tokens]
     alike = float(np.quantile(scores[0] / np.array([len(x) for x in tokens[0]]), 0.1))
-    seen = summed(texts.filter(held), _held_out(model, alike), STEPS + 1)
+    seen = summed(texts.filter("held").select("text"), _held_out(model, alike), 2, STEPS + 1)
     for k, own in enumerate(scores):
         seen[k] += np.bincount(steps_of(own), minlength=STEPS + 1)
-    return Model(model.ratio, bound_of(*seen))
+    return Model(ratio(counts[:2] + counts[2:]), bound_of(*seen))
 
 
 def _scan(model: Model, redacted: bool):
