@@ -6,8 +6,10 @@ shingle hashes. Texts that share a key are candidates, and a candidate is a link
 similarity of both shingle sets, computed from the texts, is high enough. A pair at 0.8 shares no key of
 least hashes with a probability of (1 - 0.8**ROWS)**BANDS = 7e-5, a closer one with less.
 
-First each text is compared with the least one of its key. Keys whose texts then lie in several
-components are searched whole, so that a least text unlike the others hides none of them.
+First each text is compared with the least one of its key. In a key whose texts then lie in several
+components, those outside its largest one are held against all of its texts, so that a least text
+unlike the others hides none of them. Both are dealt into blocks of about BLOCK texts, and a pair of
+blocks is a group of its own, so that no task holds the texts of a key.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import simhash_pigeonring
-from plumbline.llm.common import WINDOW_BASES, hash_windows, hash_words, mix, shared_folder, shuffle_partitions, stored, text_of, text_slices, word_spans
+from plumbline.llm.common import WINDOW_BASES, hash_windows, hash_words, join_counted, mix, shared_folder, shuffle_partitions, stored, text_of, text_slices, word_spans
 from plumbline.operators.graph import connected_components
 
 SIMILARITY, SHINGLE = 0.8, 5
 BANDS, ROWS = 24, 5
+#: Texts of a block.
+BLOCK = 512
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -81,20 +85,20 @@ def _alike(similarity: float, shingle: int):
     return run
 
 
-def search_key(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links between texts of one key that join all alike ones which aren't in one component yet."""
+def search_key(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], queries: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links between the texts at ``queries`` and all others that join alike ones which aren't in one component yet."""
     sizes = np.array([len(s) for s in sets])
     starts = np.append(0, np.cumsum(sizes)[:-1])
     names, cells = np.unique(np.concatenate(sets), return_inverse=True)
     roots, found = roots.copy(), []
-    for i in range(len(ids) - 1):
-        if (roots[i + 1 :] == roots[i]).all():
+    for i in np.flatnonzero(queries):
+        if (roots == roots[i]).all():
             continue
         mark = np.zeros(len(names), dtype=np.int64)
         mark[cells[starts[i] : starts[i] + sizes[i]]] = 1
-        both = np.add.reduceat(mark[cells[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1])
-        alike = both >= similarity * (sizes[i] + sizes[i + 1 :] - both) - 1e-9
-        for j in np.flatnonzero(alike) + i + 1:
+        both = np.add.reduceat(mark[cells], starts)
+        alike = both >= similarity * (sizes[i] + sizes - both) - 1e-9
+        for j in np.flatnonzero(alike):
             if roots[j] != roots[i]:
                 found.append((int(ids[j]), int(ids[i])))
                 roots[roots == roots[j]] = roots[i]
@@ -103,26 +107,40 @@ def search_key(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], simil
 
 def _search(similarity: float, shingle: int):
     def edges(held: list[tuple]) -> pa.RecordBatch:
-        ids, roots, sets = zip(*held, strict=True)
-        found = search_key(np.array(ids), np.array(roots), list(sets), similarity)
+        ids, roots, queries, sets = zip(*held, strict=True)
+        found = search_key(np.array(ids), np.array(roots), list(sets), np.array(queries), similarity)
         return pa.RecordBatch.from_pydict({c: pa.array([x[i] for x in found], pa.int64()) for i, c in enumerate("ab")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        pair, held = None, []
         for batch in batches:
-            rows = zip(batch["key"].to_pylist(), batch["h"].to_pylist(), batch["root"].to_pylist(), shingle_sets(batch["_text"], shingle), strict=True)
-            for at, h, root, shingles in rows:
-                if at != key and held:
+            columns = (batch[c].to_pylist() for c in ("key", "i", "j", "h", "root", "query"))
+            for *at, h, root, query, shingles in zip(*columns, shingle_sets(batch["_text"], shingle), strict=True):
+                if at != pair and held:
                     yield edges(held)
                     held = []
-                key = at
-                held.append((h, root, shingles))
+                pair = at
+                held.append((h, root, query, shingles))
         if held:
             yield edges(held)
 
     return run
 
 
+def block_pairs(rooted: DataFrame, block: int) -> DataFrame:
+    """``rooted(key, h, root)`` of keys with several roots to (key, i, j, h, root, query): queries, outside the key's largest root, in block i meet all texts in block j."""
+    parts = rooted.groupBy("key", "root").agg(F.count("*").alias("size"))
+    largest = F.max(F.struct("size", "root"))
+    keys = parts.groupBy("key").agg(F.count("*").alias("roots"), F.sum("size").alias("n"), largest.alias("l")).filter("roots > 1")
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    keys = keys.select("key", "n", F.col("l.root").alias("main"), blocks(F.col("n") - F.col("l.size")).alias("ni"), blocks(F.col("n")).alias("nj"))
+    held = join_counted(rooted, stored(keys, shared_folder(rooted.sparkSession), "keys"), "key")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    texts = held.select("key", every(F.col("ni")).alias("i"), F.pmod(F.xxhash64("h"), F.col("nj")).cast("int").alias("j"), "h", "root", F.lit(False).alias("query"))
+    queries = held.filter("root != main").select("key", F.pmod(F.xxhash64("h", F.lit(1)), F.col("ni")).cast("int").alias("i"), every(F.col("nj")).alias("j"), "h", "root", F.lit(True).alias("query"))
+    return texts.unionByName(queries)
+
+
 def components(docs: DataFrame, own: DataFrame, *, text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """(node, root) of text hashes that alike shingles connect; ``own(text_hash, group)`` has SimHash groups."""
     folder = shared_folder(docs.sparkSession)
@@ -139,10 +157,10 @@ def components(docs: DataFrame, own: DataFrame, *, text: str = "text", similarit
     alike = pairs.join(texts, "h").join(others, "rep").select("h", "rep", "_text", "_other").mapInArrow(_alike(similarity, shingle), "a long, b long")
     first = stored(connected_components(alike, folder), folder, "first")
     rooted = members.join(first.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("root", "h").alias("root"))
-    open_ = rooted.groupBy("key").agg((F.min("root") != F.max("root")).alias("several")).filter("several").select("key")
-    rest = rooted.join(open_, "key").join(texts, "h").select("key", "h", "root", "_text")
+    pairs = stored(block_pairs(rooted, BLOCK), folder, "pairs-of-blocks")
+    rest = pairs.join(texts, "h").select("key", "i", "j", "h", "root", "query", "_text")
     n = shuffle_partitions(docs.sparkSession)
-    found = rest.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_search(similarity, shingle), "a long, b long")
+    found = rest.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_search(similarity, shingle), "a long, b long")
     edges = first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
     return connected_components(edges, f"{folder}/again")
 
