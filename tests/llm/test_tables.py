@@ -201,9 +201,86 @@ def test_no_labels_keep_all(spark, docs):
     assert cotraining.classify(docs.limit(0), none).count() == 0
 
 
+def test_one_row_of_an_id_is_fitted_on(spark):
+    data = [(i, prose(i, 40) if i % 2 else "%%% " * 30, "en", "s", 10) for i in range(60)] + [(0, prose(1, 30 + k), "en", "s", 10) for k in range(200)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    folder = warc_fixity.shared_folder(spark)
+    features = warc_fixity.stored(cotraining._prepared(docs).mapInArrow(cotraining._features, "doc_id long, words binary, values_ binary, shape binary, meta binary"), folder, "f")
+    chosen = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, label long")
+    assert cotraining._one_row_an_id(features, chosen).num_rows == 2
+
+
+def test_held_out_documents_measure_both_views(spark):
+    folder = warc_fixity.shared_folder(spark)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    features = warc_fixity.stored(cotraining._prepared(docs).mapInArrow(cotraining._features, "doc_id long, words binary, values_ binary, shape binary, meta binary"), folder, "f")
+    report = cotraining.fit(features, labels, folder).report
+    assert report["both"] >= 0.95 and report["text"] >= 0.95 and len(report["given"]) == cotraining.ROUNDS
+    assert sum(map(sum, report["given"])) > 0
+
+
+# names that clash, and very long texts
+
+
+def test_tables_with_clashing_names(spark, pages):
+    extra = [F.lit(i).alias(c) for i, c in enumerate(("row", "part", "node", "key", "offset", "n", "x", "score", "grams", "salt", "held", "label", "p0", "dotted.name"))]
+    df, _ = pages
+    small = df.filter("page_id < 40")
+    clashing = small.select("*", *extra)
+    assert warc_fixity.audit(clashing, clashing.filter("page_id != 3")).select("key", "fault").collect() == [(3, "missing")]
+    assert Counter(map(tuple, url_markov.judge(clashing).collect())) == Counter(map(tuple, url_markov.judge(small).collect()))
+    vectors = spark.range(60).select(F.col("id").alias("vec_id"), F.array(F.col("id") / 7, F.lit(1.0)).alias("embedding"))
+    assert Counter(map(tuple, impact_search.top_k(vectors.select("*", *extra)).collect())) == Counter(map(tuple, impact_search.top_k(vectors).collect()))
+    docs = spark.createDataFrame([(i, prose(i, 30) + "%" * (i % 2) * 50, "en", "s", 9) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    assert Counter(map(tuple, cotraining.classify(docs.select("*", *(c for c in extra if c is not extra[-3])), labels).collect())) == Counter(map(tuple, cotraining.classify(docs, labels).collect()))
+
+
+def test_very_long_texts(spark):
+    long = prose(40, 60_000)
+    docs = spark.createDataFrame([(1, long, "en", "s", len(long)), (2, long + " more", "en", "s", None), (3, "x" * 300_000, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["component_id"] for r in simhash_pigeonring.near_duplicates(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    assert cotraining.classify(docs, labels).count() == 3
+    left = corpus_pipeline.near_dedup_stage(spark, docs, "").collect()
+    assert {r["doc_id"] for r in left} == {1, 3}
+
+
 # URLs
 
 
+def test_sequences_are_any_characters(spark):
+    df = spark.createDataFrame([("aB漢",), ("",), (None,)], "url string").select(url_markov.sequences(F.col("url")).alias("s"))
+    assert [r["s"] for r in df.collect()] == [["\x02\x02\x02\x02a", "\x02\x02\x02ab", "\x02\x02ab漢"], [], []]
+
+
+def test_longer_contexts_and_other_scripts_tell_urls_apart(spark):
+    r = random.Random(6)
+    data = []
+    for i in range(1200):
+        word = "".join(r.choice("abcd") for _ in range(9))
+        # equal in all sequences of three characters, and in all that isn't ASCII
+        tail = ("xyzw" if i % 2 else "xyzv") + "漢字" + ("仮名" if i % 2 else "平仮")
+        data.append((i, f"http://{word}.{['com/n', 'net/es', 'org/n', 'org/es'][i % 4] if i % 4 < 2 else 'org/n'}/{tail if i % 4 < 2 else ('xyzv' if i % 4 == 2 else 'xyzw') + '漢字' + ('平仮' if i % 4 == 2 else '仮名')}"))
+    got = url_markov.judge(spark.createDataFrame(data, "page_id long, url string")).filter("page_id % 4 >= 2").collect()
+    assert np.mean([(g["verdict"] == "allow") == (g["page_id"] % 4 == 2) for g in got]) > 0.95
+
+
+def test_weights_grow_with_the_pages(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i:04d}.com/{hashlib.md5(str(i).encode()).hexdigest()}") for i in range(300)], "page_id long, url string")
+    sizes = []
+    for n in (100, 300):
+        judged = pages.filter(F.col("page_id") < n).select(F.lit("allow").alias("verdict"), F.lit(False).alias("held"), url_markov.sequences(F.col("url")).alias("grams"))
+        sizes.append(url_markov.fit(judged, warc_fixity.shared_folder(spark)).count())
+    assert sizes[1] > 2 * sizes[0]
+
+
+def test_urls_run_without_python(pages):
+    plan = url_markov.judge(pages[0])._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
 def test_urls(spark):
     urls = ["http://A.com/x", "https://x.example.com/en/1", "https://WWW.example.com/en/1?q#f", "http://a.net/es/", "http://a.net/de/", "http://notcom/en/", "http://com/", "ftp://com", "", None, "no scheme", "x://h?p/../", "http://a.com\n/y", "http://b.net/fr/" + "z" * 50_000]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(None, urls[0], "h"), (0, urls[0], "h")], "page_id long, url string, html string")
@@ -256,6 +333,15 @@ def test_stage_decisions(spark, docs):
     assert secret_markov.KINDS[-1] == "random"
 
 
+def test_stages_keep_the_values_of_columns_of_any_name(spark, clashing):
+    own = [f"`{c}`" for c in clashing.columns if c not in ("text", "n_chars")]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        source = clashing.filter("doc_id < 13")
+        out = stage(spark, source, "")
+        assert out.columns == clashing.columns
+        assert not Counter(map(tuple, out.select(own).collect())) - Counter(map(tuple, source.select(own).collect()))
+
+
 def test_run_over_a_folder(spark, docs, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))

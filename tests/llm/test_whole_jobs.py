@@ -90,3 +90,29 @@ def test_rare_ordinary_transitions_of_a_large_corpus_count(spark, monkeypatch):
     a, b = (secret_markov.ALPHABET.index(c) for c in "qx")
     # an ordinary transition of 0.6 % against one of 1 / SIZE in random strings, of which there are none
     assert abs(ratio[a + 1, b] - np.log((1 / size) / (3000 / 503_000))) < 0.3
+
+
+def test_blocks_of_a_key_meet_as_the_whole_key_does(spark, monkeypatch):
+    """A family in which the least text of a key is unlike most: found in blocks of any size."""
+    from plumbline.llm import near_copies
+
+    r = random.Random(12)
+    base = prose(900, 200).split()
+    texts = []
+    for k in range(24):
+        copy = base.copy()
+        for at in r.sample(range(len(copy)), 3 + k % 6):
+            copy[at] = f"zz{k % 4}{copy[at]}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    left = []
+    for block in (2, 512):
+        monkeypatch.setattr(near_copies, "BLOCK", block)
+        left.append({x["doc_id"] for x in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()})
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    assert left[0] == left[1] == set(root)
