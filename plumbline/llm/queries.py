@@ -63,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc_fixity": warc_fixity.oracle_sql(),
+        "op2_difference_cover": substring_dedup.oracle_sql(),
         "op4_impact_ordered_search": impact_search.oracle_sql(),
         "op7_quality_rules": quality_rules.oracle_sql(),
         "op8_url_language_models": url_markov.oracle_sql(),

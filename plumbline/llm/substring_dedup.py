@@ -296,3 +296,18 @@ def _removed(docs: DataFrame, text: str, plan: Plan, digest: bool) -> DataFrame:
     second = both(first, windows, _PACKED).groupBy("shard").applyInArrow(_answers(2, 1), _ANSWER)
     schema = T.StructType([*inner.select(*others).schema.fields, *T.StructType.fromDDL("n_words long, n_removed long, value string").fields])
     return both(first.unionByName(second), removed, schema)
+
+
+def oracle_sql(length: int = LENGTH) -> str:
+    """The query's rows in DuckDB SQL: every window by its words, and what repeated ones cover."""
+    word = r"[^\x20\x09-\x0D]+"
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
+    g AS (SELECT r, w, unnest(range(1, len(w) - {length - 2})) AS i FROM d WHERE len(w) >= {length}),
+    h AS (SELECT r, i, md5(array_to_string(w[i : i + {length - 1}], ' ')) AS k FROM g),
+    twice AS (SELECT r, i FROM h QUALIFY count(*) OVER (PARTITION BY k) > 1),
+    gone AS (SELECT DISTINCT r, unnest(range(i, i + {length})) AS p FROM twice),
+    each AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+    kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS words FROM each ANTI JOIN gone USING (r, p) GROUP BY r),
+    lost AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+    SELECT doc_id, cast(len(w) AS bigint) AS n_words, cast(coalesce(n, 0) AS bigint) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r) LEFT JOIN lost USING (r)"""
