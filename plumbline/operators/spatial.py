@@ -76,26 +76,34 @@ def radius_counts(points: DataFrame, coords: Sequence[str], radius: float, id_co
     return radius_join(points.select(id_column, *coords), other, coords, radius, salts=salts).groupBy(id_column).agg(F.count("*").alias("neighbors"))
 
 
-def nearest_by_grid(queries: DataFrame, points: DataFrame, coords: Sequence[str], start: float, *, most: float | None = None, rounds: int = 24) -> DataFrame:
+def nearest_by_grid(queries: DataFrame, points: DataFrame, coords: Sequence[str], start: float, *, most: float | None = None, salts: int = 4) -> DataFrame:
     """``queries(query_id, coords)`` to (query_id, point_id, distance) of the nearest of ``points(point_id, coords)``.
 
     The radius doubles from ``start``; a query leaves when a point lies within it, so the nearest is
-    exact. Beyond ``most`` a query has no match (null). Ties go to the smaller point_id.
+    exact. Rounds go on until all have left or the radius is above ``most``, beyond which a query has
+    no match (null), as have queries whose coordinates aren't numbers and all where there is no point.
+    Ties go to the smaller point_id. A crowded cell is dealt over ``salts`` tasks.
     """
     folder, found, radius = shared_folder(queries.sparkSession), None, float(start)
-    left = queries.select("query_id", *coords)
-    for k in range(rounds):
+    number = F.lit(True)
+    for c in coords:
+        number = number & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    points = points.filter(number).select("point_id", *coords)
+    left = queries.filter(number).select("query_id", *coords)
+    unmatched = queries.filter(~F.coalesce(number, F.lit(False))).select("query_id")
+    k, empty = 0, points.isEmpty()
+    while not empty:
         limit = radius if most is None else min(radius, most)
-        pairs = radius_join(left, points.select("point_id", *coords), coords, limit)
+        pairs = radius_join(left, points, coords, limit, salts=salts)
         best = pairs.groupBy("query_id").agg(F.min(F.struct("distance", "point_id")).alias("b")).select("query_id", "b.point_id", "b.distance")
         best = stored(best, folder, f"found-{k}")
         found = best if found is None else found.unionByName(best)
         left = stored(left.join(best, "query_id", "left_anti"), folder, f"left-{k}")
-        if left.isEmpty() or (most is not None and limit >= most) or points.isEmpty():
+        if left.isEmpty() or (most is not None and limit >= most):
             break
-        radius *= 2
-    rest = left.select("query_id", F.lit(None).cast("long").alias("point_id"), F.lit(None).cast("double").alias("distance"))
-    return found.unionByName(rest)
+        radius, k = radius * 2, k + 1
+    rest = left.select("query_id").unionByName(unmatched).select("query_id", F.lit(None).cast("long").alias("point_id"), F.lit(None).cast("double").alias("distance"))
+    return rest if found is None else found.unionByName(rest)
 
 
 def clipped_nearest(queries: DataFrame, points: DataFrame, most: float) -> DataFrame:
