@@ -78,19 +78,22 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, *, exclude_same_id:
         found = rows.repartition(n).mapInArrow(_packed, "data binary")
         return stored(found.select(F.monotonically_increasing_id().alias(name), F.col("data").alias(f"{name}_data")), folder, name)
 
-    def search(table: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[], [], [], [], []]
-        for n, q, p in zip(table["query"].to_pylist(), table["query_data"], table["point_data"], strict=True):
-            (a_ids, a), (b_ids, b) = _unpacked(q.as_py()), _unpacked(p.as_py())
-            for i, (ids, d) in enumerate(nearest_in_block(a, b, b_ids, a_ids if exclude_same_id else None, k)):
-                for column, value in zip(out, (np.full(len(ids), n), np.full(len(ids), i), np.full(len(ids), a_ids[i]), ids, d), strict=True):
-                    column.append(value)
-        kinds = (np.int64, np.int32, np.int64, np.int64, np.float64)
-        names = ("query", "row", "query_id", "point_id", "distance")
-        return pa.table({c: np.concatenate([*v, np.empty(0, t)]).astype(t) for c, v, t in zip(names, out, kinds, strict=True)})
-
-    pairs = blocks(queries, "query").crossJoin(blocks(points, "point"))
-    hits = pairs.groupBy("query", "point").applyInArrow(search, "query long, row int, query_id long, point_id long, distance double")
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, q, p in zip(batch["query"].to_pylist(), batch["query_data"], batch["point_data"], strict=True):
+                out: list[list[np.ndarray]] = [[], [], [], [], []]
+                (a_ids, a), (b_ids, b) = _unpacked(q.as_py()), _unpacked(p.as_py())
+                for i, (ids, d) in enumerate(nearest_in_block(a, b, b_ids, a_ids if exclude_same_id else None, k)):
+                    for column, value in zip(out, (np.full(len(ids), n), np.full(len(ids), i), np.full(len(ids), a_ids[i]), ids, d), strict=True):
+                        column.append(value)
+                kinds = (np.int64, np.int32, np.int64, np.int64, np.float64)
+                names = ("query", "row", "query_id", "point_id", "distance")
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*v, np.empty(0, t)]).astype(t)) for v, t in zip(out, kinds, strict=True)], list(names))
+
+    # a pair of blocks is searched where it is read: no block is shuffled for each of its pairs
+    spread = blocks(points, "point")
+    pairs = blocks(queries, "query").crossJoin(spread.repartition(max(1, min(spread.count(), int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))))))
+    hits = pairs.mapInArrow(search, "query long, row int, query_id long, point_id long, distance double")
     order = W.partitionBy("query", "row").orderBy("distance", "point_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "point_id", "distance")
 
