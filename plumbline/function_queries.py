@@ -28,7 +28,9 @@ def _parts(spark, sf_dir) -> DataFrame:
 
 _PARTS = "WITH p AS (SELECT p_partkey AS id, p_size / 10e0 AS a, p_retailprice / 1000 AS b, (p_partkey % 17) / 5e0 AS c, cast(p_size AS double) AS x, cast(p_partkey % 17 AS double) AS y, p_retailprice / 100 AS z FROM part)"
 
-_XYZ = [F.col("x"), F.col("y"), F.col("z")]
+
+def _xyz() -> list:
+    return [F.col("x"), F.col("y"), F.col("z")]
 
 
 def _out(df: DataFrame, digits: int = 5, **columns) -> DataFrame:
@@ -75,8 +77,8 @@ def pixels_and_depths(spark, sf_dir):
 @query(_sql({"eye": ["0e0", "0e0", "0e0"], "ahead": ["0e0", "0e0", "sqrt((x - 60) ** 2 + (y - 30) ** 2 + (z - 50) ** 2)"], "det": "1e0"}))
 def look_at_camera(spark, sf_dir):
     """The eye is at the origin, what is looked at straight ahead, and the matrix a rotation."""
-    m = camera.extrinsics_look_at(L.pack(_XYZ), L.pack([60.0, 30.0, 50.0]), L.pack([0.0, 0.0, 1.0]))
-    return _out(_parts(spark, sf_dir), eye=(L.apply_transform(m, L.pack(_XYZ)), 3), ahead=(L.apply_transform(m, L.pack([60.0, 30.0, 50.0])), 3), det=(L.det(L.rotation_of(m)), 0))
+    m = camera.extrinsics_look_at(L.pack(_xyz()), L.pack([60.0, 30.0, 50.0]), L.pack([0.0, 0.0, 1.0]))
+    return _out(_parts(spark, sf_dir), eye=(L.apply_transform(m, L.pack(_xyz())), 3), ahead=(L.apply_transform(m, L.pack([60.0, 30.0, 50.0])), 3), det=(L.det(L.rotation_of(m)), 0))
 
 
 @query(_sql({"w": ["(x + 0.5 - 320) / 800 * z + 1", "(y + 0.5 - 240) / 800 * z + 2", "z + 3"]}, 10))
@@ -97,7 +99,7 @@ def plane_depths(spark, sf_dir):
 @query(_sql({"s": ["0e0", "-z", "y", "z", "0e0", "-x", "-y", "x", "0e0"], "cross": ["y * 3 - z * 2", "z * 1 - x * 3", "x * 2 - y * 1"], "rot": ["cos(a) * x - sin(a) * y", "sin(a) * x + cos(a) * y"], "tr": ["x + a", "y + b"]}))
 def skew_and_planar(spark, sf_dir):
     p2 = L.pack([F.col("x"), F.col("y")])
-    return _out(_parts(spark, sf_dir), s=(L.skew(_XYZ), 9), cross=(L.matvec(L.skew(_XYZ), [F.lit(1.0), F.lit(2.0), F.lit(3.0)], 3), 3), rot=(camera.apply_2d(camera.rotate_2d(F.col("a")), p2), 2), tr=(camera.apply_2d(camera.translate_2d(L.pack([F.col("a"), F.col("b")])), p2), 2))
+    return _out(_parts(spark, sf_dir), s=(L.skew(_xyz()), 9), cross=(L.matvec(L.skew(_xyz()), [F.lit(1.0), F.lit(2.0), F.lit(3.0)], 3), 3), rot=(camera.apply_2d(camera.rotate_2d(F.col("a")), p2), 2), tr=(camera.apply_2d(camera.translate_2d(L.pack([F.col("a"), F.col("b")])), p2), 2))
 
 
 @query(_sql({"q": ["x", "y", "z"], "det": "1e0", "inv": ["1e0", "0e0", "0e0", "0e0"]}))
@@ -105,7 +107,7 @@ def quaternion_laws(spark, sf_dir):
     """Turned there and back, determinant 1, q times its conjugate."""
     q = R.quat_normalize(L.pack([F.col("a") + 0.3, F.col("b"), F.col("c"), F.lit(0.7)]))
     m = R.quaternion_to_matrix(q)
-    back = L.matvec(L.transpose(m, 3), R.quat_rotate(q, L.pack(_XYZ)), 3)
+    back = L.matvec(L.transpose(m, 3), R.quat_rotate(q, L.pack(_xyz())), 3)
     return _out(_parts(spark, sf_dir), q=(back, 3), det=(L.det(m), 0), inv=(R.quat_multiply(q, R.quat_conjugate(q)), 4))
 
 
@@ -127,7 +129,7 @@ def axis_angles(spark, sf_dir):
     """Rodrigues' formula, and back through a matrix and a quaternion."""
     v = L.pack([F.col("a") / 10, F.col("b") / 10, F.col("c") / 10 + 0.1])
     m = R.axis_angle_to_matrix(v)
-    return _out(_parts(spark, sf_dir), p=(L.matvec(m, _XYZ, 3), 3), v=(R.matrix_to_axis_angle(m), 3), w=(R.quaternion_to_axis_angle(R.axis_angle_to_quaternion(v)), 3))
+    return _out(_parts(spark, sf_dir), p=(L.matvec(m, _xyz(), 3), 3), v=(R.matrix_to_axis_angle(m), 3), w=(R.quaternion_to_axis_angle(R.axis_angle_to_quaternion(v)), 3))
 
 
 @query(_sql({"t": ["a / 10", "b / 10 - 0.1", "c / 10"], "r": ["a / 10", "b / 10 - 0.1", "c / 10"]}))
@@ -141,7 +143,7 @@ def euler_round_trips(spark, sf_dir):
 def interpolations(spark, sf_dir):
     """Between two directions of a plane, a quarter of the way is a turn by a quarter of the angle."""
     ahead = L.pack([F.cos(F.col("c") / 2), F.sin(F.col("c") / 2), F.lit(0.0)])
-    return _out(_parts(spark, sf_dir), 8, l=(R.lerp(L.pack(_XYZ), L.pack([F.col("a"), F.col("b"), F.col("c")]), F.lit(0.25)), 3), v=(R.slerp_vector(L.pack([1.0, 0.0, 0.0]), ahead, F.lit(0.25)), 3))
+    return _out(_parts(spark, sf_dir), 8, l=(R.lerp(L.pack(_xyz()), L.pack([F.col("a"), F.col("b"), F.col("c")]), F.lit(0.25)), 3), v=(R.slerp_vector(L.pack([1.0, 0.0, 0.0]), ahead, F.lit(0.25)), 3))
 
 
 @query(_sql({"m": ["cos(c)", "-sin(c)", "sin(c)", "cos(c)"], "log": "atan2(sin(c), cos(c))", "at": ["cos(c) * x - sin(c) * y", "sin(c) * x + cos(c) * y"], "back": ["x", "y"]}))
@@ -165,7 +167,7 @@ def rigid_motions(spark, sf_dir):
     """SE(3): a point there and back, and through the matrix."""
     tangent = L.pack([F.col("a"), F.col("b"), F.col("c"), F.col("a") / 10, F.col("b") / 10, F.col("c") / 10])
     moved = stored(_parts(spark, sf_dir).select("*", R.se3_exp(tangent).alias("g")), shared_folder(spark), "moved")
-    there = stored(moved.select("*", R.se3_apply("g", _XYZ).alias("p"), L.apply_transform(R.se3_as_matrix("g"), L.pack(_XYZ)).alias("q")), shared_folder(spark), "there")
+    there = stored(moved.select("*", R.se3_apply("g", _xyz()).alias("p"), L.apply_transform(R.se3_as_matrix("g"), L.pack(_xyz())).alias("q")), shared_folder(spark), "there")
     return _out(there, back=(R.se3_apply(R.se3_inverse("g"), "p"), 3), m=(R.se3_apply(R.se3_inverse("g"), "q"), 3))
 
 
@@ -175,9 +177,9 @@ def moved_planes(spark, sf_dir):
     turn, shift = R.axis_angle_to_matrix(L.pack([F.col("a") / 10, F.col("b") / 10, F.col("c") / 10 + 0.1])), L.pack([F.col("a"), F.col("b"), F.col("c")])
     t = L.to_4x4(turn, shift)
     plane = L.pack([0.0, 0.6, 0.8, -(F.col("y") * 0.6 + F.col("z") * 0.8)])
-    moved, p = R.transform_plane(plane, t), L.apply_transform(t, L.pack(_XYZ))
+    moved, p = R.transform_plane(plane, t), L.apply_transform(t, L.pack(_xyz()))
     e = L.entries(moved, 4)
-    there = R.points_to_world(L.pack(_XYZ), turn, shift)
+    there = R.points_to_world(L.pack(_xyz()), turn, shift)
     return _out(_parts(spark, sf_dir), 4, d=(L.dot(e[:3], p) + e[3], 0), body=(R.points_to_body(there, turn, shift), 3))
 
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -40,3 +43,8 @@ def test_query_equals_its_sql(spark, sql, name):
 def test_most_queries_have_sql():
     without = set(core.queries()) - set(core.oracle_sql())
     assert without == {"kmeans_top", "box_split", "ransac_planes", "weighted_draws"}
+
+
+def test_names_are_known_without_a_session():
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True)
