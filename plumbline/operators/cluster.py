@@ -100,15 +100,27 @@ def mask_instances(normal_masks: DataFrame, object_masks: DataFrame, least: int)
 def ransac_plane(points: DataFrame, by: Sequence[str], *, iterations: int = 200, threshold: float = 0.02, seed: int = 0) -> DataFrame:
     """The plane of most inliers of each group of ``(by, id, x, y, z)``: (by, plane, inliers), plane as [n, d].
 
-    Each iteration's three points are those of least hash of (id, iteration), so the same input gives
-    the same plane; the earliest iteration wins a tie. Triplets on a line are passed over. Points meet
-    a group's ``iterations`` candidates only.
+    Each iteration draws three places by hash from the group's ``3 * iterations`` points of least hash (all
+    points of a smaller group), so the same input gives the same plane; the earliest iteration wins a tie.
+    Triplets on a line, and those with a null, are passed over; groups of fewer than three points have no
+    plane. All points meet a group's ``iterations`` candidates, and nothing else is done to all of them.
     """
-    rounds = points.select(*by, "id", "x", "y", "z", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("k"))
-    h = F.xxhash64("id", "k", F.lit(seed))
-    # three least hashes of each round, by aggregation rather than by sorting
-    p = F.struct(h.alias("h"), "id", "x", "y", "z")
-    first = rounds.groupBy(*by, "k").agg(F.expr("min(struct(xxhash64(id, k, %d) AS h, id, x, y, z))" % seed).alias("a"), F.max(p).alias("c"), F.min(F.struct(h.bitwiseXOR(F.lit(0x5555555555555555)).alias("h"), "id", "x", "y", "z")).alias("b"))
+    drawn = points.select(*by, F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), "id", "x", "y", "z").alias("_p"))
+    # a group's points of least hash: first of each of its parts, then of the few that are left
+    for parts in ([F.pmod("_p.h", F.lit(64))], []):
+        place = F.row_number().over(W.partitionBy(*by, *parts).orderBy("_p"))
+        drawn = drawn.withColumn("_n", place).filter(F.col("_n") <= 3 * iterations).drop("_n")
+    pool = drawn.groupBy(*by).agg(F.array_sort(F.collect_list("_p")).alias("pool")).filter(F.size("pool") >= 3)
+
+    def triplet(k):
+        i, j, m = (F.pmod(F.xxhash64(k, F.lit(n), F.lit(seed)), F.size("pool") - n) for n in range(3))
+        j = j + (j >= i).cast("int")
+        low, high = F.least(i, j), F.greatest(i, j)
+        m = m + (m >= low).cast("int")
+        m = m + (m >= high).cast("int")
+        return F.struct(k.alias("k"), *(F.get("pool", n.cast("int")).alias(c) for n, c in zip((i, j, m), "abc", strict=True)))
+
+    first = pool.select(*by, F.explode(F.transform(F.sequence(F.lit(0), F.lit(iterations - 1)), triplet)).alias("s")).select(*by, "s.*")
     at = lambda c: [F.col(f"{c}.{v}") for v in "xyz"]
     normal = L.normalize(L.cross(L.sub(at("b"), at("a")), L.sub(at("c"), at("a"))))
     planes = first.select(*by, "k", normal.alias("n"), F.array(*at("a")).alias("p")).filter(F.get("n", F.lit(0)).isNotNull())
