@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import camera, superquadric
 from plumbline.functions import linalg as L
 from plumbline.functions import rotation as R
-from plumbline.operators import aggregates, cluster, mesh, pixels, sampling, sequence
+from plumbline.operators import aggregates, cluster, mesh, pixels, sampling, sequence, spatial
 from plumbline.queries import _GRID, _events, _grid, query, r6, table
 from plumbline.sources import tables
 from plumbline.storage import shared_folder, stored
@@ -572,3 +572,162 @@ def joint_values(spark, sf_dir):
     joints = s.select(F.col("s_suppkey").alias("n"), F.col("s_suppkey").cast("string").alias("name"), F.when(F.col("s_suppkey") % 5 == 0, "fixed").otherwise("revolute").alias("kind"), F.lit(-1.0).alias("lower"), F.lit(2.0).alias("upper"))
     values = s.filter("s_suppkey % 4 != 0").select(F.col("s_suppkey").cast("string").alias("name"), (F.col("s_acctbal") / 1000).alias("value"))
     return tables.joint_configuration(joints, values).select("n", "value")
+
+
+# more of cameras and motions
+
+
+def _turned(angle, x, y, z):
+    """A turn about z by ``angle``, then a move."""
+    return L.se3_matrix(L.entries(R.euler_axis_rotation("Z", angle), 9), [x, y, z])
+
+
+@query(_sql({"n": ["(800 + a) / 640", "320.5e0 / 640", "(600 + b) / 480", "240.5e0 / 480"], "c": ["5.12e0", "3.2e0 - x / 100", "5.76e0", "4.8e0 - y / 50"], "v": "2 * atan(480 / (2 * (600 + b)))", "h": "2 * atan(640 / (2 * (800 + a)))", "w": "(1 / (640 * (800 + a)) + 1 / (480 * (600 + b))) / 2 * 1e6"}, 10))
+def intrinsics_and_crops(spark, sf_dir):
+    k = camera.intrinsics_of(F.struct((F.col("a") + 800).alias("fx"), (F.col("b") + 600).alias("fy"), F.lit(320.0).alias("cx"), F.lit(240.0).alias("cy")))
+    n = L.entries(camera.normalize_intrinsics(k, 640, 480), 9)
+    c = L.entries(camera.crop_intrinsics(camera.intrinsics_from_focal_center(0.8, 0.6, 0.5, 0.5), 640, 480, F.col("x"), F.col("y"), 100, 50), 9)
+    four = lambda e: F.array(e[0], e[2], e[4], e[5])
+    return _out(_parts(spark, sf_dir), 10, n=(four(n), 4), c=(four(c), 4), v=(camera.vertical_fov(k, 480), 0), h=(camera.fov_x_of(F.col("a") + 800, 640), 0), w=(camera.pixel_width(k, 640, 480) * 1e6, 0))
+
+
+@query(_sql({"ndc": ["(x + 0.5) / 1280 - 1", "1 - (y + 0.5) / 960"], "scr": ["(x + 0.5) / 640", "1 - (y + 0.5) / 480"], "u": "2 * x / 639 - 1", "back": "x", "p": ["1 / tan(a / 20)", "640 / (480 * tan(a / 20))"]}))
+def screen_coordinates(spark, sf_dir):
+    x, y = F.col("x"), F.col("y")
+    u = camera.normalise_coordinates(x, 640)
+    p = L.entries(camera.perspective_from_fov(F.col("a") / 10, 640, 480, F.lit(0.1), F.lit(100.0)), 16)
+    return _out(_parts(spark, sf_dir), ndc=(camera.pixel_to_ndc(x, y, 640, 480), 2), scr=(camera.scr_coord(x, y, 640, 480), 2), u=(u, 0), back=(camera.denormalise_coordinates(u, 640), 0), p=(F.array(p[0], p[5]), 2))
+
+
+@query(_sql({"e": ["-z * sin(a)", "-z * cos(a)", "y", "z * cos(a)", "-z * sin(a)", "-x", "x * sin(a) - y * cos(a)", "x * cos(a) + y * sin(a)", "0e0"], "q": ["cos(a / 20)", "0e0", "0e0", "sin(a / 20)"], "t": ["x", "y", "z"]}))
+def essential_and_pose(spark, sf_dir):
+    q, t = camera.pose_of(_turned(F.col("a") / 10, *_xyz()))
+    return _out(_parts(spark, sf_dir), e=(camera.extrinsics_to_essential(_turned(F.col("a"), *_xyz())), 9), q=(L.scale(q, F.signum(F.get(q, F.lit(0))), 4), 4), t=(t, 3))
+
+
+@query(f"""{_PARTS}, m AS (SELECT id, a + b / 2 AS m, b / 2 AS h, (x / 1000) * 2 / sqrt(12) AS r FROM p), s AS (SELECT *, 3 * m * m + h * h AS s FROM m)
+    SELECT id, round(m + 2 * m * h * h / s, 6) AS mean, round(h * h / 3 - 4 * h ** 4 * (12 * m * m - h * h) / (15 * s * s), 6) + 0e0 AS along, round(r * r * (m * m / 4 + 5 * h * h / 12 - 4 * h ** 4 / (15 * s)), 6) + 0e0 AS across FROM s""")
+def cone_parts(spark, sf_dir):
+    mean, along, across = camera.cone_gaussian(F.col("a"), F.col("a") + F.col("b"), F.col("x") / 1000)
+    return _out(_parts(spark, sf_dir), 6, mean=(mean, 0), along=(along, 0), across=(across, 0))
+
+
+@query(_sql({"r": ["cos(a)", "-sin(a)", "sin(a)", "cos(a)"], "s": ["b", "0e0", "1 - b", "0e0", "b", "2 - 2 * b"], "ax": ["x", "cos(a) * y - sin(a) * z", "sin(a) * y + cos(a) * z"], "ay": ["cos(a) * x + sin(a) * z", "y", "cos(a) * z - sin(a) * x"], "az": ["cos(a) * x - sin(a) * y", "sin(a) * x + cos(a) * y", "z"], "qi": ["a", "z", "-y", "-x"]}))
+def turns_about_axes(spark, sf_dir):
+    about = {f"a{c.lower()}": (L.matvec(R.euler_axis_rotation(c, F.col("a")), _xyz(), 3), 3) for c in "XY"}
+    z = R.quat_rotate_xyzw(L.pack([0, 0, F.sin(F.col("a") / 2), F.cos(F.col("a") / 2)]), L.pack(_xyz()))
+    qi = R.quat_multiply_xyzw(L.pack([*_xyz(), F.col("a")]), L.pack([1, 0, 0, 0]))
+    s = L.entries(camera.scale_2d(F.col("b"), (1.0, 2.0)), 9)
+    return _out(_parts(spark, sf_dir), r=(camera.rotation_2d(F.col("a")), 4), s=(F.array(*s[:6]), 6), **about, az=(z, 3), qi=(qi, 4))
+
+
+@query(_sql({"h": ["cos(a / 10)", "-sin(a / 10)", "0e0", "x / 2", "sin(a / 10)", "cos(a / 10)", "0e0", "y / 2", "0e0", "0e0", "1e0", "z / 2"], "back": ["a", "b", "c"]}))
+def motions_between(spark, sf_dir):
+    """Half of the way from rest, and there and back."""
+    df = _parts(spark, sf_dir).withColumn("m", _turned(F.col("a") / 5, *_xyz()))
+    df = df.withColumn("half", R.lerp_se3_matrix(L.identity(4), "m", F.lit(0.5))).withColumn("there", L.apply_transform("m", L.pack([F.col("a"), F.col("b"), F.col("c")])))
+    return _out(df, h=(F.slice("half", 1, 12), 12), back=(L.apply_transform(R.pose_inverse("m"), "there"), 3))
+
+
+@query(_sql({"so2": ["cos(a)", "sin(a)"], "se2": ["cos(a)", "sin(a)", "x", "y"], "se3": ["cos(a)", "0e0", "0e0", "sin(a)", "x", "y", "z"], "adjoint": "1e0", "n2": "1e0", "n3": "1e0", "inside": "1e0"}))
+def group_elements(spark, sf_dir):
+    """Normalised elements, and drawn ones: unit complex numbers and quaternions, moves within a cube."""
+    c, s = F.cos("a"), F.sin("a")
+    two, three = L.entries(R.se2_sample(F.col("id")), 4), L.entries(R.se3_sample(F.col("id")), 7)
+    n2 = lambda e: F.sqrt(L.dot(e, e))
+    inside = F.when(F.greatest(*(F.abs(v) for v in (*two[2:], *three[4:]))) <= 1, 1.0).otherwise(0.0)
+    drawn = L.entries(R.so2_sample(F.col("id")), 2)
+    return _out(
+        _parts(spark, sf_dir), so2=(R.so2_normalize(L.pack([3 * c, 3 * s])), 2), se2=(R.se2_normalize(L.pack([3 * c, 3 * s, F.col("x"), F.col("y")])), 4),
+        se3=(R.se3_normalize(L.pack([2 * c, 0, 0, 2 * s, *_xyz()])), 7), adjoint=(F.get(R.so2_adjoint(L.pack([c, s])), F.lit(0)), 0),
+        n2=(F.sqrt(drawn[0] ** 2 + drawn[1] ** 2) * F.sqrt(two[0] ** 2 + two[1] ** 2), 0), n3=(F.sqrt(sum(v**2 for v in three[:4])), 0), inside=(inside, 0),
+    )
+
+
+@query(_sql({"signed": "sign(x - 25) * abs(x - 25) ** 0.7", "safe": "greatest(abs(x - 25), 1e-6) ** 0.7", "k": ["0.3e0", "0.7e0", "exp(a / 10)", "exp(b / 10)", "exp(c / 10)", "a / 10", "0e0", "0e0", "x", "y", "z"]}))
+def superquadric_parameters(spark, sf_dir):
+    k = superquadric.packed_parameters(L.pack([F.col("a") / 10, F.col("b") / 10, F.col("c") / 10]), R.euler_axis_rotation("Z", F.col("a") / 10), L.pack(_xyz()), L.pack([0.3, 0.7]))
+    return _out(_parts(spark, sf_dir), signed=(superquadric.signed_pow(F.col("x") - 25, 0.7), 0), safe=(superquadric.safe_pow(F.col("x") - 25, 0.7), 0), k=(k, 11))
+
+
+@query(f"{_PARTS} SELECT round(avg(greatest(x - 25, 0)), 6) AS loss FROM p")
+def inside_losses(spark, sf_dir):
+    return superquadric.inside_loss(_parts(spark, sf_dir), F.col("x") - 25).select(r6("loss").alias("loss"))
+
+
+@query(_sql({"pos": ["x + cos(a)", "y + sin(a)", "z"], "quat": ["cos(a / 2)", "0e0", "0e0", "sin(a / 2)"], "frame": "greatest(0, least(x - 5, 20))"}))
+def geom_poses(spark, sf_dir):
+    turn = L.pack([F.cos(F.col("a") / 2), 0, 0, F.sin(F.col("a") / 2)])
+    bodies = _parts(spark, sf_dir).select(F.struct("id", (F.col("x") - 5).alias("x")).alias("t"), F.lit(0).alias("body"), L.pack(_xyz()).alias("pos"), turn.alias("quat"))
+    geoms = spark.range(1).select(F.lit(0).alias("body"), F.lit(7).alias("geom"), L.pack([1, 0, 0]).alias("local_pos"), L.pack([1, 0, 0, 0]).alias("local_quat"))
+    found = sequence.body_pose(bodies, geoms).withColumn("id", F.col("t.id"))
+    return _out(found, pos=("pos", 3), quat=("quat", 4), frame=(sequence.clamp_frame(F.col("t.x"), F.lit(20.0)), 0))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 40)")
+def rows_of_keys(spark, sf_dir):
+    keys = table(spark, sf_dir, "part").filter("p_size > 40").select(F.col("p_partkey").alias("l_partkey"))
+    return spatial.semi_by_key(table(spark, sf_dir, "lineitem"), keys, ["l_partkey"]).select("l_orderkey", "l_linenumber")
+
+
+# more of pixels, meshes and rows
+
+
+@query(f"{_PARTS} SELECT id, CASE WHEN id % 3 = 0 THEN 1e0 ELSE 0.5e0 END AS conf, id % 2 = 1 AS mask, least(greatest(x * 5000 - 10000, 1e-4), 99999e0) AS depth FROM p WHERE id % 4 < 3")
+def cleaned_frames(spark, sf_dir):
+    i = F.col("id")
+    rows = _parts(spark, sf_dir).select("id", F.when(i % 4 < 3, 1).otherwise(0).alias("t"), F.when(i % 3 != 0, 0.5).alias("conf"), F.when(i % 2 == 1, True).alias("mask"), (F.col("x") * 5000 - 10000).alias("depth"))
+    return pixels.clean_frames(rows, 1).select("id", "conf", "mask", "depth")
+
+
+@query(_sql({"k": ["800 + a", "0e0", "320e0", "0e0", "800 + a", "240e0", "0e0", "0e0", "1e0"], "m": ["cos(a)", "-sin(a)", "0e0", "x * b", "sin(a)", "cos(a)", "0e0", "y * b", "0e0", "0e0", "1e0", "z * b"]}))
+def scaled_bundles(spark, sf_dir):
+    frames = _parts(spark, sf_dir).select("id", camera.intrinsics_from_focal_center(F.col("a") + 800, 600.0, 320.0, 240.0).alias("k"), _turned(F.col("a"), *_xyz()).alias("c2w"), F.col("b").alias("scale"))
+    found = pixels.scaled_bundle(frames)
+    return _out(found, k=("k", 9), m=("c2w", 12))
+
+
+@query(f"{_GRID} SELECT g.y, g.x, max(n.depth) AS pooled FROM g JOIN g n ON abs(g.y - n.y) <= 1 AND abs(g.x - n.x) <= 1 GROUP BY 1, 2")
+def max_pooled(spark, sf_dir):
+    return pixels.max_pool_2d(_grid(spark, sf_dir), "depth").select("y", "x", "pooled")
+
+
+@query(f"{_GRID} SELECT x, min(y) AS y0, max(y) AS y1, x AS x0, x AS x1 FROM g WHERE depth < 3 GROUP BY x")
+def column_bounds(spark, sf_dir):
+    return pixels.pixel_segments_of(_grid(spark, sf_dir).withColumn("mask", F.col("depth") < 3).withColumn("c", F.col("x")), ["c"]).select(F.col("c").alias("x"), "y0", "y1", "x0", "x1")
+
+
+@query(f"{_GRID} SELECT y, x, x % 3 + 2e0 AS depth, round((x - 20) / 20e0 * (x % 3 + 2), 6) + 0e0 AS p0, round((y - 20) / 20e0 * (x % 3 + 2), 6) + 0e0 AS p1, x % 3 + 2e0 AS p2 FROM g")
+def points_on_planes(spark, sf_dir):
+    g = _grid(spark, sf_dir).withColumn("seg", (F.col("x") % 3).cast("long"))
+    planes = spark.range(3).select(F.col("id").alias("seg"), L.pack([0, 0, 1, -(F.col("id") + 2.0)]).alias("plane"))
+    found = pixels.plane_points(g.select("y", "x", "seg"), planes, L.pack([20, 0, 20, 0, 20, 20, 0, 0, 1]))
+    return found.select("y", "x", r6("plane_depth").alias("depth"), *((F.round(F.get("point", F.lit(i)), 6) + 0.0).alias(f"p{i}") for i in range(3)))
+
+
+@query(f"""WITH o AS (SELECT l_suppkey % 5 AS fi, l_partkey % 3 AS seg1, l_linenumber % 4 AS fj, l_orderkey % 3 AS seg2, count(*) AS n, avg(l_quantity / 50) AS ratio FROM lineitem GROUP BY ALL), s AS (SELECT *, cos((fi + 5 * seg1 - fj - 5 * seg2) / 10e0) AS c FROM o)
+    SELECT fi, seg1, fj, seg2, round(c * ratio * n / 100, 6) AS score FROM s WHERE n >= 50 AND ratio >= 0.3 AND c >= 0.9""")
+def overlap_scores(spark, sf_dir):
+    q = F.col("l_quantity")
+    o = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 5).alias("fi"), (F.col("l_partkey") % 3).alias("seg1"), (F.col("l_linenumber") % 4).alias("fj"), (F.col("l_orderkey") % 3).alias("seg2")).agg(F.count("*").alias("n"), F.avg(q / 50).alias("ratio"))
+    i = F.col("id")
+    normals = spark.range(15).select((i % 5).alias("t"), F.floor(i / 5).alias("seg"), L.pack([F.cos(i / 10), F.sin(i / 10), 0]).alias("normal"))
+    return pixels.scored_overlaps(o, normals).select("fi", "seg1", "fj", "seg2", r6("score").alias("score"))
+
+
+@query(f"{_GRID} SELECT p_partkey AS id, depth FROM part JOIN g ON g.y = p_partkey % 17 AND g.x = p_size")
+def gathered_pixels(spark, sf_dir):
+    batch = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit(0).alias("image"), (F.col("p_partkey") % 17).alias("y"), F.col("p_size").alias("x"))
+    return pixels.gather_pixels(batch, _grid(spark, sf_dir).select(F.lit(0).alias("image"), "y", "x", "depth")).select("id", "depth")
+
+
+@query(f"{_FACES} SELECT fid, v0 AS a, v1 AS b, v2 AS across, 0 AS side FROM f UNION ALL SELECT fid, v1, v2, v0, 1 FROM f UNION ALL SELECT fid, v2, v0, v1, 2 FROM f")
+def directed_edges(spark, sf_dir):
+    return mesh.half_edges(_mesh(spark, sf_dir)[0])
+
+
+@query("SELECT p_partkey AS n, p_name AS name, CASE WHEN p_size > 25 THEN p_size / 10e0 ELSE -pi() END AS lower, pi() AS upper FROM part WHERE p_partkey % 5 <> 0")
+def limits_of_joints(spark, sf_dir):
+    i, size = F.col("p_partkey"), F.col("p_size")
+    joints = table(spark, sf_dir, "part").select(i.alias("n"), F.col("p_name").alias("name"), F.when(i % 5 == 0, "fixed").otherwise("hinge").alias("kind"), F.when(size > 25, size / 10).alias("lower"))
+    return tables.joint_limits(tables.with_defaults(joints, {"upper": 3.141592653589793}))

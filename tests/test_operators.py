@@ -96,6 +96,8 @@ def test_planes(spark):
     noisy = flat.unionByName(spark.createDataFrame([(0, 100 + i, float(i), 1.0, 9.0 + i) for i in range(6)], flat.schema))
     best = cluster.ransac_plane(noisy, ["g"], iterations=60, threshold=0.01).first()
     assert best["inliers"] == 25 and abs(abs(best["plane"][2]) - 1) < 1e-9
+    few = flat.filter("id < 2").selectExpr("1 AS g", "id", "x", "y", "z").unionByName(flat.selectExpr("2 AS g", "id", "x", "y", "z").filter("id IN (0, 1, 7)"))
+    assert [(r["g"], r["inliers"]) for r in cluster.ransac_plane(few, ["g"], iterations=3).collect()] == [(2, 3)]
     found = cluster.sequential_planes(noisy.select("id", "x", "y", "z"), shared_folder(spark), most=2, least=20, voxel=1.5, iterations=40)
     assert found.filter("plane_id = 0").count() == 25
 

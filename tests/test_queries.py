@@ -14,7 +14,7 @@ from plumbline import queries as core
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = "nn_self knn_k5 top_planes split_names greedy_matching tumbling session quaternion_laws axis_angles planar_motions rigid_motions plane_depths pixel_kinds masked_bounds segment_normals plane_least_squares gaussian_path ended_groups transfer_parts vertex_normals fan_triangles plane_instances joint_values".split()
+SOME = "nn_self knn_k5 top_planes split_names greedy_matching tumbling session quaternion_laws axis_angles planar_motions rigid_motions plane_depths pixel_kinds masked_bounds segment_normals plane_least_squares gaussian_path ended_groups transfer_parts vertex_normals fan_triangles plane_instances joint_values intrinsics_and_crops screen_coordinates cone_parts turns_about_axes group_elements scaled_bundles points_on_planes overlap_scores limits_of_joints".split()
 
 
 @pytest.fixture(scope="module")
