@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chunked_bpe, cotraining, impact_search, packing, quality_rules, secret_markov, simhash_pigeonring, substring_dedup, url_markov, warc_fixity
+from plumbline.llm import chunked_bpe, cotraining, dataset_manifest, hamerly, impact_search, packing, prefix_pieces, quality_rules, secret_markov, simhash_pigeonring, substring_dedup, url_markov, warc_fixity
 from plumbline.llm.common import read_table
 
 
@@ -55,8 +55,21 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_markov.summary(secret_markov.scan(docs).select("doc_id", "spans"))
 
 
+def op11_prefix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_pieces.round_trip(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op12_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, and a rehearsal in which some texts were changed."""
+    return dataset_manifest.audit(read_table(spark, sf_dir, "documents", *dataset_manifest.COLUMNS))
+
+
+def op13_hamerly_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamerly.cluster(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc_fixity, op2_difference_cover, op3_best_fit_packing, op4_impact_ordered_search, op5_cotrained_quality, op6_simhash_pigeonring, op7_quality_rules, op8_url_language_models, op9_chunked_bpe, op10_secret_scan)
+    found = (op1_warc_fixity, op2_difference_cover, op3_best_fit_packing, op4_impact_ordered_search, op5_cotrained_quality, op6_simhash_pigeonring, op7_quality_rules, op8_url_language_models, op9_chunked_bpe, op10_secret_scan, op11_prefix_pieces, op12_dataset_manifest, op13_hamerly_clusters)
     return {f.__name__: f for f in found}
 
 
@@ -67,4 +80,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_impact_ordered_search": impact_search.oracle_sql(),
         "op7_quality_rules": quality_rules.oracle_sql(),
         "op8_url_language_models": url_markov.oracle_sql(),
+        "op12_dataset_manifest": dataset_manifest.oracle_sql(),
+        "op13_hamerly_clusters": hamerly.oracle_sql(),
     }
