@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
+from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 
+#: Unicode's white space, and from how many such characters on a run is not given to the pattern.
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = 1 << 16
+
 
 def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -51,3 +58,41 @@ def json_encoding(path: str) -> tiktoken.Encoding:
     special = {t.content: i for i, t in added.items()}
     ranks = {bytes(letters[c] for c in token): i for token, i in tokenizer.get_vocab(with_added_tokens=False).items() if token not in special}
     return tiktoken.Encoding("json", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
+@functools.lru_cache(maxsize=4)
+def _long_runs(least: int) -> re.Pattern:
+    return re.compile(f"[{_WHITE}]{{{least},}}")
+
+
+def _cut_runs(text: str, least: int) -> Iterator[tuple[str, bool]]:
+    """Parts of a text that encode by themselves, and whether a part is one pre-token of white space.
+
+    The pattern takes a run of white space up to its last character, which goes with what follows,
+    or whole at the end of a text; so a long run is cut there, and its engine, which backtracks over
+    a run and gives up on a very long one, doesn't see it.
+    """
+    at = 0
+    for m in _long_runs(least).finditer(text):
+        end = m.end() - (m.end() < len(text))
+        yield text[at : m.start()], False
+        yield text[m.start() : end], True
+        at = end
+    yield text[at:], False
+
+
+def encode(encoding: tiktoken.Encoding, text: str, special: bool = False, least: int = LONG_RUN) -> np.ndarray:
+    """Ids of a text of any kind and length; ``special`` gives added tokens their own ids."""
+    ordinary = lambda part: encoding.encode_to_numpy(part, allowed_special="all" if special else set(), disallowed_special=())
+    if len(text) < least or not _long_runs(least).search(text):
+        return ordinary(text).astype("<u4")
+    names = sorted(encoding.special_tokens_set, key=len, reverse=True) if special else []
+    out = []
+    for text_part in re.split(f"({'|'.join(map(re.escape, names))})", text) if names else [text]:
+        if text_part in names:
+            out.append(ordinary(text_part))
+            continue
+        for part, run in _cut_runs(text_part, least):
+            if part:
+                out.append(np.array(encoding._encode_single_piece(part), dtype="<u4") if run else ordinary(part))
+    return np.concatenate([*out, np.empty(0, "<u4")]).astype("<u4")

@@ -36,7 +36,7 @@ def _matcher(pattern: str) -> regex.Pattern:
 
 
 def encode(path: str, text: str) -> np.ndarray:
-    return bpe.rank_encoding(path).encode_to_numpy(text, disallowed_special=()).astype("<u4")
+    return bpe.encode(bpe.rank_encoding(path), text)
 
 
 def decode(path: str, ids: np.ndarray) -> bytes:

@@ -66,7 +66,7 @@ def _pieces(path: str, end_id: int, capacity: int):
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids = np.append(encoding.encode_to_numpy(text.as_py(), allowed_special="all").astype("<u4"), np.uint32(end_id)).astype("<u4")
+                ids = np.append(bpe.encode(encoding, text.as_py(), special=True), np.uint32(end_id)).astype("<u4")
                 first = len(ids) % capacity or min(capacity, len(ids))
                 a, piece = 0, 0
                 while a < len(ids):
