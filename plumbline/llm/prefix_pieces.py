@@ -7,9 +7,9 @@ one piece that ends there, as an automaton finds them, and is compatible with th
 prefix before it. Only its length is stored, one byte a character; the ids are then recovered from
 the end backwards. A character that no compatible longer piece ends with is a token of its own.
 
-No piece of the vocabulary reaches from another character into a word mark, and some characters
-occur in no longer piece at all. Texts are cut into segments at such places, where no merge can
-cross, and short segments' ids are kept in a table of bounded size.
+Where no piece holds two characters next to each other, no merge can cross: texts are cut into
+words before their marks, and words into segments there. Ids of short words and segments, and
+whether a pair is compatible, are kept in tables of bounded size.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator, Sequence
-from itertools import chain
+from itertools import chain, pairwise
 
 import ahocorasick
 import public_tokenizers
@@ -33,8 +33,13 @@ from plumbline.llm.common import text_of
 #: The character that stands for a space.
 MARK = "▁"
 
-#: Entries kept of segments and of pairs at most, and characters of a segment that is kept.
-KEPT, SHORT = 1 << 18, 48
+#: Entries of a generation of words and of pairs at most; characters of a word that is kept.
+KEPT, PAIRS, SHORT = 1 << 19, 1 << 19, 48
+
+#: Tokens are numbers below this: places of pieces, then code points of single characters that are none.
+_TOKENS = 1 << 22
+
+_RUNS = re.compile(f"({MARK}{{2,}})")
 
 _DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -44,21 +49,32 @@ def default_model() -> str:
 
 
 class _Memo(dict):
-    """Values of a function by argument; emptied when full, so it never changes a result."""
+    """Values of a function by argument. When full, it becomes the old generation, whose entries come back when asked for; so its size is bounded, and it never changes a result."""
 
     def __init__(self, function, most: int, keep=lambda key: True):
         super().__init__()
-        self.function, self.most, self.keep = function, most, keep
+        self.function, self.most, self.keep, self.old = function, most, keep, {}
 
     def __missing__(self, key):
-        value = self.function(key)
-        if self.keep(key):
-            if len(self) >= self.most:
-                self.clear()
-            self[key] = value
+        value = self.old.get(key)
+        if value is None:
+            value = self.function(key)
+            if not self.keep(key):
+                return value
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
 
+class _Codes(dict):
+    """A token's number, of any other character that of its code point."""
+
+    def __missing__(self, character: str) -> int:
+        return len(self) + ord(character)
+
+
 class Pieces:
     """The pieces of a BPE model: ranks, automaton, compatible pairs and ids."""
 
@@ -79,19 +95,19 @@ class Pieces:
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
         long = [p for p in self.score if len(p) > 1]
         self.widest = max(map(len, long), default=1)
+        self.names = list(self.ids)
+        self.code = _Codes((p, k) for k, p in enumerate(self.names))
         self.automaton = ahocorasick.Automaton()
         for p in long:
             if self.merged(p) == [p]:  # others are never made
-                self.automaton.add_word(p, len(p))
+                self.automaton.add_word(p, (len(p), self.code[p]))
         self.automaton.make_automaton()
-        joined = sorted(set("".join(long)) - {MARK})
-        inside = "".join(map(re.escape, joined))
-        if any(MARK in p.lstrip(MARK) for p in long) or not joined:
-            self.cut = re.compile(r"(?s).+")
-        else:
-            self.cut = re.compile(f"(?s){MARK}*[{inside}]+|{MARK}+|[^{inside}{MARK}]")
-        self.compatible = _Memo(self._compatible, KEPT)
+        self.neighbours = {p[i : i + 2] for p in long for i in range(len(p) - 1)}
+        self.apart = not any(pair[1] == MARK != pair[0] for pair in self.neighbours)
+        self.id_of = [*self.ids.values()]
+        self.compatible = _Memo(self._compatible, PAIRS)
         self.segment_ids = _Memo(self._segment_ids, KEPT, lambda s: len(s) <= SHORT)
+        self.word_ids = _Memo(lambda word: self._cut_ids(MARK + word), KEPT, lambda s: len(s) <= SHORT)
 
     def merged(self, text: str) -> list[str]:
         """The tokens of a short text, merge by merge: the highest score first, then the leftmost."""
@@ -104,43 +120,60 @@ class Pieces:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def _compatible(self, pair: tuple[str, str]) -> bool:
-        return self.merged(pair[0] + pair[1]) == [*pair]
+    def token(self, code: int) -> str:
+        return self.names[code] if code < len(self.names) else chr(code - len(self.names))
+
+    def _compatible(self, pair: int) -> bool:
+        a, b = map(self.token, divmod(pair, _TOKENS))
+        return self.merged(a + b) == [a, b]
 
-    def last_tokens(self, segment: str) -> Sequence[int]:
-        """For each prefix the length of its last token."""
+    def last_tokens(self, segment: str) -> tuple[Sequence[int], list[int]]:
+        """For each prefix the length of its last token, and for each character the token that ends with it."""
         n = len(segment)
         lengths = bytearray(b"\1") * (n + 1) if self.widest < 256 else array("I", [1]) * (n + 1)
-        compatible, found = self.compatible, 0
-        for last, size in self.automaton.iter(segment):
-            end = last + 1
-            if end == found:
+        codes, compatible, found = [*map(self.code.__getitem__, segment)], self.compatible, -1
+        for last, (size, code) in self.automaton.iter(segment):
+            if last == found:
                 continue
-            start = end - size
-            if not start or compatible[segment[start - lengths[start] : start], segment[start:end]]:
-                lengths[end] = size
-                found = end
-        return lengths
+            start = last + 1 - size
+            if not start or compatible[codes[start - 1] * _TOKENS + code]:
+                lengths[last + 1], codes[last], found = size, code, last
+        return lengths, codes
 
     def _segment_ids(self, segment: str) -> list[int]:
-        lengths, end, out = self.last_tokens(segment) if len(segment) > 1 else b"\1\1", len(segment), []
-        ids, of_byte = self.ids, self.bytes
+        lengths, codes = self.last_tokens(segment)
+        end, out, id_of, known = len(segment), [], self.id_of, len(self.id_of)
         while end:
-            start = end - lengths[end]
-            piece = segment[start:end]
-            if (i := ids.get(piece)) is not None:
-                out.append(i)
+            code = codes[end - 1]
+            if code < known:
+                out.append(id_of[code])
             else:
-                out += [of_byte[b] for b in reversed(piece.encode())]
-            end = start
+                out += [self.bytes[b] for b in reversed(self.token(code).encode())]
+            end -= lengths[end]
         out.reverse()
         return out
 
+    def _cut_ids(self, text: str) -> list[int]:
+        neighbours = self.neighbours
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in neighbours]
+        if not cuts:
+            return self._segment_ids(text)
+        parts = [text[a:b] for a, b in pairwise([0, *cuts, len(text)])]
+        return [*chain.from_iterable(self.word_ids[p[1:]] if self.apart and p[0] == MARK != p[1:2] and len(p) > 1 else self.segment_ids[p] for p in parts)]
+
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        segments = self.cut.findall(self.prefix + text.replace(" ", MARK))
-        return list(chain.from_iterable(map(self.segment_ids.__getitem__, segments)))
+        text = self.prefix + text.replace(" ", MARK)
+        if not self.apart:
+            return self._cut_ids(text)
+        out: list[int] = []
+        runs = ["", *_RUNS.split(text)]  # a run of marks, then what follows it, in turn
+        for run, rest in zip(runs[::2], runs[1::2], strict=True):
+            first, *words = rest.split(MARK)
+            out += self._cut_ids(run + first) if run or first else []
+            out += chain.from_iterable(map(self.word_ids.__getitem__, words))
+        return out
 
 
 @functools.lru_cache(maxsize=2)

@@ -44,17 +44,18 @@ def test_very_long_runs(text):
 def test_each_prefix_has_the_last_token_of_its_own_encoding():
     own = prefix_pieces.pieces(MODEL)
     text = "▁unbelievablyinterestingcharacterisation"
-    lengths = own.last_tokens(text)
+    lengths, codes = own.last_tokens(text)
     for end in range(1, len(text) + 1):
-        assert lengths[end] == len(own.merged(text[:end])[-1])
+        last = own.merged(text[:end])[-1]
+        assert lengths[end] == len(last) and own.token(codes[end - 1]) == last
 
 
 def test_memos_that_overflow_change_nothing():
     own = prefix_pieces.Pieces(MODEL)
-    own.compatible.most = own.segment_ids.most = 3
+    own.compatible.most = own.segment_ids.most = own.word_ids.most = 3
     text = "the quick brown fox jumps over the lazy dog, then naps; " * 20
     assert own.encode(text) == library(text)
-    assert len(own.segment_ids) <= 3
+    assert len(own.segment_ids) <= 3 and len(own.word_ids) <= 3 and len(own.compatible) <= 3
 
 
 def test_documents_round_trip(spark):
