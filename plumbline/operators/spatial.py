@@ -156,6 +156,31 @@ def best_match(distances: DataFrame) -> DataFrame:
     return means.groupBy("group").agg(F.min(F.struct("mean_distance", "target")).alias("b")).select("group", "b.target", "b.mean_distance")
 
 
+def plane_metrics(predicted: DataFrame, target: DataFrame, *, k: int = 20, most: float = 1.0, least: int = 20) -> DataFrame:
+    """Completeness, accuracy and their mean over the k target planes with most points, weighted by those.
+
+    Both are ``(id, x, plane)`` with ids of their own. Distances are clipped at ``most``. A target plane is matched
+    with the predicted one, of more than ``least`` points, to which its points are nearest on average, ties to the
+    least; accuracy is the mean distance back. Without predicted planes all three are ``most``. One row.
+    """
+    folder = shared_folder(predicted.sparkSession)
+    sizes = target.filter("plane IS NOT NULL").groupBy("plane").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "plane").limit(k)
+    sizes = stored(sizes.withColumnRenamed("plane", "goal"), folder, "largest")
+    goals = target.withColumnRenamed("plane", "goal").join(F.broadcast(sizes.select("goal")), "goal", "left_semi")  # k rows
+    large = predicted.groupBy("plane").count().filter(F.col("count") > least).select("plane")
+    planes = predicted.join(large, "plane", "left_semi")
+    clipped = F.avg(F.least("distance", F.lit(float(most))))
+    there = blocks.nearest(goals, planes, by="plane").join(goals.select(F.col("id").alias("query_id"), "goal"), "query_id")
+    means = there.groupBy("goal", "plane").agg(clipped.alias("completeness"))
+    match = means.groupBy("goal").agg(F.min(F.struct("completeness", "plane")).alias("b")).select("goal", "b.plane", "b.completeness")
+    match = stored(match, folder, "matches")
+    back = blocks.nearest(planes, goals, by="goal").join(planes.select(F.col("id").alias("query_id"), "plane"), "query_id")
+    accuracy = back.join(F.broadcast(match), ["goal", "plane"]).groupBy("goal").agg(clipped.alias("accuracy"))
+    found = sizes.join(match, "goal").join(accuracy, "goal")
+    mean = lambda c: F.coalesce(F.sum(F.col(c) * F.col("count")) / F.sum("count"), F.lit(float(most))).alias(c)
+    return found.agg(mean("completeness"), mean("accuracy")).select("completeness", "accuracy", ((F.col("completeness") + F.col("accuracy")) / 2).alias("chamfer"))
+
+
 def as_of(samples: DataFrame, knots: DataFrame, by: Sequence[str], time: str, values: Sequence[str]) -> DataFrame:
     """Gives each sample the last knot at or before it and the first at or after it: prev_* and next_* of time and values.
 

@@ -106,13 +106,21 @@ def top_planes(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     mine, theirs = v.filter("label < 5"), v.filter("label >= 5")
     names = mine.select(F.col("id").alias("query_id"), F.col("label").alias("group"))
-    found = None
-    for row in theirs.select("label").distinct().orderBy("label").collect():  # the target planes, of which there are few
-        part = blocks.nearest(mine, theirs.filter(F.col("label") == row["label"])).withColumn("target", F.lit(row["label"]))
-        found = part if found is None else found.unionByName(part)
+    found = blocks.nearest(mine, theirs, by="label").withColumnRenamed("label", "target")
     return spatial.best_match(found.join(names, "query_id")).select("group", "target", r6("mean_distance").alias("mean_distance"))
 
 
+@query(f"""WITH {_PAIRS}, g AS (SELECT label, count(*) AS n FROM v WHERE id % 2 = 1 GROUP BY label ORDER BY n DESC, label LIMIT 5), p AS (SELECT label FROM v WHERE id % 2 = 0 GROUP BY label HAVING count(*) > 20),
+    c AS (SELECT la, lb, avg(least(m, 1.05)) AS m FROM (SELECT a, la, lb, min(dist) AS m FROM d WHERE a % 2 = 1 AND b % 2 = 0 AND la IN (FROM g SELECT label) AND lb IN (FROM p) GROUP BY ALL) GROUP BY la, lb),
+    best AS (SELECT la, arg_min(lb, (round(m, 9), lb)) AS lb, min(m) AS m FROM c GROUP BY la),
+    r AS (SELECT best.la, avg(least(x.m, 1.05)) AS acc FROM best JOIN (SELECT a, la, lb, min(dist) AS m FROM d WHERE a % 2 = 0 AND b % 2 = 1 GROUP BY ALL) x ON x.la = best.lb AND x.lb = best.la GROUP BY best.la)
+    SELECT round(sum(best.m * n) / sum(n), 6) AS completeness, round(sum(acc * n) / sum(n), 6) AS accuracy, round((sum(best.m * n) / sum(n) + sum(acc * n) / sum(n)) / 2, 6) AS chamfer FROM g JOIN best ON best.la = g.label JOIN r ON r.la = g.label""")
+def plane_metrics(spark, sf_dir):
+    v = _vectors(spark, sf_dir).withColumnRenamed("label", "plane")
+    found = spatial.plane_metrics(v.filter("id % 2 = 0"), v.filter("id % 2 = 1"), k=5, most=1.05)
+    return found.select(*(r6(c).alias(c) for c in found.columns))
+
+
 @query(f"WITH {_PAIRS}, n AS (SELECT a, arg_min(lb, (round(dist, 9), b)) AS label, min(dist) AS m FROM d WHERE a % 2 = 0 AND b % 2 = 1 GROUP BY a) SELECT a AS id, CASE WHEN m <= 1.0 THEN label ELSE 0 END AS label, round(m, 6) AS distance FROM n")
 def attr_transfer(spark, sf_dir):
     v = _vectors(spark, sf_dir)
