@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import linalg as L
 from plumbline.operators.graph import component_labels, connected_components
 from plumbline.operators.spatial import radius_join
-from plumbline.storage import stored
+from plumbline.storage import shared_folder, stored
 
 
 def eps_components(points: DataFrame, coords: Sequence[str], eps: float, folder: str) -> DataFrame:
@@ -186,4 +188,45 @@ def parallel_components(planes: DataFrame, folder: str, *, cosine: float = 0.994
     return component_labels(planes.select(F.col("id").alias("node")), pairs.select("a", "b"), folder)
 
 
-__all__ = ["connected_components", "dbscan", "eps_components", "global_segments", "largest_component", "mask_instances", "merged_directions", "normal_clusters", "parallel_components", "ransac_plane", "sequential_planes", "spatio_temporal_dbscan"]
+def negative_counts(planes: DataFrame, *, angle: float, gap: float) -> DataFrame:
+    """For each plane ``(id, n array, d)`` how many others it must be told apart from: ``(id, negatives)``.
+
+    A pair is negative if 1 - cos of the normals is above ``angle`` or the offsets differ by more
+    than ``gap``. Planes are counted by small cells of normal and offset; a pair of cells that is
+    near for certain, or apart, by its bounds counts as a whole, and only planes of cells between
+    are compared. Rows with a null id, normal or offset take no part; equal planes are near.
+    """
+    folder = shared_folder(planes.sparkSession)
+    chord = math.sqrt(2 * angle)
+    sides = [chord / 4] * 3 + [gap / 4]
+    at = [F.get("n", F.lit(i)) for i in range(3)] + [F.col("d")]
+    fine = [F.floor(x / F.lit(s)).cast("long").alias(f"c{i}") for i, (x, s) in enumerate(zip(at, sides, strict=True))]
+    cells = [f"c{i}" for i in range(4)]
+    rows = stored(planes.select("id", "n", F.col("d").cast("double").alias("d")).dropna().select("*", *fine), folder, "planes")
+    counted = stored(rows.groupBy(*cells).agg(F.count("*").alias("count")), folder, "cells")
+    # a near cell is five cells off at most along each side: in the same wide cell or one beside it
+    wide = lambda c: F.floor(F.col(c) / 5).cast("long")
+    left = counted.select(*cells, *(wide(c).alias(f"k{i}") for i, c in enumerate(cells)))
+    shifts = F.array(*(F.struct(*(F.lit(x).cast("long").alias(f"k{i}") for i, x in enumerate(s))) for s in itertools.product((-1, 0, 1), repeat=4)))
+    right = counted.select(*(F.col(c).alias(f"o{c}") for c in cells), F.col("count").alias("others"), F.explode(shifts).alias("_s"))
+    right = right.select(*(f"o{c}" for c in cells), "others", *((wide(f"o{c}") + F.col(f"_s.k{i}")).alias(f"k{i}") for i, c in enumerate(cells)))
+    pairs = left.join(right, [f"k{i}" for i in range(4)])
+    apart = [F.abs(F.col(c) - F.col(f"o{c}")) for c in cells]
+    least, most = F.lit(0.0), F.lit(0.0)
+    for x, s in zip(apart[:3], sides[:3], strict=True):
+        least = least + F.pow(F.greatest(x - 1, F.lit(0)) * s, F.lit(2.0))
+        most = most + F.pow((x + 1) * s, F.lit(2.0))
+    able = (least * (1 - 1e-9) <= chord**2) & (F.greatest(apart[3] - 1, F.lit(0)) * sides[3] * (1 - 1e-9) <= gap)
+    sure = (most * (1 + 1e-9) < chord**2) & ((apart[3] + 1) * sides[3] * (1 + 1e-9) < gap)
+    pairs = stored(pairs.filter(able).withColumn("sure", sure).drop(*(f"k{i}" for i in range(4))), folder, "pairs")
+    whole = pairs.filter("sure").groupBy(*cells).agg(F.sum("others").alias("whole"))
+    border = rows.join(pairs.filter("NOT sure"), cells).drop(*cells)
+    other = rows.select(*(F.col(c).alias(f"o{c}") for c in cells), F.col("n").alias("n2"), F.col("d").alias("d2"))
+    close = (1 - L.dot("n", "n2") <= angle) & (F.abs(F.col("d") - F.col("d2")) <= gap)
+    some = border.join(other, [f"o{c}" for c in cells]).groupBy("id").agg(F.sum(close.cast("long")).alias("some"))
+    total = rows.count()
+    found = rows.join(whole, cells, "left").join(some, "id", "left")
+    return found.select("id", (F.lit(total).cast("long") - F.coalesce("whole", F.lit(0)) - F.coalesce("some", F.lit(0))).alias("negatives"))
+
+
+__all__ = ["connected_components", "dbscan", "eps_components", "global_segments", "largest_component", "mask_instances", "merged_directions", "negative_counts", "normal_clusters", "parallel_components", "ransac_plane", "sequential_planes", "spatio_temporal_dbscan"]

@@ -74,7 +74,7 @@ def min_area_rectangle(points: np.ndarray) -> tuple[float, np.ndarray, np.ndarra
 
 
 def minimal_box(points: np.ndarray, angles: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rotation, centre and half sizes of the smallest of the boxes about principal axes turned in steps about each axis."""
+    """Rotation, centre and half sizes of the smallest of the boxes about principal axes turned about each axis, a full turn in so many steps."""
     center = points.mean(axis=0)
     _, axes = np.linalg.eigh(np.cov((points - center).T) if len(points) > 1 else np.eye(3))
     axes = axes[:, ::-1]
@@ -83,7 +83,7 @@ def minimal_box(points: np.ndarray, angles: int = 24) -> tuple[np.ndarray, np.nd
     best = None
     for axis in range(3):
         for k in range(angles):
-            a = k * math.pi / 2 / angles
+            a = k * 2 * math.pi / angles
             turn = np.eye(3)
             i, j = [d for d in range(3) if d != axis]
             turn[i, i] = turn[j, j] = math.cos(a)
@@ -120,17 +120,18 @@ def plane_box(points: np.ndarray, normal: np.ndarray, low: float = 0.0, high: fl
 
 
 def split_boxes(points: np.ndarray, normal: np.ndarray, *, least_fill: float = 0.7, splits: int = 3, least: int = 150) -> list[tuple[np.ndarray, tuple]]:
-    """Boxes of a patch, split at the median of its longer axis until each is rectangular enough."""
-    out, queue = [], [(points, 0)]
+    """Boxes of a patch with the rows of each, split at the median of its longer axis until each is rectangular enough."""
+    out, queue = [], [(np.arange(len(points)), 0)]
     while queue:
-        p, depth = queue.pop(0)
+        rows, depth = queue.pop(0)
+        p = points[rows]
         box = plane_box(p, normal)
         along = (p - box[1]) @ box[0][:, int(np.argmax(box[2][:2]))]
         first = along <= np.median(along)
         if box[3] >= least_fill or depth >= splits or min(first.sum(), (~first).sum()) < least:
-            out.append((p, box))
+            out.append((rows, box))
         else:
-            queue += [(p[first], depth + 1), (p[~first], depth + 1)]
+            queue += [(rows[first], depth + 1), (rows[~first], depth + 1)]
     return out
 
 
@@ -170,8 +171,8 @@ def fit_primitives(points: DataFrame, *, least_frames: int = 1, least: int = 50,
             if inside.sum() >= least:
                 own = pdf[inside].reset_index(drop=True)
                 left = own[["x", "y", "z"]].to_numpy(float)
-                for part, (q, box) in enumerate(split_boxes(left, normal)):
-                    rows.append(_row(int(pdf["gid"].iloc[0]), part, box, own.iloc[: len(q)]))
+                for part, (members, box) in enumerate(split_boxes(left, normal)):
+                    rows.append(_row(int(pdf["gid"].iloc[0]), part, box, own.iloc[members]))
         return pd.DataFrame(rows, columns=["gid", "part", "s_log", "r", "t", "color", "n"])
 
     return points.groupBy("gid").applyInPandas(fit, PRIMITIVE)

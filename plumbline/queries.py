@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import camera, rotation, superquadric
 from plumbline.functions import linalg as L
-from plumbline.operators import aggregates, blocks, cluster, mesh, numbering, pixels, primitives, sampling, sequence, spatial
+from plumbline.operators import aggregates, blocks, cluster, grids, mesh, numbering, pixels, primitives, runs, sampling, sequence, spatial, voxels
 from plumbline.sources import tables
 from plumbline.storage import shared_folder
 from plumbline.streaming import messages
@@ -640,6 +640,113 @@ def weighted_draws(spark, sf_dir):
     return sampling.inverse_cdf_samples(w, ["p_brand"], "p_partkey", "p_retailprice", 20)
 
 
+# masks as runs: parts of a supplier as its pixels
+
+_ISLANDS = "SELECT l_suppkey, how, min(p) AS start, max(p) + 1 AS \"end\" FROM (SELECT l_suppkey, how, p, p - row_number() OVER (PARTITION BY l_suppkey, how ORDER BY p) AS g FROM {}) GROUP BY l_suppkey, how, g"
+
+
+def _masks(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return tuple(runs.encode(li.filter(c), ["l_suppkey"], "l_partkey") for c in ("l_quantity > 15", "l_discount > 0.03"))
+
+
+@query(f"""WITH a AS (SELECT DISTINCT l_suppkey, l_partkey AS p FROM lineitem WHERE l_quantity > 15), b AS (SELECT DISTINCT l_suppkey, l_partkey AS p FROM lineitem WHERE l_discount > 0.03),
+    x AS (SELECT *, 'union' AS how FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT *, 'intersection' FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT *, 'difference' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
+        UNION ALL SELECT *, 'symmetric' FROM ((SELECT * FROM a EXCEPT SELECT * FROM b) UNION (SELECT * FROM b EXCEPT SELECT * FROM a)))
+    {_ISLANDS.format("x")}""")
+def mask_algebra(spark, sf_dir):
+    a, b = _masks(spark, sf_dir)
+    found = [runs.combine(a, b, ["l_suppkey"], how).withColumn("how", F.lit(how)) for how in ("union", "intersection", "difference", "symmetric")]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
+@query("""WITH m AS (SELECT DISTINCT l_suppkey, l_returnflag, l_partkey AS p FROM lineitem), d AS (SELECT l_suppkey, p, count(*) AS depth FROM m GROUP BY ALL),
+    r AS (SELECT l_suppkey, count(*) AS runs FROM (SELECT l_suppkey, p - lag(p, 1, -9) OVER (PARTITION BY l_suppkey ORDER BY p) AS step FROM d) WHERE step > 1 GROUP BY l_suppkey)
+    SELECT d.l_suppkey, count(*) AS covered, count(*) FILTER (depth > 1) AS shared, cast(max(depth) AS integer) AS deepest, max(r.runs) AS runs FROM d JOIN r ON r.l_suppkey = d.l_suppkey GROUP BY d.l_suppkey""")
+def coverage_union(spark, sf_dir):
+    masks = runs.encode(table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_returnflag"], "l_partkey")
+    united = runs.coverage(masks, ["l_suppkey"])
+    depths = runs.overlaps(masks, ["l_suppkey"]).groupBy("l_suppkey").agg(F.sum(F.when(F.col("depth") > 1, F.col("area")).otherwise(0)).alias("shared"), F.max("depth").alias("deepest"))
+    counts = runs.areas(united, ["l_suppkey"]).join(united.groupBy("l_suppkey").agg(F.count("*").alias("runs")), "l_suppkey")
+    return counts.join(depths, "l_suppkey").select("l_suppkey", F.col("area").alias("covered"), "shared", "deepest", "runs")
+
+
+@query("""WITH a AS (SELECT DISTINCT l_suppkey, l_partkey AS p FROM lineitem WHERE l_quantity > 15), b AS (SELECT DISTINCT l_suppkey, l_partkey AS p FROM lineitem WHERE l_discount > 0.03),
+    x AS (SELECT l_suppkey, p, max(s) AS s, min(s) AS t FROM (SELECT *, 1 AS s FROM a UNION ALL SELECT *, 2 FROM b) GROUP BY ALL)
+    SELECT l_suppkey, count(*) FILTER (t = 1) AS a, count(*) FILTER (s = 2) AS b, round(count(*) FILTER (s != t) / count(*), 6) AS iou FROM x GROUP BY l_suppkey""")
+def run_mask_scores(spark, sf_dir):
+    return runs.scores(*_masks(spark, sf_dir), ["l_suppkey"]).select("l_suppkey", "a", "b", r6("iou").alias("iou"))
+
+
+@query("SELECT *, 'new' AS kind FROM (SELECT o_custkey FROM orders WHERE o_orderpriority > '3' EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority < '2') UNION ALL SELECT *, 'kept' FROM (SELECT o_custkey FROM orders WHERE o_orderpriority > '3' INTERSECT SELECT o_custkey FROM orders WHERE o_orderpriority < '2')")
+def handle_sets(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    before, after = o.filter("o_orderpriority < '2'"), o.filter("o_orderpriority > '3'")
+    new = runs.new_keys(before, after, ["o_custkey"]).withColumn("kind", F.lit("new"))
+    return new.unionByName(runs.common_keys(before, after, ["o_custkey"]).withColumn("kind", F.lit("kept")))
+
+
+# grids of one to three axes
+
+_GRID = "g AS (SELECT l_returnflag AS flag, l_partkey % 14 AS x, l_suppkey % 9 AS y, l_linenumber - 1 AS z, max(CASE WHEN l_quantity < 45 THEN l_discount ELSE NULL END) AS v FROM lineitem GROUP BY ALL)"
+
+
+def _grid(spark, sf_dir):
+    value = F.max(F.when(F.col("l_quantity") < 45, F.col("l_discount")))
+    keys = [F.col("l_returnflag").alias("flag"), (F.col("l_partkey") % 14).alias("x"), (F.col("l_suppkey") % 9).alias("y"), (F.col("l_linenumber") - 1).alias("z")]
+    return table(spark, sf_dir, "lineitem").groupBy(*keys).agg(value.alias("v")).withColumn("v", F.coalesce("v", F.lit(float("nan"))))
+
+
+@query(f"""WITH {_GRID}, o AS (SELECT * FROM range(7) a(x), range(4) b(y), range(7) c(z))
+    SELECT flag, o.x, o.y, o.z, max(g.v) AS v FROM g JOIN o ON g.x BETWEEN o.x * 2 - 1 AND o.x * 2 + 1 AND g.y BETWEEN o.y * 2 AND o.y * 2 + 1 AND g.z BETWEEN o.z - 1 AND o.z + 1 GROUP BY ALL""")
+def pool_max_3d(spark, sf_dir):
+    return grids.pooled(_grid(spark, sf_dir), ["flag"], {"x": 14, "y": 9, "z": 7}, "v", (3, 2, 3), (2, 2, 1), (1, 0, 1))
+
+
+@query(f"""WITH {_GRID}, h AS (SELECT flag, x, y, max(v) AS v FROM g WHERE z < 3 GROUP BY ALL), o AS (SELECT * FROM range(6) a(x), range(4) b(y)), w AS (SELECT flag, o.x, o.y, h.v, (h.x - o.x * 2) * 2 + h.y - o.y * 2 AS p FROM h JOIN o ON h.x BETWEEN o.x * 2 AND o.x * 2 + 2 AND h.y BETWEEN o.y * 2 AND o.y * 2 + 1)
+    SELECT flag, x, y, max(v) FILTER (p = 0) AS first, max(v) FILTER (p = 5) AS last, round(sum(v * (p + 1)), 6) AS mixed FROM w GROUP BY ALL""")
+def windows_2d(spark, sf_dir):
+    h = _grid(spark, sf_dir).filter("z < 3").groupBy("flag", "x", "y").agg(F.max(F.when(~F.isnan("v"), F.col("v"))).alias("v"))
+    found = grids.windows(h, ["flag"], {"x": 14, "y": 9}, "v", (3, 2), 2)
+    mixed = F.aggregate(F.transform("window", lambda v, i: v * (i + 1)), F.lit(None).cast("double"), lambda s, v: F.coalesce(s + v, s, v))
+    return found.select("flag", "x", "y", F.get("window", F.lit(0)).alias("first"), F.get("window", F.lit(5)).alias("last"), r6(mixed).alias("mixed"))
+
+
+# voxels
+
+_SEEN = "s AS (SELECT l_partkey % 9 AS i, l_suppkey % 7 AS j, l_linenumber AS k, l_discount AS value, l_quantity AS weight FROM lineitem), v AS (SELECT i, j, k, sum(value * weight) / sum(weight) AS value, sum(weight) AS weight, count(*) AS n FROM s GROUP BY ALL)"
+
+
+def _voxel_store(spark, sf_dir) -> str:
+    """Lines in two batches, one of them merged twice."""
+    store = shared_folder(spark)
+    li = table(spark, sf_dir, "lineitem")
+    seen = li.select((F.col("l_partkey") % 9).alias("i"), (F.col("l_suppkey") % 7).alias("j"), F.col("l_linenumber").alias("k"), F.col("l_discount").alias("value"), F.col("l_quantity").alias("weight"), (F.col("l_orderkey") % 2).alias("batch"))
+    for version, batch in enumerate((0, 1, 1)):
+        voxels.merge(seen.filter(F.col("batch") == batch), store, min(version, 1))
+    return store
+
+
+@query(f"WITH {_SEEN} SELECT i, j, cast(k AS bigint) AS k, round(value, 6) AS value, round(weight, 2) AS weight, n FROM v")
+def voxel_store(spark, sf_dir):
+    return voxels.state(spark, _voxel_store(spark, sf_dir)).select("i", "j", "k", r6("value").alias("value"), F.round("weight", 2).alias("weight"), "n")
+
+
+@query(f"""WITH {_SEEN}, b AS (SELECT min(i) AS i0, max(i) AS i1, min(j) AS j0, max(j) AS j1, min(k) AS k0, max(k) AS k1 FROM v), c AS (SELECT x, y, z, i0 + x * (i1 - i0) / 5e0 AS fi, j0 + y * (j1 - j0) / 5e0 AS fj, k0 + z * (k1 - k0) / 5e0 AS fk FROM range(6) p(x), range(6) q(y), range(6) r(z), b)
+    SELECT x, y, z, round(sum(coalesce(v.value, 0.1) * (1 - abs(fi - n.a)) * (1 - abs(fj - n.b)) * (1 - abs(fk - n.c))), 6) AS value
+    FROM (SELECT c.*, a, b, c2 AS c FROM c, range(0, 10) t(a), range(0, 8) u(b), range(0, 10) w(c2) WHERE abs(fi - a) < 1 AND abs(fj - b) < 1 AND abs(fk - c2) < 1) n LEFT JOIN v ON v.i = n.a AND v.j = n.b AND v.k = n.c GROUP BY x, y, z""")
+def voxel_cube(spark, sf_dir):
+    return voxels.resampled(voxels.state(spark, _voxel_store(spark, sf_dir)), 6, 0.1).select("x", "y", "z", r6("value").alias("value"))
+
+
+@query("""WITH p AS (SELECT s_suppkey AS id, [cos(s_nationkey * 0.11) * cos(s_suppkey % 7 * 0.2), sin(s_nationkey * 0.11) * cos(s_suppkey % 7 * 0.2), sin(s_suppkey % 7 * 0.2)] AS n, abs(s_acctbal) / 1000 AS d FROM supplier)
+    SELECT a.id, count(*) FILTER (1 - list_dot_product(a.n, b.n) > 0.05 OR abs(a.d - b.d) > 1.5) AS negatives FROM p a JOIN p b ON true GROUP BY a.id""")
+def negative_planes(spark, sf_dir):
+    a, b = F.col("s_nationkey") * 0.11, F.col("s_suppkey") % 7 * 0.2
+    planes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.array(F.cos(a) * F.cos(b), F.sin(a) * F.cos(b), F.sin(b)).alias("n"), (F.abs("s_acctbal") / 1000).alias("d"))
+    return cluster.negative_counts(planes, angle=0.05, gap=1.5)
+
+
 def queries() -> dict[str, Query]:
     from plumbline import function_queries  # noqa: F401  registers its own
 
