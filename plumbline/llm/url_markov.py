@@ -9,8 +9,8 @@ number of thousandths, the difference of both log-likelihoods. A URL's score is
 characters, and the threshold is where scores of accepted and rejected held-out URLs lie equally many
 deviations from their means.
 
-Counts are pre-aggregated before they are shuffled. URLs meet the weights in a join of which each key
-is dealt over SALTS tasks, as sequences like that of a scheme occur in all URLs.
+Counts are pre-aggregated before they are shuffled. Sequences like that of a scheme occur in all URLs:
+the weights of those with a large share are broadcast, so that their rows never meet in a task.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import shared_folder, stored
+from plumbline.llm.common import join_counted, shared_folder, stored
 
 #: Rules as (verdict, host and path).
 RULES = (
@@ -29,8 +29,8 @@ RULES = (
     ("block", "net/fr/"),
 )
 
-#: Characters of the longest sequence, the least likelihood (one of the characters there may be), tasks that a sequence is dealt over.
-ORDER, LEAST, SALTS = 5, "1e0 / 65536", 8
+#: Characters of the longest sequence, the least likelihood (one of the characters there may be).
+ORDER, LEAST = 5, "1e0 / 65536"
 #: First digits of a held-out URL's SHA-256.
 HELD_OUT = "012"
 
@@ -105,16 +105,16 @@ def _weights_sql(counts: str, grid: str) -> str:
 
 
 def fit(judged: DataFrame, folder: str) -> DataFrame:
-    """Weights (g, w) of all sequences that occur, from those rows of ``judged(verdict, held, grams)`` that train.
+    """Weights (g, w) of all sequences that occur, with how often (n), from those rows of ``judged(verdict, held, grams)`` that train.
 
     Without training rows every weight is 0.
     """
     one = lambda verdict: F.sum(F.when(F.col("trains") & (F.col("verdict") == verdict), 1).otherwise(0))
     trains = F.col("verdict").isNotNull() & ~F.col("held")
-    counts = judged.select(trains.alias("trains"), "verdict", F.explode("grams").alias("g")).groupBy("g").agg(one("allow").alias("c_a"), one("block").alias("c_r"))
+    counts = judged.select(trains.alias("trains"), "verdict", F.explode("grams").alias("g")).groupBy("g").agg(one("allow").alias("c_a"), one("block").alias("c_r"), F.count("*").alias("n"))
     counts = stored(counts, folder, "counts")
     weights = judged.sparkSession.sql(_weights_sql("{counts}", "{grid}"), counts=counts.filter("c_a + c_r > 0"), grid=counts.select("g"))
-    return stored(weights, folder, "weights")
+    return stored(weights.join(counts.select("g", "n"), "g"), folder, "weights")
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -134,9 +134,9 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     judged = stored(judged.withColumn("row", F.monotonically_increasing_id()), folder, "judged")
     with_grams = judged.withColumn("grams", sequences(F.col("url")))
     weights = fit(with_grams, folder)
-    each = with_grams.select("row", F.pmod("row", F.lit(SALTS)).alias("salt"), F.explode("grams").alias("g"))
-    salted = weights.select("g", "w", F.explode(F.array(*(F.lit(i).cast("long") for i in range(SALTS)))).alias("salt"))
-    sums = each.join(salted, ["g", "salt"]).groupBy("row").agg(F.sum("w").alias("w"), F.count("g").alias("n"))
+    # a sequence such as that of https:// occurs in every URL: those with a large share are broadcast
+    each = join_counted(with_grams.select("row", F.explode("grams").alias("g")), weights, "g")
+    sums = each.groupBy("row").agg(F.sum("w").alias("w"), F.count("g").alias("n"))
     score = F.coalesce(F.floor(F.try_divide(F.col("w").cast("double"), F.col("n"))), F.lit(0)).cast("long")
     scored = stored(judged.join(sums, "row", "left").select("page_id", "host", "path", "rule", "verdict", "held", score.alias("score")), folder, "scored")
     s = F.col("score")

@@ -351,3 +351,50 @@ def test_run_over_a_folder(spark, docs, tmp_path):
         at = spark.createDataFrame(stage(spark, at, "").collect(), docs.schema)
     keys = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert Counter(map(tuple, out.select(keys).collect())) == Counter(map(tuple, corpus_pipeline.packing_stage(spark, at, "").select(keys).collect()))
+
+
+def plain_url_scores(urls: list[str], verdicts: list[str | None]) -> tuple[list[int], float]:
+    """Scores by counts of every order in dictionaries, and the threshold from held-out URLs."""
+    low = lambda u: "".join(c.lower() if "A" <= c <= "Z" else c for c in u)
+    held = [hashlib.sha256(u.encode()).hexdigest()[0] in "012" for u in urls]
+    models = {}
+    for verdict in ("allow", "block"):
+        models[verdict] = follow = {}
+        for u, v, h in zip(urls, verdicts, held, strict=True):
+            text = "\x02" * 4 + low(u)
+            for i in range(4, len(text)) if v == verdict and not h else ():
+                for k in range(5):
+                    follow.setdefault(text[i - k : i], Counter())[text[i]] += 1
+
+    def likelihood(model: dict, before: str, c: str) -> float:
+        p = 1 / 65536
+        for k in range(5):
+            if seen := model.get(before[len(before) - k :]):
+                p = (seen[c] + len(seen) * p) / (sum(seen.values()) + len(seen))
+        return p
+
+    def score(u: str) -> int:
+        text = "\x02" * 4 + low(u)
+        weights = [round(1000 * (math.log(likelihood(models["allow"], text[i - 4 : i], text[i])) - math.log(likelihood(models["block"], text[i - 4 : i], text[i])))) for i in range(4, len(text))]
+        return math.floor(sum(weights) / len(weights)) if weights else 0
+
+    scores = [score(u) for u in urls]
+    own = {v: np.array([s for s, x, h in zip(scores, verdicts, held, strict=True) if h and x == v], dtype=float) for v in models}
+    (ma, sa), (mb, sb) = ((own[v].mean(), own[v].std()) for v in models)
+    return scores, (ma * sb + mb * sa) / (sa + sb)
+
+
+@pytest.mark.parametrize("hot", [2, 1024])
+def test_url_scores_by_plain_counts(spark, monkeypatch, hot):
+    from plumbline.llm import common
+
+    monkeypatch.setattr(common, "HOT", hot)
+    r = random.Random(9)
+    words = ["news", "shop", "casino", "win", "blog", "Über", "data"]
+    urls = [f"https://{r.choice(words)}{i % 7}.{r.choice(['com', 'net', 'org'])}/{r.choice(['es', 'fr', 'en', 'de'])}/{r.choice(words)}{r.randrange(50)}" for i in range(150)] + ["", "https://"]
+    got = {x["page_id"]: x for x in url_markov.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    rules = dict((rule, verdict) for verdict, rule in url_markov.RULES)
+    verdicts = [rules.get(got[i]["rule"]) for i in range(len(urls))]
+    scores, threshold = plain_url_scores(urls, verdicts)
+    assert [got[i]["score"] for i in range(len(urls))] == scores
+    assert [got[i]["verdict"] for i in range(len(urls))] == [v or ("block" if s < threshold else "allow") for v, s in zip(verdicts, scores, strict=True)]
