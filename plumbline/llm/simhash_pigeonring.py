@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import free_name, join_counted, own_columns, shared_folder, shuffle_partitions, stored, text_of
@@ -193,19 +193,24 @@ def links(fps: DataFrame, *, bits: int = 4, exact: int = 3, most: int | None = N
     keyed = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.key", "k.set")
     several = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = keyed.join(several, "key").select("key", "set", "n", "fp")
-    # a crowded group's members go by one of bits + 1 other segments too, of which two within the bound share one
-    others = F.array(*(F.array(*map(F.lit, [i for i in range(SEGMENTS) if i not in chosen][: bits + 1])) for chosen in sets))
-    apart = F.transform(F.get(others, F.col("set")), lambda i: F.xxhash64(F.col("key"), i, F.shiftrightunsigned(F.col("fp"), 0).bitwiseAND(_segment_mask(i))))
-    most = CROWDED if most is None else most
-    able = all(SEGMENTS - len(chosen) > bits for chosen in sets)
-    group = F.when(F.col("n") > most, apart).otherwise(F.array(F.xxhash64("key"))) if able else F.array(F.xxhash64("key"))
+    # a crowded group's members go by one of bits + 1 parts of the other bits too, of which two within the bound share one
+    most, able = CROWDED if most is None else most, 64 - WIDTH * exact > bits
+    if able:
+        parts = F.array(*(F.array(*map(F.lit, split_masks(chosen, bits))) for chosen in sets))
+        apart = F.transform(F.get(parts, F.col("set")), lambda m: F.xxhash64(F.col("key"), m, F.col("fp").bitwiseAND(m)))
+        group = F.when(F.col("n") > most, apart).otherwise(F.array(F.xxhash64("key")))
+    else:
+        group = F.array(F.xxhash64("key"))
     n = shuffle_partitions(fps.sparkSession)
     found = members.select(F.explode(group).alias("key"), "fp").repartition(n, "key").sortWithinPartitions("key")
     return found.mapInArrow(_compare(bits), "a long, b long").distinct()
 
 
-def _segment_mask(i: Column) -> Column:
-    return F.get(F.array(*(F.lit((255 << WIDTH * k) - ((1 << 64) if k == SEGMENTS - 1 else 0)).cast("long") for k in range(SEGMENTS))), i)
+def split_masks(chosen: tuple[int, ...], bits: int) -> list[int]:
+    """bits + 1 masks, as signed 64-bit numbers, that part the bits outside the chosen segments evenly."""
+    rest = [WIDTH * i + b for i in range(SEGMENTS) if i not in chosen for b in range(WIDTH)]
+    masks = [sum(1 << b for b in part.tolist()) for part in np.array_split(rest, bits + 1)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
 def grouped(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", shingle: int = 4, bits: int = 4, exact: int | None = None) -> DataFrame:

@@ -240,7 +240,7 @@ def test_near_duplicates(docs, no_docs, spark):
     assert simhash_pigeonring.keep_one(no_docs).count() == 0
 
 
-@pytest.mark.parametrize(("bits", "exact", "most"), [(4, 3, 32768), (4, 4, 32768), (4, 3, 12), (3, 3, 12), (2, 3, 5)])
+@pytest.mark.parametrize(("bits", "exact", "most"), [(4, 3, 32768), (4, 4, 32768), (4, 3, 12), (4, 4, 3), (3, 3, 12), (2, 3, 5)])
 def test_links_of_dense_clusters(spark, bits, exact, most):
     r = random.Random(bits * 100 + most)
     fps = []
@@ -262,6 +262,21 @@ def test_links_of_dense_clusters(spark, bits, exact, most):
     assert {frozenset(g) for g in got.values()} == {frozenset(g) for g in of.values()}
 
 
+def test_masks_part_the_other_bits():
+    for exact in (3, 4):
+        for chosen in simhash_pigeonring.key_sets(8, 4, exact):
+            masks = [m % (1 << 64) for m in simhash_pigeonring.split_masks(chosen, 4)]
+            assert len(masks) == 5 and sum(masks) == (1 << 64) - 1 - sum(255 << 8 * i for i in chosen)
+            assert max(m.bit_count() for m in masks) - min(m.bit_count() for m in masks) <= 1
+
+
+def test_many_fingerprints_give_the_same_components(docs, monkeypatch):
+    want = Counter(map(tuple, simhash_pigeonring.near_duplicates(docs).select("doc_id", "fp", "component_id").collect()))
+    for name, value in (("MANY", 1), ("CROWDED", 1)):
+        monkeypatch.setattr(simhash_pigeonring, name, value)
+        assert Counter(map(tuple, simhash_pigeonring.near_duplicates(docs).select("doc_id", "fp", "component_id").collect())) == want
+
+
 @pytest.mark.parametrize("spread", [12, 40])
 def test_split_groups_lose_no_link(spread):
     r = random.Random(spread)
