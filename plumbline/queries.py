@@ -688,25 +688,25 @@ def handle_sets(spark, sf_dir):
 
 # grids of one to three axes
 
-_GRID = "g AS (SELECT l_returnflag AS flag, l_partkey % 14 AS x, l_suppkey % 9 AS y, l_linenumber - 1 AS z, max(CASE WHEN l_quantity < 45 THEN l_discount ELSE NULL END) AS v FROM lineitem GROUP BY ALL)"
+_AXES_CELLS = "g AS (SELECT l_returnflag AS flag, l_partkey % 14 AS x, l_suppkey % 9 AS y, l_linenumber - 1 AS z, max(CASE WHEN l_quantity < 45 THEN l_discount ELSE NULL END) AS v FROM lineitem GROUP BY ALL)"
 
 
-def _grid(spark, sf_dir):
+def _axes_cells(spark, sf_dir):
     value = F.max(F.when(F.col("l_quantity") < 45, F.col("l_discount")))
     keys = [F.col("l_returnflag").alias("flag"), (F.col("l_partkey") % 14).alias("x"), (F.col("l_suppkey") % 9).alias("y"), (F.col("l_linenumber") - 1).alias("z")]
     return table(spark, sf_dir, "lineitem").groupBy(*keys).agg(value.alias("v")).withColumn("v", F.coalesce("v", F.lit(float("nan"))))
 
 
-@query(f"""WITH {_GRID}, o AS (SELECT * FROM range(7) a(x), range(4) b(y), range(7) c(z))
+@query(f"""WITH {_AXES_CELLS}, o AS (SELECT * FROM range(7) a(x), range(4) b(y), range(7) c(z))
     SELECT flag, o.x, o.y, o.z, max(g.v) AS v FROM g JOIN o ON g.x BETWEEN o.x * 2 - 1 AND o.x * 2 + 1 AND g.y BETWEEN o.y * 2 AND o.y * 2 + 1 AND g.z BETWEEN o.z - 1 AND o.z + 1 GROUP BY ALL""")
 def pool_max_3d(spark, sf_dir):
-    return grids.pooled(_grid(spark, sf_dir), ["flag"], {"x": 14, "y": 9, "z": 7}, "v", (3, 2, 3), (2, 2, 1), (1, 0, 1))
+    return grids.pooled(_axes_cells(spark, sf_dir), ["flag"], {"x": 14, "y": 9, "z": 7}, "v", (3, 2, 3), (2, 2, 1), (1, 0, 1))
 
 
-@query(f"""WITH {_GRID}, h AS (SELECT flag, x, y, max(v) AS v FROM g WHERE z < 3 GROUP BY ALL), o AS (SELECT * FROM range(6) a(x), range(4) b(y)), w AS (SELECT flag, o.x, o.y, h.v, (h.x - o.x * 2) * 2 + h.y - o.y * 2 AS p FROM h JOIN o ON h.x BETWEEN o.x * 2 AND o.x * 2 + 2 AND h.y BETWEEN o.y * 2 AND o.y * 2 + 1)
+@query(f"""WITH {_AXES_CELLS}, h AS (SELECT flag, x, y, max(v) AS v FROM g WHERE z < 3 GROUP BY ALL), o AS (SELECT * FROM range(6) a(x), range(4) b(y)), w AS (SELECT flag, o.x, o.y, h.v, (h.x - o.x * 2) * 2 + h.y - o.y * 2 AS p FROM h JOIN o ON h.x BETWEEN o.x * 2 AND o.x * 2 + 2 AND h.y BETWEEN o.y * 2 AND o.y * 2 + 1)
     SELECT flag, x, y, max(v) FILTER (p = 0) AS first, max(v) FILTER (p = 5) AS last, round(sum(v * (p + 1)), 6) AS mixed FROM w GROUP BY ALL""")
 def windows_2d(spark, sf_dir):
-    h = _grid(spark, sf_dir).filter("z < 3").groupBy("flag", "x", "y").agg(F.max(F.when(~F.isnan("v"), F.col("v"))).alias("v"))
+    h = _axes_cells(spark, sf_dir).filter("z < 3").groupBy("flag", "x", "y").agg(F.max(F.when(~F.isnan("v"), F.col("v"))).alias("v"))
     found = grids.windows(h, ["flag"], {"x": 14, "y": 9}, "v", (3, 2), 2)
     mixed = F.aggregate(F.transform("window", lambda v, i: v * (i + 1)), F.lit(None).cast("double"), lambda s, v: F.coalesce(s + v, s, v))
     return found.select("flag", "x", "y", F.get("window", F.lit(0)).alias("first"), F.get("window", F.lit(5)).alias("last"), r6(mixed).alias("mixed"))
