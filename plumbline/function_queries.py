@@ -731,3 +731,117 @@ def limits_of_joints(spark, sf_dir):
     i, size = F.col("p_partkey"), F.col("p_size")
     joints = table(spark, sf_dir, "part").select(i.alias("n"), F.col("p_name").alias("name"), F.when(i % 5 == 0, "fixed").otherwise("hinge").alias("kind"), F.when(size > 25, size / 10).alias("lower"))
     return tables.joint_limits(tables.with_defaults(joints, {"upper": 3.141592653589793}))
+
+
+# cameras and rotations by their formulas
+
+
+def _turned() -> object:
+    """Extrinsics: a turn by c about z, then a shift."""
+    c = F.col("c")
+    return L.pack([F.cos(c), -F.sin(c), 0, 1, F.sin(c), F.cos(c), 0, 2, 0, 0, 1, 3, 0, 0, 0, 1])
+
+
+@query(_sql({"o": ["-(cos(c) + 2 * sin(c))", "sin(c) - 2 * cos(c)", "-3e0"], "d": ["cos(c) * (a - 0.5) / 0.8 + sin(c) * (b - 0.5) / 0.6", "cos(c) * (b - 0.5) / 0.6 - sin(c) * (a - 0.5) / 0.8", "1e0"]}))
+def camera_rays(spark, sf_dir):
+    origin, direction = camera.rays(L.pack([F.col("a"), F.col("b")]), L.pack([0.8, 0, 0.5, 0, 0.6, 0.5, 0, 0, 1]), _turned())
+    return _out(_parts(spark, sf_dir), o=(origin, 3), d=(direction, 3))
+
+
+@query(_sql({"v": ["cos(c) * x - sin(c) * y + 1", "-(sin(c) * x + cos(c) * y + 2)", "-(z + 3)"]}))
+def views_of_extrinsics(spark, sf_dir):
+    return _out(_parts(spark, sf_dir), v=(L.apply_transform(camera.extrinsics_to_view(_turned()), L.pack(_xyz())), 3))
+
+
+@query(f"""{_PARTS}, e AS (SELECT id, x, y, z, [(x - 60) / r, (y - 30) / r, (z - 50) / r] AS back, [1 - x, 2 - y, 3 - z] AS q FROM (SELECT *, sqrt((x - 60) ** 2 + (y - 30) ** 2 + (z - 50) ** 2) AS r FROM p)),
+    f AS (SELECT *, [-back[2] / n, back[1] / n, 0e0] AS side FROM (SELECT *, sqrt(back[1] ** 2 + back[2] ** 2) AS n FROM e)),
+    g AS (SELECT *, [back[2] * side[3] - back[3] * side[2], back[3] * side[1] - back[1] * side[3], back[1] * side[2] - back[2] * side[1]] AS top FROM f)
+    SELECT id, round(list_dot_product(side, q), 5) + 0e0 AS v0, round(list_dot_product(top, q), 5) + 0e0 AS v1, round(list_dot_product(back, q), 5) + 0e0 AS v2 FROM g""")
+def view_look_at(spark, sf_dir):
+    m = camera.view_look_at(L.pack(_xyz()), L.pack([60.0, 30.0, 50.0]), L.pack([0.0, 0.0, 1.0]))
+    return _out(_parts(spark, sf_dir), v=(L.apply_transform(m, L.pack([1.0, 2.0, 3.0])), 3))
+
+
+@query(_sql({"k": ["a", "0e0", "c / 4", "0e0", "b", "0.25 + a / 10", "0e0", "0e0", "1e0"]}))
+def intrinsics_of_perspective(spark, sf_dir):
+    a, b, cx, cy = F.col("a"), F.col("b"), F.col("c") / 4, 0.25 + F.col("a") / 10
+    p = L.pack([2 * a, 0, 1 - 2 * cx, 0, 0, 2 * b, 2 * cy - 1, 0, 0, 0, -1.002, -0.2, 0, 0, -1, 0])
+    return _out(_parts(spark, sf_dir), k=(camera.perspective_to_intrinsics(p), 9))
+
+
+_EULER = "e AS (SELECT id, a, b, c, 2 * cos(a) - 3 * sin(a) AS y1, 2 * sin(a) + 3 * cos(a) AS z1, cos(c) - 2 * sin(c) AS xc, sin(c) + 2 * cos(c) AS yc FROM p)"
+
+
+@query(f"""{_PARTS}, {_EULER}, f AS (SELECT *, cos(b) + sin(b) * z1 AS x2, -sin(b) + cos(b) * z1 AS z2, cos(b) * xc + 3 * sin(b) AS xb, 3 * cos(b) - sin(b) * xc AS zb FROM e)
+    SELECT id, round(cos(c) * x2 - sin(c) * y1, 5) + 0e0 AS xyz0, round(sin(c) * x2 + cos(c) * y1, 5) + 0e0 AS xyz1, round(z2, 5) + 0e0 AS xyz2,
+        round(xb, 5) + 0e0 AS zyx0, round(cos(a) * yc - sin(a) * zb, 5) + 0e0 AS zyx1, round(sin(a) * yc + cos(a) * zb, 5) + 0e0 AS zyx2 FROM f""")
+def euler_orders(spark, sf_dir):
+    """The point (1, 2, 3) turned about X, Y, Z, and about Z, Y, X."""
+    angles, point = L.pack([F.col("a"), F.col("b"), F.col("c")]), L.pack([1.0, 2.0, 3.0])
+    return _out(_parts(spark, sf_dir), **{c.lower(): (L.matvec(R.euler_angles_to_matrix(angles, c), point, 3), 3) for c in ("XYZ", "ZYX")})
+
+
+@query(_sql({"to": ["1 / sqrt(14e0)", "2 / sqrt(14e0)", "3 / sqrt(14e0)"], "axis": ["3 * (y + 1) - 2 * z", "z - 3 * x", "2 * x - y - 1"], "trace": "1 + 2 * (x + 2 * (y + 1) + 3 * z) / sqrt(14 * (x * x + (y + 1) ** 2 + z * z))"}))
+def least_rotations(spark, sf_dir):
+    """One vector goes to the other, the axis across both stays, and the trace tells the angle."""
+    u = [F.col("x"), F.col("y") + 1, F.col("z")]
+    m, v = R.rotation_from_vectors(L.pack(u), L.pack([1.0, 2.0, 3.0])), [F.lit(1.0), F.lit(2.0), F.lit(3.0)]
+    e = L.entries(m, 9)
+    return _out(_parts(spark, sf_dir), to=(L.matvec(m, L.normalize(L.pack(u)), 3), 3), axis=(L.matvec(m, L.cross(u, v), 3), 3), trace=(e[0] + e[4] + e[8], 0))
+
+
+@query(_sql({"p": ["0e0", "(y + (y + a * z) / (1 + a * a)) / 2", "(z + a * (y + a * z) / (1 + a * a)) / 2"], "s": "-x", "t": "(y + a * z) / (1 + a * a)"}))
+def points_between_rays(spark, sf_dir):
+    point, s, t = camera.ray_intersection(L.pack(_xyz()), L.pack([1.0, 0.0, 0.0]), L.pack([0.0, 0.0, 0.0]), L.pack([F.lit(0.0), F.lit(1.0), F.col("a")]))
+    return _out(_parts(spark, sf_dir), p=(point, 3), s=(s, 0), t=(t, 0))
+
+
+# samples, meshes and matchings
+
+
+@query(f"{_PARTS} SELECT id AS fid, cast(i AS integer) AS i, cast(j AS integer) AS j, round(x * (3 - i - j) / 3 + i / 3e0 * a + 5 * j / 3e0, 5) + 0e0 AS q0, round(y * (3 - i - j) / 3 + i / 3e0 * b, 5) + 0e0 AS q1, round(z * (3 - i - j) / 3 + i / 3e0 * c + j / 3e0, 5) + 0e0 AS q2 FROM p, range(4) s(i), range(4) t(j) WHERE i + j <= 3")
+def points_on_triangles(spark, sf_dir):
+    faces = _parts(spark, sf_dir).select(F.col("id").alias("fid"), L.pack(_xyz()).alias("p0"), L.pack([F.col("a"), F.col("b"), F.col("c")]).alias("p1"), L.pack([5.0, 0.0, 1.0]).alias("p2"))
+    found = sampling.triangle_samples(faces, 3)
+    return found.select("fid", "i", "j", *((F.round(F.get("point", F.lit(k)), 5) + 0.0).alias(f"q{k}") for k in range(3)))
+
+
+@query("SELECT l_partkey AS ray, CAST(40 AS bigint) AS draws, true AS inside FROM lineitem GROUP BY l_partkey")
+def depths_by_importance(spark, sf_dir):
+    """Forty depths a ray, each inside of a bin of that ray with weight."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("ray"), F.col("l_linenumber").cast("long").alias("bin"), "l_quantity").groupBy("ray", "bin").agg(F.sum("l_quantity").alias("weight"))
+    bins = li.select("ray", "bin", (F.col("bin") * 2.0).alias("z0"), (F.col("bin") * 2.0 + 1).alias("z1"), "weight")
+    drawn = sampling.importance_samples(bins, 40).withColumn("bin", F.floor(F.col("z") / 2).cast("long"))
+    joined = drawn.join(bins, ["ray", "bin"], "left")
+    return joined.groupBy("ray").agg(F.count("*").alias("draws"), F.bool_and(F.coalesce((F.col("z") >= F.col("z0")) & (F.col("z") <= F.col("z1")), F.lit(False))).alias("inside"))
+
+
+@query("""WITH RECURSIVE f AS (SELECT DISTINCT l_partkey % 97 AS a, l_suppkey % 89 + 100 AS b, l_orderkey % 83 + 200 AS c FROM lineitem), e AS (SELECT a, b FROM f UNION SELECT b, a FROM f UNION SELECT b, c FROM f UNION SELECT c, b FROM f UNION SELECT c, a FROM f UNION SELECT a, c FROM f),
+    v0 AS (SELECT range AS v, cast(range * range AS double) AS x FROM range(300)), v1 AS (SELECT v0.v, coalesce(v0.x + 0.5 * (m - v0.x), v0.x) AS x FROM v0 LEFT JOIN (SELECT e.a, avg(n.x) AS m FROM e JOIN v0 n ON n.v = e.b GROUP BY e.a) g ON g.a = v0.v),
+    v2 AS (SELECT v1.v, coalesce(v1.x + 0.5 * (m - v1.x), v1.x) AS x FROM v1 LEFT JOIN (SELECT e.a, avg(n.x) AS m FROM e JOIN v1 n ON n.v = e.b GROUP BY e.a) g ON g.a = v1.v) SELECT v AS vid, round(x, 5) AS x FROM v2""")
+def smoothed_vertices(spark, sf_dir):
+    f = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 97).alias("v0"), (F.col("l_suppkey") % 89 + 100).alias("v1"), (F.col("l_orderkey") % 83 + 200).alias("v2")).distinct().withColumn("fid", F.xxhash64("v0", "v1", "v2"))
+    v = spark.range(300).select(F.col("id").alias("vid"), (F.col("id") * F.col("id")).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    return mesh.smooth_laplacian(f, v, shared_folder(spark), times=2, factor=0.5).select("vid", F.round("x", 5).alias("x"))
+
+
+@query("""WITH v AS (SELECT p_partkey AS id, p_partkey % 7 = 0 AS bad FROM part), n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS vid FROM v WHERE NOT bad)
+    SELECT v.id AS fid, cast(a.vid AS bigint) AS v0, cast(b.vid AS bigint) AS v1, cast(c.vid AS bigint) AS v2 FROM v JOIN n a ON a.id = v.id JOIN n b ON b.id = v.id + 1 JOIN n c ON c.id = v.id + 2""")
+def faces_of_finite_vertices(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    vertices = p.select(F.col("p_partkey").alias("vid"), F.when(F.col("p_partkey") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("p_retailprice")).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    faces = p.select(F.col("p_partkey").alias("fid"), *((F.col("p_partkey") + i).alias(f"v{i}") for i in range(3)))
+    _, kept = mesh.drop_nonfinite(vertices, faces)
+    return kept.select("fid", *(F.col(f"v{i}").cast("long").alias(f"v{i}") for i in range(3)))
+
+
+@query("""WITH c AS (SELECT g, r, k, coalesce(c, 60) AS c FROM (SELECT DISTINCT l_suppkey AS g FROM lineitem), range(3) a(r), range(3) b(k) LEFT JOIN (SELECT l_suppkey, l_linenumber % 3 AS x, l_partkey % 3 AS y, min(l_quantity) AS c FROM lineitem GROUP BY ALL) m ON m.l_suppkey = g AND x = r AND y = k),
+    t AS (SELECT g, list(c ORDER BY r, k) AS c FROM c GROUP BY g)
+    SELECT g, round(least(c[1] + c[5] + c[9], c[1] + c[6] + c[8], c[2] + c[4] + c[9], c[2] + c[6] + c[7], c[3] + c[4] + c[8], c[3] + c[5] + c[7]), 4) AS cost, CAST(3 AS bigint) AS pairs FROM t""")
+def least_cost_assignments(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    own = li.groupBy(F.col("l_suppkey").alias("g"), (F.col("l_linenumber") % 3).cast("long").alias("row"), (F.col("l_partkey") % 3).alias("col")).agg(F.min("l_quantity").alias("cost"))
+    three = F.array(*(F.lit(i).cast("long") for i in range(3)))
+    every = li.select(F.col("l_suppkey").alias("g")).distinct().select("g", F.explode(three).alias("row")).select("g", "row", F.explode(three).alias("col"))
+    costs = every.join(own, ["g", "row", "col"], "left").withColumn("cost", F.coalesce("cost", F.lit(60.0)))
+    return spatial.hungarian(costs, "g").groupBy("g").agg(F.round(F.sum("cost"), 4).alias("cost"), F.count("*").alias("pairs"))

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.rotation import uniform
+from plumbline.storage import shared_folder, stored
 
 
 def top_clusters(df: DataFrame, label: str, k: int) -> DataFrame:
@@ -51,20 +52,31 @@ def smallest_good(masks: DataFrame, by: Sequence[str], *, iou: float = 0.8, stab
 
 
 def greedy_matching(scores: DataFrame, by: Sequence[str], left: str, right: str, score: str = "score") -> DataFrame:
-    """One-to-one pairs of each group in descending score; ties to the least left, then right."""
-    import pandas as pd
+    """One-to-one pairs of each group in descending score; ties to the least left, then right.
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_left, used_right, keep = set(), set(), []
-        for row in pdf.sort_values([score, left, right], ascending=[False, True, True]).index:
-            a, b = pdf.at[row, left], pdf.at[row, right]
-            if a not in used_left and b not in used_right:
-                used_left.add(a)
-                used_right.add(b)
-                keep.append(row)
-        return pdf.loc[keep]
-
-    return scores.groupBy(*by).applyInPandas(match, scores.schema)
+    Each round keeps the pairs that are the best of both their sides and drops all others of those,
+    which gives what going down the sorted list gives; a round is two aggregations, whatever a group
+    holds, and there are few unless scores form a chain. Rows with a null or NaN score, side or
+    group take no part; of repeated pairs the best row stays.
+    """
+    folder, found, k = shared_folder(scores.sparkSession), None, 0
+    keys, number = [*by, left, right], F.col(score).cast("double")
+    rest = scores.select(*keys, number.alias("_s")).dropna().filter(~F.isnan("_s")).groupBy(*keys).agg(F.max("_s").alias("_s"))
+    rest = stored(rest, folder, "rest-0")
+    while not rest.isEmpty():
+        order = F.struct((-F.col("_s")).alias("s"), F.col(left).alias("l"), F.col(right).alias("r"))
+        ours = rest.groupBy(*by, left).agg(F.min(order).alias("_b")).select(*by, left, F.col("_b.r").alias(right), F.col("_b.s").alias("_s"))
+        theirs = rest.groupBy(*by, right).agg(F.min(order).alias("_b")).select(*by, F.col("_b.l").alias(left), right)
+        pairs = stored(ours.join(theirs, keys).select(*keys, (-F.col("_s")).alias("_s")), folder, f"pairs-{k}")
+        found = pairs if found is None else found.unionByName(pairs)
+        left_over = rest.join(pairs.select(*by, left), [*by, left], "left_anti").join(pairs.select(*by, right), [*by, right], "left_anti")
+        k += 1
+        rest = stored(left_over, folder, f"rest-{k}")
+    if found is None:
+        return scores.limit(0)
+    w = W.partitionBy(*keys).orderBy(number.desc())
+    kept = scores.join(found.drop("_s"), keys, "left_semi").filter(~F.isnan(number))
+    return kept.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n").select(scores.columns)
 
 
 def suppress_overlaps(boxes: DataFrame, by: Sequence[str], threshold: float = 0.7) -> DataFrame:

@@ -8,12 +8,14 @@ equi-join on the cell finds all pairs. A crowded cell's queries are dealt over `
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.functions.linalg import array_dot
 from plumbline.operators import blocks
 from plumbline.storage import shared_folder, stored
 
@@ -70,10 +72,40 @@ def within_radius(points: DataFrame, centers: DataFrame, coords: Sequence[str],
     return radius_join(points, centers.select(*coords).distinct(), coords, radius, how="left_semi", salts=salts)
 
 
-def radius_counts(points: DataFrame, coords: Sequence[str], radius: float, id_column: str = "id", salts: int = 1) -> DataFrame:
-    """How many points, itself included, lie within ``radius`` of each."""
-    other = points.select(F.col(id_column).alias("_other"), *coords)
-    return radius_join(points.select(id_column, *coords), other, coords, radius, salts=salts).groupBy(id_column).agg(F.count("*").alias("neighbors"))
+def radius_counts(points: DataFrame, coords: Sequence[str], radius: float, id_column: str = "id", parts: int = 2) -> DataFrame:
+    """How many points, itself included, lie within ``radius`` of each.
+
+    Cells are so small that a few lie inside of the radius. Cells that are near for certain by their
+    bounds count as a whole, and only places of cells between are compared, equal places once. Rows
+    with a coordinate that isn't a finite number have no row.
+    """
+    folder, d = shared_folder(points.sparkSession), len(coords)
+    side = radius / (parts * math.sqrt(d))
+    finite = F.lit(True)
+    for c in coords:
+        finite = finite & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < float("inf"))
+    rows = points.filter(finite).select(id_column, *coords)
+    keys = [f"_c{i}" for i in range(d)]
+    places = rows.groupBy(*coords).agg(F.count("*").alias("_n"))
+    places = stored(places.select("*", *(c.alias(k) for c, k in zip(cell(coords, side), keys, strict=True))), folder, "places")
+    counted = stored(places.groupBy(*keys).agg(F.sum("_n").alias("_all")), folder, "cells")
+    reach = math.ceil(radius / side) + 1
+    steps = []
+    for step in itertools.product(range(-reach, reach + 1), repeat=d):
+        least, most = (math.sqrt(sum(max(0, abs(x) + e) ** 2 for x in step)) * side for e in (-1, 1))
+        if least * (1 - 1e-9) <= radius:
+            steps.append(F.struct(*(F.lit(x).cast("long").alias(f"d{i}") for i, x in enumerate(step)), F.lit(most * (1 + 1e-9) < radius).alias("sure")))
+    moved = counted.select(*keys, F.explode(F.array(*steps)).alias("_s")).select(*keys, "_s.sure", *((F.col(k) + F.col(f"_s.d{i}")).alias(f"_o{i}") for i, k in enumerate(keys)))
+    others = counted.select(*(F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)), "_all")
+    pairs = stored(moved.join(others, [f"_o{i}" for i in range(d)]), folder, "pairs")
+    whole = pairs.filter("sure").groupBy(*keys).agg(F.sum("_all").alias("_whole"))
+    there = places.select(*(F.col(c).alias(f"_r_{c}") for c in coords), F.col("_n").alias("_there"), *(F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)))
+    border = places.select(*coords, *keys).join(pairs.filter("NOT sure").drop("_all"), keys).join(there, [f"_o{i}" for i in range(d)])
+    near = squared_distance([F.col(c) for c in coords], [F.col(f"_r_{c}") for c in coords]) <= F.lit(float(radius) ** 2)
+    some = border.filter(near).groupBy(*coords).agg(F.sum("_there").alias("_some"))
+    found = places.join(whole, keys, "left").join(some, list(coords), "left")
+    found = found.select(*coords, (F.coalesce("_whole", F.lit(0)) + F.coalesce("_some", F.lit(0))).alias("neighbors"))
+    return rows.join(found, list(coords)).select(id_column, "neighbors")
 
 
 def nearest_by_grid(queries: DataFrame, points: DataFrame, coords: Sequence[str], start: float, *, most: float | None = None, salts: int = 4) -> DataFrame:
@@ -133,6 +165,24 @@ def chamfer(a: DataFrame, b: DataFrame, *, power: int = 2, reduction: str = "mea
     return one.join(two).select("forward", "backward", (F.col("forward") + F.col("backward")).alias("chamfer"))
 
 
+def chamfer_normals(a: DataFrame, b: DataFrame, weight: str | None = None) -> DataFrame:
+    """Both one-way means over ``(id, x, n)`` sets of 1 - |cos| of a row's normal and its nearest row's, and their sum.
+
+    ``weight``, a column of both, weighs the rows; ids must be unique in each set.
+    """
+
+    def one_way(p: DataFrame, q: DataFrame, name: str) -> DataFrame:
+        w = F.col(weight) if weight else F.lit(1.0)
+        own = p.select(F.col("id").alias("query_id"), F.col("n").alias("_n"), w.alias("_w"))
+        found = blocks.nearest(p, q).join(own, "query_id").join(q.select(F.col("id").alias("point_id"), F.col("n").alias("_m")), "point_id")
+        size = lambda c: F.sqrt(array_dot(c, c))
+        apart = 1 - F.abs(array_dot("_n", "_m")) / F.greatest(size("_n") * size("_m"), F.lit(1e-12))
+        return found.agg((F.sum(F.col("_w") * apart) / F.sum("_w")).alias(name))
+
+    both = one_way(a, b, "forward").join(one_way(b, a, "backward"))
+    return both.select("forward", "backward", (F.col("forward") + F.col("backward")).alias("normals"))
+
+
 def geometry_metrics(predicted: DataFrame, target: DataFrame, threshold: float) -> DataFrame:
     """Accuracy, completeness, Chamfer, precision, recall and F-score (in percent) of ``(id, x)`` clouds; F is null at 0/0."""
     inside = F.avg(F.when(F.col("distance") < threshold, 100.0).otherwise(0.0))

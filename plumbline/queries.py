@@ -139,6 +139,15 @@ def centroids(spark, sf_dir):
     return aggregates.vector_centroids(_vectors(spark, sf_dir), "label").select("label", F.col("dim").cast("long").alias("dim"), r6("mean").alias("mean"))
 
 
+@query(f"""WITH {_PAIRS}, n AS (SELECT a, arg_min(b, (round(dist, 9), b)) AS b, la < 5 AS first FROM d WHERE (la < 5) != (lb < 5) GROUP BY a, la),
+    c AS (SELECT first, 1 + a % 3 AS w, 1 - abs(list_dot_product(p.x[1:3], q.x[1:3])) / (sqrt(list_dot_product(p.x[1:3], p.x[1:3])) * sqrt(list_dot_product(q.x[1:3], q.x[1:3]))) AS v FROM n JOIN v p ON p.id = a JOIN v q ON q.id = b),
+    m AS (SELECT sum(v * w) FILTER (first) / sum(w) FILTER (first) AS f, sum(v * w) FILTER (NOT first) / sum(w) FILTER (NOT first) AS b FROM c) SELECT round(f, 6) AS forward, round(b, 6) AS backward, round(f + b, 6) AS normals FROM m""")
+def chamfer_of_normals(spark, sf_dir):
+    v = _vectors(spark, sf_dir).withColumn("n", F.slice("x", 1, 3)).withColumn("w", 1 + F.col("id") % 3)
+    found = spatial.chamfer_normals(v.filter("label < 5"), v.filter("label >= 5"), "w")
+    return found.select(*(r6(c).alias(c) for c in found.columns))
+
+
 @query()
 def kmeans_top(spark, sf_dir):
     return cluster.normal_clusters(_vectors(spark, sf_dir).select("id", "x")).groupBy("cluster").count()
@@ -624,7 +633,9 @@ def greedy_matching(spark, sf_dir):
 
 @query()
 def box_split(spark, sf_dir):
-    p = _cloud(spark, sf_dir).select(F.hash("l_returnflag").cast("long").alias("gid"), "x", "y", (F.col("z") / 1000).alias("z"), F.lit(0.0).alias("nx"), F.lit(0.0).alias("ny"), F.lit(1.0).alias("nz"))
+    li = table(spark, sf_dir, "lineitem")
+    place = [F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"), ((F.col("l_tax") + F.col("l_discount")) / 10).alias("z")]
+    p = li.select(F.col("l_suppkey").alias("gid"), *place, F.lit(0.0).alias("nx"), F.lit(0.0).alias("ny"), F.lit(1.0).alias("nz"))
     return primitives.split_planes(p)
 
 
@@ -642,7 +653,7 @@ def weighted_draws(spark, sf_dir):
 
 # masks as runs: parts of a supplier as its pixels
 
-_ISLANDS = "SELECT l_suppkey, how, min(p) AS start, max(p) + 1 AS \"end\" FROM (SELECT l_suppkey, how, p, p - row_number() OVER (PARTITION BY l_suppkey, how ORDER BY p) AS g FROM {}) GROUP BY l_suppkey, how, g"
+_RUN_ISLANDS = "SELECT l_suppkey, how, min(p) AS start, max(p) + 1 AS \"end\" FROM (SELECT l_suppkey, how, p, p - row_number() OVER (PARTITION BY l_suppkey, how ORDER BY p) AS g FROM {}) GROUP BY l_suppkey, how, g"
 
 
 def _masks(spark, sf_dir):
@@ -653,7 +664,7 @@ def _masks(spark, sf_dir):
 @query(f"""WITH a AS (SELECT DISTINCT l_suppkey, l_partkey AS p FROM lineitem WHERE l_quantity > 15), b AS (SELECT DISTINCT l_suppkey, l_partkey AS p FROM lineitem WHERE l_discount > 0.03),
     x AS (SELECT *, 'union' AS how FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT *, 'intersection' FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT *, 'difference' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
         UNION ALL SELECT *, 'symmetric' FROM ((SELECT * FROM a EXCEPT SELECT * FROM b) UNION (SELECT * FROM b EXCEPT SELECT * FROM a)))
-    {_ISLANDS.format("x")}""")
+    {_RUN_ISLANDS.format("x")}""")
 def mask_algebra(spark, sf_dir):
     a, b = _masks(spark, sf_dir)
     found = [runs.combine(a, b, ["l_suppkey"], how).withColumn("how", F.lit(how)) for how in ("union", "intersection", "difference", "symmetric")]

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import blocks, spatial
+from plumbline.operators import blocks, sampling, spatial
 from plumbline.storage import shared_folder
 
 KIND = "id long, x array<double>"
@@ -116,3 +116,31 @@ def test_plane_metrics(spark):
     assert [round(v, 9) for v in found.first()] == [round(v, 9) for v in (want, want, want)]
     none = spark.createDataFrame([], kind + "int")
     assert tuple(spatial.plane_metrics(none, spark.createDataFrame(target, kind + "string"), most=0.25).first()) == (0.25, 0.25, 0.25)
+
+
+@pytest.mark.parametrize(("d", "parts"), [(1, 2), (2, 2), (2, 4), (3, 1)])
+def test_radius_counts_with_crowded_places(spark, d, parts):
+    r = random.Random(d * 10 + parts)
+    rows = [(i, *(r.choice([0.0, 0.3, r.random() * 4]) for _ in range(d))) for i in range(250)] + [(1000 + i, *[0.0] * d) for i in range(120)]
+    coords = [f"c{i}" for i in range(d)]
+    df = spark.createDataFrame([*rows, (5000, *[None] * d), (5001, *[float("nan")] * d)], "id long, " + ", ".join(f"{c} double" for c in coords))
+    x = np.array([row[1:] for row in rows])
+    want = (((x[:, None] - x[None]) ** 2).sum(axis=2) <= 0.5**2).sum(axis=1)
+    got = {row["id"]: row["neighbors"] for row in spatial.radius_counts(df, coords, 0.5, parts=parts).collect()}
+    assert got == {row[0]: n for row, n in zip(rows, want.tolist(), strict=True)}
+
+
+def test_greedy_matching_equals_going_down_the_list(spark):
+    r = random.Random(4)
+    rows = [(g, a, b, r.choice([0.1, 0.2, 0.5, r.random()])) for g in "pq" for a in range(12) for b in range(9) if r.random() < 0.6]
+    kind = "pair string, gt int, pred int, score double"
+    found = sampling.greedy_matching(spark.createDataFrame([*rows, ("p", 0, 0, None), ("p", 1, 1, float("nan"))], kind), ["pair"], "gt", "pred")
+    want = set()
+    for g in "pq":
+        used: set = set()
+        for _, a, b, s in sorted((x for x in rows if x[0] == g), key=lambda x: (-x[3], x[1], x[2])):
+            if ("l", a) not in used and ("r", b) not in used:
+                used |= {("l", a), ("r", b)}
+                want.add((g, a, b, s))
+    assert {tuple(x) for x in found.collect()} == want and found.columns == ["pair", "gt", "pred", "score"]
+    assert sampling.greedy_matching(spark.createDataFrame([], kind), ["pair"], "gt", "pred").count() == 0
