@@ -45,11 +45,10 @@ _SLACK = 1e-9
 
 @dataclass
 class Blocks:
-    """Packed rows: ``data`` (block, blob), ``boxes`` (block, part, n, lo, hi, middle, radius), and how many there are of a part at most."""
+    """Packed rows: ``data`` (block, blob) and ``boxes`` (block, part, n, lo, hi, middle, radius); blocks ascend along the curve."""
 
     data: DataFrame
     boxes: DataFrame
-    most: int
 
 
 def _clean(df: DataFrame, by: str | None) -> DataFrame:
@@ -123,19 +122,16 @@ def _packed(most: int):
     return pack
 
 
-def pack(df: DataFrame, folder: str, name: str, key: Column, rows: int) -> Blocks:
+def pack(df: DataFrame, folder: str, name: str, key: Column, rows: int, count: int | None = None) -> Blocks:
     """Rows (id, x, part) sorted along the curve and packed; a block has one part."""
-    keyed = stored(df.withColumn("key", key), folder, f"{name}-rows")
-    n = max(1, math.ceil(keyed.count() / TASK_ROWS))
+    n = max(1, math.ceil((df.count() if count is None else count) / TASK_ROWS))
     order = ["part", "key", "id"]
-    ranged = keyed.repartitionByRange(n, *order) if n > 1 else keyed.coalesce(1)
+    keyed = df.withColumn("key", key)
+    ranged = stored(keyed, folder, f"{name}-rows").repartitionByRange(n, *order) if n > 1 else keyed.coalesce(1)
     kind = dict(df.dtypes)["part"]
     found = ranged.sortWithinPartitions(*order).select("id", "x", "part").mapInArrow(_packed(rows), f"part {kind}, n int, lo array<double>, hi array<double>, middle array<double>, radius double, blob binary")
-    found = stored(found.withColumn("at", F.monotonically_increasing_id()), folder, name)
-    boxes = stored(numbered(found.drop("blob"), ["at"], "block"), folder, f"{name}-boxes")
-    data = found.select("at", "blob").join(boxes.select("at", "block"), "at").select("block", "blob")
-    most = boxes.groupBy("part").count().agg(F.max("count")).first()[0]
-    return Blocks(data, boxes.drop("at"), most or 0)
+    found = stored(found.withColumn("block", F.monotonically_increasing_id()), folder, name)
+    return Blocks(found.select("block", "blob"), found.drop("blob"))
 
 
 def apart(a_lo: str, a_hi: str, b_lo: str, b_hi: str) -> Column:
@@ -150,12 +146,13 @@ def _between(a: str, b: str) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, g: s + g))
 
 
-def tree(blocks: Blocks, folder: str, d: int) -> list[DataFrame]:
-    """Levels of (part, node, up, lo, hi), leaves first; the last has a node for each part."""
-    starts = blocks.boxes.groupBy("part").agg(F.min("block").alias("start"))
-    leaves = blocks.boxes.join(starts, "part").select("part", "block", (F.col("block") - F.col("start")).alias("node"), "lo", "hi", "middle", "radius")
+def tree(blocks: Blocks, folder: str, d: int, most: int) -> list[DataFrame]:
+    """Levels of (part, node, up, lo, hi), leaves first; the last has a node for each part, of ``most`` blocks at most."""
+    places = stored(numbered(blocks.boxes, ["block"], "place"), folder, "places")
+    starts = places.groupBy("part").agg(F.min("place").alias("start"))
+    leaves = places.join(starts, "part").select("part", "block", (F.col("place") - F.col("start")).alias("node"), "lo", "hi", "middle", "radius")
     up = F.floor(F.col("node") / FAN).alias("up")
-    levels, most = [stored(leaves.select("*", up), folder, "tree-0")], blocks.most
+    levels = [stored(leaves.select("*", up), folder, "tree-0")]
     while most > 1:
         side = lambda f, c: F.array(*(f(F.get(c, F.lit(i))) for i in range(d))).alias(c)
         nodes = levels[-1].groupBy("part", "up").agg(side(F.min, "lo"), side(F.max, "hi")).withColumnRenamed("up", "node")
@@ -302,10 +299,11 @@ def _searched(k: int, exclude_same_id: bool):
 def pairs_of(queries: Blocks, points: Blocks, d: int, k: int, exclude_same_id: bool, folder: str) -> tuple[DataFrame, DataFrame | None]:
     """(query, part, block, gap) of the blocks to search, and (query, part, bounds) of the queries' own bounds."""
     own = queries.boxes.select(F.col("block").alias("query"), F.col("lo").alias("q_lo"), F.col("hi").alias("q_hi"), F.col("middle").alias("q_middle"), F.col("radius").alias("q_radius"))
-    if points.most <= FLAT:
+    most = points.boxes.groupBy("part").count().agg(F.max("count")).first()[0]
+    if most <= FLAT:
         every = own.select("query").crossJoin(points.boxes.select("part", "block"))  # FLAT blocks of each part at most
         return stored(every.withColumn("gap", F.lit(0.0)), folder, "pairs"), None
-    levels = tree(points, folder, d)
+    levels = tree(points, folder, d, most)
     seeds = stored(_descend(own, levels, True), folder, "seeds")
     seeds = seeds.join(queries.data.select(F.col("block").alias("query"), F.col("blob").alias("q_blob")), "query").join(points.data, "block")
     kind = dict(points.boxes.dtypes)["part"]
@@ -332,11 +330,11 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, *, exclude_same_id:
         empty = spark.createDataFrame([], f"query_id long, rank int, `{name}` {kind}, point_id long, distance double")
         return empty if by else empty.drop(name)
     d = first["d"]
-    extent = there.agg(*(f(F.get("x", F.lit(i))).alias(f"{n}{i}") for i in range(min(d, KEYED)) for n, f in (("a", F.min), ("b", F.max)))).first()
+    extent = there.agg(F.count("*").alias("n"), *(f(F.get("x", F.lit(i))).alias(f"{n}{i}") for i in range(min(d, KEYED)) for n, f in (("a", F.min), ("b", F.max)))).first()
     keyed = range(min(d, KEYED))
     key = curve([extent[f"a{i}"] for i in keyed], [extent[f"b{i}"] for i in keyed])
     rows = FEW_ROWS if d <= LOW else ROWS
-    q, p = pack(asked, folder, "queries", key, rows), pack(there, folder, "points", key, rows)
+    q, p = pack(asked, folder, "queries", key, rows), pack(there, folder, "points", key, rows, extent["n"])
     pairs, bounds = pairs_of(q, p, d, k, exclude_same_id, folder)
     near = W.partitionBy("query", "part").orderBy("gap", "block")
     runs = pairs.withColumn("run", F.floor((F.row_number().over(near) - 1) / RUN))
