@@ -736,7 +736,7 @@ def limits_of_joints(spark, sf_dir):
 # cameras and rotations by their formulas
 
 
-def _turned() -> object:
+def _about_z():
     """Extrinsics: a turn by c about z, then a shift."""
     c = F.col("c")
     return L.pack([F.cos(c), -F.sin(c), 0, 1, F.sin(c), F.cos(c), 0, 2, 0, 0, 1, 3, 0, 0, 0, 1])
@@ -744,13 +744,13 @@ def _turned() -> object:
 
 @query(_sql({"o": ["-(cos(c) + 2 * sin(c))", "sin(c) - 2 * cos(c)", "-3e0"], "d": ["cos(c) * (a - 0.5) / 0.8 + sin(c) * (b - 0.5) / 0.6", "cos(c) * (b - 0.5) / 0.6 - sin(c) * (a - 0.5) / 0.8", "1e0"]}))
 def camera_rays(spark, sf_dir):
-    origin, direction = camera.rays(L.pack([F.col("a"), F.col("b")]), L.pack([0.8, 0, 0.5, 0, 0.6, 0.5, 0, 0, 1]), _turned())
+    origin, direction = camera.rays(L.pack([F.col("a"), F.col("b")]), L.pack([0.8, 0, 0.5, 0, 0.6, 0.5, 0, 0, 1]), _about_z())
     return _out(_parts(spark, sf_dir), o=(origin, 3), d=(direction, 3))
 
 
 @query(_sql({"v": ["cos(c) * x - sin(c) * y + 1", "-(sin(c) * x + cos(c) * y + 2)", "-(z + 3)"]}))
 def views_of_extrinsics(spark, sf_dir):
-    return _out(_parts(spark, sf_dir), v=(L.apply_transform(camera.extrinsics_to_view(_turned()), L.pack(_xyz())), 3))
+    return _out(_parts(spark, sf_dir), v=(L.apply_transform(camera.extrinsics_to_view(_about_z()), L.pack(_xyz())), 3))
 
 
 @query(f"""{_PARTS}, e AS (SELECT id, x, y, z, [(x - 60) / r, (y - 30) / r, (z - 50) / r] AS back, [1 - x, 2 - y, 3 - z] AS q FROM (SELECT *, sqrt((x - 60) ** 2 + (y - 30) ** 2 + (z - 50) ** 2) AS r FROM p)),
@@ -769,10 +769,10 @@ def intrinsics_of_perspective(spark, sf_dir):
     return _out(_parts(spark, sf_dir), k=(camera.perspective_to_intrinsics(p), 9))
 
 
-_EULER = "e AS (SELECT id, a, b, c, 2 * cos(a) - 3 * sin(a) AS y1, 2 * sin(a) + 3 * cos(a) AS z1, cos(c) - 2 * sin(c) AS xc, sin(c) + 2 * cos(c) AS yc FROM p)"
+_EULER_STEPS = "e AS (SELECT id, a, b, c, 2 * cos(a) - 3 * sin(a) AS y1, 2 * sin(a) + 3 * cos(a) AS z1, cos(c) - 2 * sin(c) AS xc, sin(c) + 2 * cos(c) AS yc FROM p)"
 
 
-@query(f"""{_PARTS}, {_EULER}, f AS (SELECT *, cos(b) + sin(b) * z1 AS x2, -sin(b) + cos(b) * z1 AS z2, cos(b) * xc + 3 * sin(b) AS xb, 3 * cos(b) - sin(b) * xc AS zb FROM e)
+@query(f"""{_PARTS}, {_EULER_STEPS}, f AS (SELECT *, cos(b) + sin(b) * z1 AS x2, -sin(b) + cos(b) * z1 AS z2, cos(b) * xc + 3 * sin(b) AS xb, 3 * cos(b) - sin(b) * xc AS zb FROM e)
     SELECT id, round(cos(c) * x2 - sin(c) * y1, 5) + 0e0 AS xyz0, round(sin(c) * x2 + cos(c) * y1, 5) + 0e0 AS xyz1, round(z2, 5) + 0e0 AS xyz2,
         round(xb, 5) + 0e0 AS zyx0, round(cos(a) * yc - sin(a) * zb, 5) + 0e0 AS zyx1, round(sin(a) * yc + cos(a) * zb, 5) + 0e0 AS zyx2 FROM f""")
 def euler_orders(spark, sf_dir):
