@@ -122,12 +122,11 @@ def _packed(most: int):
     return pack
 
 
-def pack(df: DataFrame, folder: str, name: str, key: Column, rows: int, count: int | None = None) -> Blocks:
-    """Rows (id, x, part) sorted along the curve and packed; a block has one part."""
-    n = max(1, math.ceil((df.count() if count is None else count) / TASK_ROWS))
-    order = ["part", "key", "id"]
-    keyed = df.withColumn("key", key)
-    ranged = stored(keyed, folder, f"{name}-rows").repartitionByRange(n, *order) if n > 1 else keyed.coalesce(1)
+def pack(df: DataFrame, folder: str, name: str, key: Column, rows: int, count: int) -> Blocks:
+    """Rows (id, x, part) dealt along the curve and packed; a block has one part. Few rows are packed by one task, without the curve."""
+    n = max(1, math.ceil(count / TASK_ROWS))
+    order = ["part", "key", "id"] if n > 1 else ["part"]
+    ranged = stored(df.withColumn("key", key), folder, f"{name}-rows").repartitionByRange(n, *order) if n > 1 else df.coalesce(1)
     kind = dict(df.dtypes)["part"]
     found = ranged.sortWithinPartitions(*order).select("id", "x", "part").mapInArrow(_packed(rows), f"part {kind}, n int, lo array<double>, hi array<double>, middle array<double>, radius double, blob binary")
     found = stored(found.withColumn("block", F.monotonically_increasing_id()), folder, name)
@@ -302,7 +301,7 @@ def pairs_of(queries: Blocks, points: Blocks, d: int, k: int, exclude_same_id: b
     most = points.boxes.groupBy("part").count().agg(F.max("count")).first()[0]
     if most <= FLAT:
         every = own.select("query").crossJoin(points.boxes.select("part", "block"))  # FLAT blocks of each part at most
-        return stored(every.withColumn("gap", F.lit(0.0)), folder, "pairs"), None
+        return every.withColumn("gap", F.lit(0.0)), None
     levels = tree(points, folder, d, most)
     seeds = stored(_descend(own, levels, True), folder, "seeds")
     seeds = seeds.join(queries.data.select(F.col("block").alias("query"), F.col("blob").alias("q_blob")), "query").join(points.data, "block")
@@ -334,10 +333,10 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, *, exclude_same_id:
     keyed = range(min(d, KEYED))
     key = curve([extent[f"a{i}"] for i in keyed], [extent[f"b{i}"] for i in keyed])
     rows = FEW_ROWS if d <= LOW else ROWS
-    q, p = pack(asked, folder, "queries", key, rows), pack(there, folder, "points", key, rows, extent["n"])
+    q, p = pack(asked, folder, "queries", key, rows, asked.count()), pack(there, folder, "points", key, rows, extent["n"])
     pairs, bounds = pairs_of(q, p, d, k, exclude_same_id, folder)
     near = W.partitionBy("query", "part").orderBy("gap", "block")
-    runs = pairs.withColumn("run", F.floor((F.row_number().over(near) - 1) / RUN))
+    runs = pairs.withColumn("run", F.floor((F.row_number().over(near) - 1) / RUN) if bounds is not None else F.lit(0).cast("long"))
     nothing = F.lit(None).cast("binary").alias("bounds")
     heads = runs.select("query", "part", "run").distinct().join(q.data.withColumnRenamed("block", "query"), "query")
     heads = heads.withColumn("bounds", nothing) if bounds is None else heads.join(bounds, ["query", "part"])

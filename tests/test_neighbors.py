@@ -81,7 +81,7 @@ def admitted(spark, n: int) -> tuple[int, int]:
     points = spark.range(n).select("id", F.array(F.rand(1), F.rand(2)).alias("x"))
     folder = shared_folder(spark)
     key = blocks.curve([0.0] * 2, [1.0] * 2)
-    packed = blocks.pack(blocks._clean(points, None), folder, "points", key, 64)
+    packed = blocks.pack(blocks._clean(points, None), folder, "points", key, 64, n)
     pairs, _ = blocks.pairs_of(packed, packed, 2, 1, True, folder)
     return pairs.count(), packed.boxes.count() ** 2
 
