@@ -73,8 +73,11 @@ def min_area_rectangle(points: np.ndarray) -> tuple[float, np.ndarray, np.ndarra
     return best
 
 
-def minimal_box(points: np.ndarray, angles: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rotation, centre and half sizes of the smallest of the boxes about principal axes turned about each axis, a full turn in so many steps."""
+def minimal_box(points: np.ndarray, angles: int = 24, turn: float = math.pi / 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rotation, centre and half sizes of the smallest of the boxes about principal axes turned about each axis.
+
+    ``turn`` is made in so many steps: a quarter turn holds all boxes there are, a full one in as many steps is coarser.
+    """
     center = points.mean(axis=0)
     _, axes = np.linalg.eigh(np.cov((points - center).T) if len(points) > 1 else np.eye(3))
     axes = axes[:, ::-1]
@@ -83,12 +86,12 @@ def minimal_box(points: np.ndarray, angles: int = 24) -> tuple[np.ndarray, np.nd
     best = None
     for axis in range(3):
         for k in range(angles):
-            a = k * 2 * math.pi / angles
-            turn = np.eye(3)
+            a = k * turn / angles
+            turned = np.eye(3)
             i, j = [d for d in range(3) if d != axis]
-            turn[i, i] = turn[j, j] = math.cos(a)
-            turn[i, j], turn[j, i] = -math.sin(a), math.sin(a)
-            r = axes @ turn
+            turned[i, i] = turned[j, j] = math.cos(a)
+            turned[i, j], turned[j, i] = -math.sin(a), math.sin(a)
+            r = axes @ turned
             local = points @ r
             low, high = local.min(axis=0), local.max(axis=0)
             volume = float(np.prod(np.maximum(high - low, 1e-9)))
@@ -178,11 +181,11 @@ def fit_primitives(points: DataFrame, *, least_frames: int = 1, least: int = 50,
     return points.groupBy("gid").applyInPandas(fit, PRIMITIVE)
 
 
-def fit_boxes(points: DataFrame) -> DataFrame:
+def fit_boxes(points: DataFrame, angles: int = 24, turn: float = math.pi / 2) -> DataFrame:
     """The minimal-volume box of each group of ``(gid, x, y, z)``: (gid, r, t, half)."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, t, half = minimal_box(pdf[["x", "y", "z"]].to_numpy(float))
+        r, t, half = minimal_box(pdf[["x", "y", "z"]].to_numpy(float), angles, turn)
         return pd.DataFrame({"gid": [pdf["gid"].iloc[0]], "r": [r.ravel().tolist()], "t": [t.tolist()], "half": [half.tolist()]})
 
     return points.groupBy("gid").applyInPandas(fit, "gid long, r array<double>, t array<double>, half array<double>")
