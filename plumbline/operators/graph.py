@@ -14,10 +14,15 @@ SALTS = 16
 def _with_least(edges: DataFrame) -> DataFrame:
     """Joins to each directed edge (u, v) the least node m of u's neighbours and u.
 
-    A node's edges are dealt over SALTS tasks; the least nodes, one row a node, go to each of them.
+    A node's edges are dealt over SALTS tasks; the least node goes to those that hold some of them.
+    Both sides grow with the graph, and their files are small for their rows, so that Spark would
+    take one for small enough to send through the driver: the joins are merge joins by hint.
     """
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
-    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(least, ["u", "salt"]).select("u", "v", "m")
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    parts = dealt.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.least("u", F.min("m")).alias("m"))
+    own = parts.select("u", "salt").join(least.hint("merge"), "u")
+    return dealt.join(own.hint("merge"), ["u", "salt"]).select("u", "v", "m")
 
 
 def connected_components(edges: DataFrame, folder: str, most_rounds: int = 60) -> DataFrame:
@@ -47,4 +52,4 @@ def connected_components(edges: DataFrame, folder: str, most_rounds: int = 60) -
 def component_labels(nodes: DataFrame, edges: DataFrame, folder: str) -> DataFrame:
     """``nodes(node)`` with ``component``, the least node reachable; a node without edges is its own."""
     found = connected_components(edges, folder)
-    return nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+    return nodes.join(found.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
