@@ -111,31 +111,24 @@ def radius_counts(points: DataFrame, coords: Sequence[str], radius: float, id_co
 def nearest_by_grid(queries: DataFrame, points: DataFrame, coords: Sequence[str], start: float, *, most: float | None = None, salts: int = 4) -> DataFrame:
     """``queries(query_id, coords)`` to (query_id, point_id, distance) of the nearest of ``points(point_id, coords)``.
 
-    The radius doubles from ``start``; a query leaves when a point lies within it, so the nearest is
-    exact. Rounds go on until all have left or the radius is above ``most``, beyond which a query has
-    no match (null), as have queries whose coordinates aren't numbers and all where there is no point.
-    Ties go to the smaller point_id. A crowded cell is dealt over ``salts`` tasks.
+    Distinct places only are searched, by blocks along a curve over the grid and a tree of their boxes, so
+    that work doesn't grow with the points about a query, however crowded a cell of side ``start`` is or
+    however far the next point. A query has no match (null) beyond ``most``, where its coordinates aren't
+    numbers, and where there is no point. Ties go to the smaller point_id. ``start`` and ``salts`` belong
+    to callers that size cells; neither changes the result.
     """
-    folder, found, radius = shared_folder(queries.sparkSession), None, float(start)
+    folder = shared_folder(queries.sparkSession)
     number = F.lit(True)
     for c in coords:
         number = number & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    points = points.filter(number).select("point_id", *coords)
-    left = queries.filter(number).select("query_id", *coords)
-    unmatched = queries.filter(~F.coalesce(number, F.lit(False))).select("query_id")
-    k, empty = 0, points.isEmpty()
-    while not empty:
-        limit = radius if most is None else min(radius, most)
-        pairs = radius_join(left, points, coords, limit, salts=salts)
-        best = pairs.groupBy("query_id").agg(F.min(F.struct("distance", "point_id")).alias("b")).select("query_id", "b.point_id", "b.distance")
-        best = stored(best, folder, f"found-{k}")
-        found = best if found is None else found.unionByName(best)
-        left = stored(left.join(best, "query_id", "left_anti"), folder, f"left-{k}")
-        if left.isEmpty() or (most is not None and limit >= most):
-            break
-        radius, k = radius * 2, k + 1
-    rest = left.select("query_id").unionByName(unmatched).select("query_id", F.lit(None).cast("long").alias("point_id"), F.lit(None).cast("double").alias("distance"))
-    return rest if found is None else found.unionByName(rest)
+    x = F.array(*(F.col(c).cast("double") for c in coords)).alias("x")
+    there = points.filter(number & F.col("point_id").isNotNull()).groupBy(x).agg(F.min("point_id").alias("id"))
+    marked = queries.select("query_id", F.when(F.coalesce(number, F.lit(False)), x).alias("x"))
+    asked = stored(marked.filter("x IS NOT NULL").select("x").distinct().withColumn("id", F.monotonically_increasing_id()), folder, "asked")
+    found = blocks.nearest(asked, there).join(asked.withColumnRenamed("id", "query_id"), "query_id").select("x", "point_id", "distance")
+    if most is not None:
+        found = found.filter(F.col("distance") <= most)
+    return marked.join(found, "x", "left").select("query_id", "point_id", "distance")
 
 
 def clipped_nearest(queries: DataFrame, points: DataFrame, most: float) -> DataFrame:

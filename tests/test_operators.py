@@ -254,3 +254,26 @@ def test_sampling(spark):
     assert table(sampling.select_planes(planes, 2), "id") == [(1,), (3,)] and table(sampling.select_planes(planes, 1, strategy="count"), "id") == [(2,)]
     masks = spark.createDataFrame([(1, 1, 50, 0.9, 0.95), (1, 2, 20, 0.9, 0.95), (1, 3, 5, 0.1, 0.95)], "prompt int, mask_id int, area int, iou double, stability double")
     assert table(sampling.smallest_good(masks, ["prompt"]), "mask_id") == [(2,)]
+
+
+def test_components_send_no_table_through_the_driver(spark, tmp_path):
+    """A small file of many edges isn't broadcast: what a node's least neighbour is grows with the graph."""
+    path = str(tmp_path / "edges")
+    spark.range(2000).select(F.col("id").alias("u"), (F.col("id") % 3 + 5000).alias("v")).write.parquet(path)
+    plan = graph._with_least(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    found = cluster.connected_components(spark.read.parquet(path).toDF("a", "b"), f"file://{tmp_path}/work")
+    assert {(r["node"], r["root"]) for r in found.collect()} == {(n, n % 3) for n in range(2000)} | {(5000 + k, k) for k in range(3)}
+
+
+def test_nearest_in_a_crowded_cell_makes_no_pairs(spark, monkeypatch):
+    """Places of one cell and their copies are searched by blocks, not joined with all queries of the cell."""
+    monkeypatch.setattr(spatial, "radius_join", None)
+    rng = random.Random(4)
+    p = [(i, rng.random(), rng.random()) for i in range(1500)]
+    q = [(i, rng.random(), rng.random()) for i in range(700)]
+    points = spark.createDataFrame(p + [(i + 5000, x, y) for i, x, y in p] + [(9999, None, 0.5)], "point_id long, x double, y double")
+    queries = spark.createDataFrame(q + [(i + 1000, x, y) for i, x, y in q] + [(3000, None, 0.5)], "query_id long, x double, y double")
+    got = {r["query_id"]: r["point_id"] for r in spatial.nearest_by_grid(queries, points, ["x", "y"], 2.0).collect()}
+    want = {i: min(p, key=lambda r: (math.hypot(r[1] - x, r[2] - y), r[0]))[0] for i, x, y in q}
+    assert got == want | {i + 1000: v for i, v in want.items()} | {3000: None}
