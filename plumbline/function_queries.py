@@ -22,8 +22,10 @@ from plumbline.streaming import messages
 
 
 def _parts(spark, sf_dir) -> DataFrame:
+    """Small files of rows that take long to work on: they are dealt over all cores."""
     size, price, rest = F.col("p_size"), F.col("p_retailprice"), F.col("p_partkey") % 17
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (size / 10).alias("a"), (price / 1000).alias("b"), (rest / 5).alias("c"), size.cast("double").alias("x"), rest.cast("double").alias("y"), (price / 100).alias("z"))
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice").repartition(spark.sparkContext.defaultParallelism)
+    return part.select(F.col("p_partkey").alias("id"), (size / 10).alias("a"), (price / 1000).alias("b"), (rest / 5).alias("c"), size.cast("double").alias("x"), rest.cast("double").alias("y"), (price / 100).alias("z"))
 
 
 _PARTS = "WITH p AS (SELECT p_partkey AS id, p_size / 10e0 AS a, p_retailprice / 1000 AS b, (p_partkey % 17) / 5e0 AS c, cast(p_size AS double) AS x, cast(p_partkey % 17 AS double) AS y, p_retailprice / 100 AS z FROM part)"
@@ -34,7 +36,10 @@ def _xyz() -> list:
 
 
 def _out(df: DataFrame, digits: int = 5, **columns) -> DataFrame:
-    """id and rounded numbers; an array becomes a column for each name in its tuple."""
+    """id and rounded numbers; an array becomes a column for each name in its tuple, and is computed once."""
+    arrays = {f"_{name}": value for name, (value, n) in columns.items() if n}
+    df = df.select("*", *(L.col(value).alias(name) for name, value in arrays.items()))
+    columns = {name: (F.col(f"_{name}") if n else value, n) for name, (value, n) in columns.items()}
     out = []
     for name, (value, n) in columns.items():
         out += [(F.round(value, digits) + 0.0).alias(name)] if n == 0 else [(F.round(F.get(value, F.lit(i)), digits) + 0.0).alias(f"{name}{i}") for i in range(n)]
@@ -77,8 +82,9 @@ def pixels_and_depths(spark, sf_dir):
 @query(_sql({"eye": ["0e0", "0e0", "0e0"], "ahead": ["0e0", "0e0", "sqrt((x - 60) ** 2 + (y - 30) ** 2 + (z - 50) ** 2)"], "det": "1e0"}))
 def look_at_camera(spark, sf_dir):
     """The eye is at the origin, what is looked at straight ahead, and the matrix a rotation."""
-    m = camera.extrinsics_look_at(L.pack(_xyz()), L.pack([60.0, 30.0, 50.0]), L.pack([0.0, 0.0, 1.0]))
-    return _out(_parts(spark, sf_dir), eye=(L.apply_transform(m, L.pack(_xyz())), 3), ahead=(L.apply_transform(m, L.pack([60.0, 30.0, 50.0])), 3), det=(L.det(L.rotation_of(m)), 0))
+    df = _parts(spark, sf_dir).withColumn("m", camera.extrinsics_look_at(L.pack(_xyz()), L.pack([60.0, 30.0, 50.0]), L.pack([0.0, 0.0, 1.0])))
+    m = F.col("m")
+    return _out(df, eye=(L.apply_transform(m, L.pack(_xyz())), 3), ahead=(L.apply_transform(m, L.pack([60.0, 30.0, 50.0])), 3), det=(L.det(L.rotation_of(m)), 0))
 
 
 @query(_sql({"w": ["(x + 0.5 - 320) / 800 * z + 1", "(y + 0.5 - 240) / 800 * z + 2", "z + 3"]}, 10))
@@ -116,10 +122,10 @@ def quaternion_laws(spark, sf_dir):
         round(w, 6) + 0e0 AS q0, round(i, 6) + 0e0 AS q1, round(j, 6) + 0e0 AS q2, round(k, 6) + 0e0 AS q3 FROM q""")
 def quaternion_matrix(spark, sf_dir):
     q = R.quat_normalize(L.pack([F.col("a") + 0.3, F.col("b"), F.col("c"), F.lit(0.7)]))
-    m = R.quaternion_to_matrix(q)
-    back = R.matrix_to_quaternion(m)
+    df = _parts(spark, sf_dir).withColumn("m", R.quaternion_to_matrix(q)).withColumn("back", R.matrix_to_quaternion("m"))
+    m, back = F.col("m"), F.col("back")
     sign = F.signum(F.get(back, F.lit(0)))
-    return _out(_parts(spark, sf_dir), 6, m=(m, 9), q=(L.scale(back, sign, 4), 4))
+    return _out(df, 6, m=(m, 9), q=(L.scale(back, sign, 4), 4))
 
 
 @query(f"""{_PARTS}, t AS (SELECT id, x, y, z, a / 10 AS u, b / 10 AS v, c / 10 + 0.1 AS w FROM p), r AS (SELECT *, sqrt(u * u + v * v + w * w) AS n FROM t), k AS (SELECT *, u / n AS i, v / n AS j, w / n AS k, cos(n) AS co, sin(n) AS si, (u * x + v * y + w * z) / n AS d FROM r)
@@ -128,8 +134,8 @@ def quaternion_matrix(spark, sf_dir):
 def axis_angles(spark, sf_dir):
     """Rodrigues' formula, and back through a matrix and a quaternion."""
     v = L.pack([F.col("a") / 10, F.col("b") / 10, F.col("c") / 10 + 0.1])
-    m = R.axis_angle_to_matrix(v)
-    return _out(_parts(spark, sf_dir), p=(L.matvec(m, _xyz(), 3), 3), v=(R.matrix_to_axis_angle(m), 3), w=(R.quaternion_to_axis_angle(R.axis_angle_to_quaternion(v)), 3))
+    df, m = _parts(spark, sf_dir).withColumn("m", R.axis_angle_to_matrix(v)), F.col("m")
+    return _out(df, p=(L.matvec(m, _xyz(), 3), 3), v=(R.matrix_to_axis_angle(m), 3), w=(R.quaternion_to_axis_angle(R.axis_angle_to_quaternion(v)), 3))
 
 
 @query(_sql({"t": ["a / 10", "b / 10 - 0.1", "c / 10"], "r": ["a / 10", "b / 10 - 0.1", "c / 10"]}))
@@ -174,13 +180,14 @@ def rigid_motions(spark, sf_dir):
 @query(_sql({"d": "0e0", "body": ["x", "y", "z"]}))
 def moved_planes(spark, sf_dir):
     """A plane through a point, moved, passes through the moved point."""
-    turn, shift = R.axis_angle_to_matrix(L.pack([F.col("a") / 10, F.col("b") / 10, F.col("c") / 10 + 0.1])), L.pack([F.col("a"), F.col("b"), F.col("c")])
+    df = _parts(spark, sf_dir).withColumn("turn", R.axis_angle_to_matrix(L.pack([F.col("a") / 10, F.col("b") / 10, F.col("c") / 10 + 0.1])))
+    turn, shift = F.col("turn"), L.pack([F.col("a"), F.col("b"), F.col("c")])
     t = L.to_4x4(turn, shift)
     plane = L.pack([0.0, 0.6, 0.8, -(F.col("y") * 0.6 + F.col("z") * 0.8)])
-    moved, p = R.transform_plane(plane, t), L.apply_transform(t, L.pack(_xyz()))
-    e = L.entries(moved, 4)
-    there = R.points_to_world(L.pack(_xyz()), turn, shift)
-    return _out(_parts(spark, sf_dir), 4, d=(L.dot(e[:3], p) + e[3], 0), body=(R.points_to_body(there, turn, shift), 3))
+    df = df.withColumn("moved", R.transform_plane(plane, t)).withColumn("p", L.apply_transform(t, L.pack(_xyz())))
+    df = df.withColumn("there", R.points_to_world(L.pack(_xyz()), turn, shift))
+    e, p, there = L.entries("moved", 4), F.col("p"), F.col("there")
+    return _out(df, 4, d=(L.dot(e[:3], p) + e[3], 0), body=(R.points_to_body(there, turn, shift), 3))
 
 
 @query(_sql({"p": ["2 * pow(abs(cos(c)), 0.5) * sign(cos(c)) * pow(abs(cos(a)), 0.8) * sign(cos(a))", "3 * pow(abs(cos(c)), 0.5) * sign(cos(c)) * pow(abs(sin(a)), 0.8) * sign(sin(a))", "pow(abs(sin(c)), 0.5) * sign(sin(c))"]}))
@@ -785,9 +792,10 @@ def euler_orders(spark, sf_dir):
 def least_rotations(spark, sf_dir):
     """One vector goes to the other, the axis across both stays, and the trace tells the angle."""
     u = [F.col("x"), F.col("y") + 1, F.col("z")]
-    m, v = R.rotation_from_vectors(L.pack(u), L.pack([1.0, 2.0, 3.0])), [F.lit(1.0), F.lit(2.0), F.lit(3.0)]
+    df = _parts(spark, sf_dir).withColumn("m", R.rotation_from_vectors(L.pack(u), L.pack([1.0, 2.0, 3.0])))
+    m, v = F.col("m"), [F.lit(1.0), F.lit(2.0), F.lit(3.0)]
     e = L.entries(m, 9)
-    return _out(_parts(spark, sf_dir), to=(L.matvec(m, L.normalize(L.pack(u)), 3), 3), axis=(L.matvec(m, L.cross(u, v), 3), 3), trace=(e[0] + e[4] + e[8], 0))
+    return _out(df, to=(L.matvec(m, L.normalize(L.pack(u)), 3), 3), axis=(L.matvec(m, L.cross(u, v), 3), 3), trace=(e[0] + e[4] + e[8], 0))
 
 
 @query(_sql({"p": ["0e0", "(y + (y + a * z) / (1 + a * a)) / 2", "(z + a * (y + a * z) / (1 + a * a)) / 2"], "s": "-x", "t": "(y + a * z) / (1 + a * a)"}))

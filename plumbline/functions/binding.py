@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters of an expression's text from which on it is bound.
-LIMIT = 1000
+LIMIT = 500
 
 
 def size_of(a) -> int:

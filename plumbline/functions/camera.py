@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import linalg as L
-from plumbline.functions.binding import bind_all
+from plumbline.functions.binding import bind_all, binds
 from plumbline.functions.linalg import entries, num, pack
 
 
@@ -76,9 +76,14 @@ def pose_of(transform) -> tuple[Column, Column]:
     return matrix_to_quaternion(L.rotation_of(transform)), L.translation_of(transform)
 
 
-def _frame(x, y, z, eye) -> Column:
-    r = [*entries(L.normalize(x), 3), *entries(L.normalize(y), 3), *entries(L.normalize(z), 3)]
-    e = entries(eye, 3)
+@binds
+def _frame(x, z, eye) -> Column:
+    axes = (L.normalize(v) for v in (x, L.cross(z, x), z))
+    return _framed([v for a in axes for v in entries(a, 3)], entries(eye, 3))
+
+
+@binds
+def _framed(r, e) -> Column:
     return L.se3_matrix(r, [-L.add_all([r[3 * i + j] * e[j] for j in range(3)]) for i in range(3)])
 
 
@@ -86,14 +91,14 @@ def view_look_at(eye, look_at, up) -> Column:
     """OpenGL view matrix: the camera looks along -z."""
     z = L.sub(eye, look_at)
     x = L.cross(up, z)
-    return _frame(x, L.cross(z, x), z, eye)
+    return _frame(x, z, eye)
 
 
 def extrinsics_look_at(eye, look_at, up) -> Column:
     """OpenCV extrinsics: the camera looks along z, y points down."""
     z = L.sub(look_at, eye)
     x = L.cross(L.scale(up, -1), z)
-    return _frame(x, L.cross(z, x), z, eye)
+    return _frame(x, z, eye)
 
 
 def perspective_to_intrinsics(p) -> Column:

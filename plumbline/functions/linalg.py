@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plumbline.functions.binding import bind_all
+from plumbline.functions.binding import bind_all, binds
 
 Entries = list[Column]
 
@@ -72,8 +72,12 @@ def scale(a, s, n: int = 3) -> Column:
 def normalize(a, n: int = 3, eps: float = 0.0) -> Column:
     """Unit vector; null for a zero vector, or divided by eps at least if eps is given."""
     size = norm(a, n)
-    size = F.greatest(size, F.lit(eps)) if eps else F.when(size > 0, size)
-    return pack([x / size for x in entries(a, n)])
+    return _divided(entries(a, n), F.greatest(size, F.lit(eps)) if eps else F.when(size > 0, size))
+
+
+@binds
+def _divided(a, size) -> Column:
+    return pack([x / size for x in a])
 
 
 def distance(a, b, n: int = 3) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plumbline.functions import linalg as L
-from plumbline.functions.binding import bind_all
+from plumbline.functions.binding import bind_all, binds
 from plumbline.functions.linalg import entries, num, pack
 
 #: Below this squared angle series replace quotients.
@@ -45,7 +45,12 @@ def quat_rotate(q, v) -> Column:
 
 
 def quaternion_to_matrix(q) -> Column:
-    w, x, y, z = entries(quat_normalize(q), 4)
+    return _unit_to_matrix(quat_normalize(q))
+
+
+@binds
+def _unit_to_matrix(q) -> Column:
+    w, x, y, z = entries(q, 4)
     return pack([1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y), 2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x), 2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)])
 
 
@@ -56,7 +61,11 @@ def matrix_to_quaternion(m) -> Column:
     """From the largest component, so no branch divides by a small number."""
     m = entries(m, 9)
     root = [1 + m[0] + m[4] + m[8], 1 + m[0] - m[4] - m[8], 1 - m[0] + m[4] - m[8], 1 - m[0] - m[4] + m[8]]
-    big = F.greatest(*root)
+    return quat_normalize(_by_largest(m, root, F.greatest(*root)))
+
+
+@binds
+def _by_largest(m, root, big) -> Column:
     s = F.sqrt(big)
     a = 0.5 / s
     branch = [
@@ -66,7 +75,7 @@ def matrix_to_quaternion(m) -> Column:
         [(m[3] - m[1]) * a, (m[2] + m[6]) * a, (m[5] + m[7]) * a, 0.5 * s],
     ]
     found = F.when(root[0] >= big, pack(branch[0])).when(root[1] >= big, pack(branch[1])).when(root[2] >= big, pack(branch[2]))
-    return quat_normalize(found.otherwise(pack(branch[3])))
+    return found.otherwise(pack(branch[3]))
 
 
 def xyzw_to_wxyz(q) -> Column:
@@ -89,21 +98,29 @@ def quat_rotate_xyzw(q, v) -> Column:
 
 def axis_angle_to_quaternion(v) -> Column:
     v = entries(v, 3)
-    square = L.dot(v, v)
+    return _half_turn(v, L.dot(v, v))
+
+
+@binds
+def _half_turn(v, square) -> Column:
     angle = F.sqrt(square)
     small = square < TINY
     k = _select(small, 0.5 - square / 48, F.sin(angle / 2) / F.when(~small, angle))
-    return pack([_select(small, 1 - square / 8, F.cos(angle / 2)), *(x * k for x in v)])
+    return pack([_select(small, 1 - square / 8, F.cos(angle / 2)), *entries(L.scale(v, k), 3)])
 
 
 def quaternion_to_axis_angle(q) -> Column:
     """The angle lies in [-pi, pi]."""
     w, *v = entries(q, 4)
-    size = L.norm(v)
+    return _axis_angle(w, v, L.norm(v))
+
+
+@binds
+def _axis_angle(w, v, size) -> Column:
     small = size < 1e-7
     angle = 2 * F.atan2(F.when(w < 0, -size).otherwise(size), F.abs(w))
     k = _select(small, F.when(w != 0, 2 / w), angle / F.when(~small, size))
-    return pack([x * k for x in v])
+    return L.scale(v, k)
 
 
 def axis_angle_to_matrix(v) -> Column:
@@ -116,10 +133,18 @@ def matrix_to_axis_angle(m) -> Column:
 
 def rotation_from_vectors(a, b) -> Column:
     """The least rotation that turns a's direction into b's; null for opposite ones."""
-    a, b = L.normalize(a), L.normalize(b)
-    v, c = entries(L.cross(a, b), 3), L.dot(a, b)
-    k = 1 / F.when(c > -1, 1 + c)
-    x, y, z = v
+    return _least_turn(L.normalize(a), L.normalize(b))
+
+
+@binds
+def _least_turn(a, b) -> Column:
+    c = L.dot(a, b)
+    return _turn_across(L.cross(a, b), 1 / F.when(c > -1, 1 + c))
+
+
+@binds
+def _turn_across(v, k) -> Column:
+    x, y, z = entries(v, 3)
     return pack([1 - k * (y * y + z * z), k * x * y - z, k * x * z + y, k * x * y + z, 1 - k * (x * x + z * z), k * y * z - x, k * x * z - y, k * y * z + x, 1 - k * (x * x + y * y)])
 
 
@@ -168,17 +193,30 @@ def lerp(a, b, t, n: int = 3) -> Column:
     return pack([x + num(t) * (y - x) for x, y in zip(entries(a, n), entries(b, n), strict=True)])
 
 
+@binds
 def _slerp(a, b, t, n: int) -> Column:
-    d = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), L.dot(a, b, n)))
+    return _along(entries(a, n), entries(b, n), t, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), L.dot(a, b, n))))
+
+
+@binds
+def _along(a, b, t, d) -> Column:
     theta = F.acos(d) * num(t)
-    rest = [y - x * d for x, y in zip(entries(a, n), entries(b, n), strict=True)]
-    size = F.greatest(L.norm(rest, n), F.lit(1e-12))
-    return pack([x * F.cos(theta) + y / size * F.sin(theta) for x, y in zip(entries(a, n), rest, strict=True)])
+    rest = [y - x * d for x, y in zip(a, b, strict=True)]
+    return _mixed(a, rest, F.cos(theta), F.sin(theta), F.greatest(L.norm(rest, len(rest)), F.lit(1e-12)))
+
+
+@binds
+def _mixed(a, rest, c, s, size) -> Column:
+    return pack([x * c + y / size * s for x, y in zip(a, rest, strict=True)])
 
 
 def slerp_quaternion(a, b, t) -> Column:
     """Along the shorter arc: the second quaternion is flipped if the dot product is negative."""
-    a, b = quat_normalize(a), quat_normalize(b)
+    return _shorter(quat_normalize(a), quat_normalize(b), t)
+
+
+@binds
+def _shorter(a, b, t) -> Column:
     sign = F.when(L.dot(a, b, 4) < 0, -1.0).otherwise(1.0)
     return _slerp(a, L.scale(b, sign, 4), t, 4)
 
@@ -420,7 +458,11 @@ def se3_inverse(g) -> Column:
 def _se3_v(v, inverse: bool) -> Column:
     """The matrix between a tangent's translation and the motion's, or its inverse."""
     v = entries(v, 3)
-    square = L.dot(v, v)
+    return _se3_terms(v, L.dot(v, v), inverse)
+
+
+@binds
+def _se3_terms(v, square, inverse: bool) -> Column:
     angle, small = F.sqrt(square), square < 1e-6
     t2 = F.when(~small, square)
     t = F.when(~small, angle)
@@ -430,6 +472,11 @@ def _se3_v(v, inverse: bool) -> Column:
     else:
         first = _select(small, 0.5 - square / 24, (1 - F.cos(t)) / t2)
         second = _select(small, 1.0 / 6 - square / 120, (t - F.sin(t)) / (t2 * t))
+    return _se3_mixed(v, first, second)
+
+
+@binds
+def _se3_mixed(v, first, second) -> Column:
     k = entries(L.skew(v), 9)
     k2 = entries(L.matmul(k, k, 3, 3, 3), 9)
     return pack([float(i in (0, 4, 8)) + first * a + second * b for i, (a, b) in enumerate(zip(k, k2, strict=True))])
@@ -470,8 +517,12 @@ def se3_sample(key, seed: int = 0) -> Column:
 def transform_plane(plane, transform) -> Column:
     """A plane n.p + d = 0 in the frame that ``transform`` maps to."""
     n = entries(plane, 4)
-    turned = entries(L.matvec(L.rotation_of(transform), n[:3], 3), 3)
-    return pack([*turned, n[3] - L.dot(turned, L.translation_of(transform))])
+    return _plane_through(L.matvec(L.rotation_of(transform), n[:3], 3), n[3], L.translation_of(transform))
+
+
+@binds
+def _plane_through(turned, d, shift) -> Column:
+    return pack([*entries(turned, 3), d - L.dot(turned, shift)])
 
 
 def points_to_body(point, rotation, translation) -> Column:

@@ -145,3 +145,13 @@ def test_superquadrics(spark):
     assert S.surface_samples(primitives, 4, 8).count() == 32 and S.random_samples(primitives, 10).count() == 10
     arc = S.equal_arc_angles(spark.createDataFrame([(1, 1.0, 1.0, 1.0)], "prim_id long, eps double, a double, b double"), 0.1).orderBy("k").collect()
     assert arc[0]["theta"] == 0 and abs(arc[3]["theta"] - 0.3) < 0.01
+
+
+def test_composed_functions_stay_small(spark):
+    """Intermediate values are bound, so that a composition doesn't repeat them in every entry."""
+    m = R.axis_angle_to_matrix(L.pack([F.col("a"), F.col("b"), F.col("c") + 0.1]))
+    t = L.to_4x4(m, L.pack([F.col("a"), F.col("b"), F.col("c")]))
+    half = R.lerp_se3_matrix(L.identity(4), t, F.lit(0.5))
+    seen = C.extrinsics_look_at(L.pack([F.col("a"), F.col("b"), F.col("c")]), L.pack([60.0, 30.0, 50.0]), L.pack([0.0, 0.0, 1.0]))
+    assert len(half._jc.toString()) < 100_000
+    assert len(seen._jc.toString()) < 20_000
