@@ -158,6 +158,13 @@ def chamfer(a: DataFrame, b: DataFrame, *, power: int = 2, reduction: str = "mea
     return one.join(two).select("forward", "backward", (F.col("forward") + F.col("backward")).alias("chamfer"))
 
 
+def chamfer_l1_l2(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Both one-way mean distances, their sum, and the sum of mean squared distances (``l2``), by one search each way."""
+    d = F.col("distance")
+    one, two = (blocks.nearest(x, y).agg(F.avg(d).alias(n), F.avg(d * d).alias(f"_{n}")) for x, y, n in ((a, b, "forward"), (b, a, "backward")))
+    return one.join(two).select("forward", "backward", (F.col("forward") + F.col("backward")).alias("chamfer"), (F.col("_forward") + F.col("_backward")).alias("l2"))
+
+
 def chamfer_normals(a: DataFrame, b: DataFrame, weight: str | None = None) -> DataFrame:
     """Both one-way means over ``(id, x, n)`` sets of 1 - |cos| of a row's normal and its nearest row's, and their sum.
 

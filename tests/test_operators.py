@@ -290,3 +290,11 @@ def test_copies_of_a_place_make_no_pairs(spark, tmp_path):
     assert got == {4 * i + k: (k < 3, 0 if k < 3 else None) for i in range(100) for k in range(4)} | {1000: (False, None), 1001: (False, None)}
     whole = {r["node"]: r["component"] for r in cluster.eps_components(points, ["x", "y"], 1.5, f"file://{tmp_path}/eps").collect()}
     assert whole == {4 * i + k: 0 if k < 3 else 3 for i in range(100) for k in range(4)} | {1000: 1000, 1001: 1001}
+
+
+def test_chamfer_both_ways_searches_once_each_way(spark, monkeypatch):
+    points = lambda xs: spark.createDataFrame([(i, [x]) for i, x in enumerate(xs)], "id long, x array<double>")
+    seen, search = [], blocks.nearest
+    monkeypatch.setattr(blocks, "nearest", lambda *a, **o: seen.append(a) or search(*a, **o))
+    got = spatial.chamfer_l1_l2(points([0.0, 4.0]), points([1.0])).first()
+    assert (got["forward"], got["backward"], got["chamfer"], got["l2"]) == (2.0, 1.0, 3.0, 6.0) and len(seen) == 2
