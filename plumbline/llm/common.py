@@ -164,7 +164,7 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
     hot = table.filter(F.col("n") * HOT > total).drop("n")
-    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.filter(F.col("n") * HOT <= total).drop("n"), key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.filter(F.col("n") * HOT <= total).drop("n").hint("merge"), key)
     return rows.join(F.broadcast(hot), key).unionByName(others)
 
 

@@ -192,7 +192,7 @@ def links(fps: DataFrame, *, bits: int = 4, exact: int = 3, most: int | None = N
         keys.append(F.struct(key.alias("key"), F.lit(n).alias("set")))
     keyed = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.key", "k.set")
     several = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = keyed.join(several, "key").select("key", "set", "n", "fp")
+    members = keyed.join(several.hint("merge"), "key").select("key", "set", "n", "fp")
     # a crowded group's members go by one of bits + 1 parts of the other bits too, of which two within the bound share one
     most, able = CROWDED if most is None else most, 64 - WIDTH * exact > bits
     if able:
@@ -227,10 +227,11 @@ def grouped(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", s
     fps = stored(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), folder, "distinct")
     exact = exact or (3 if fps.count() <= MANY else 4)
     found = connected_components(links(fps.select("fp"), bits=bits, exact=exact), folder)
-    joined = fps.join(found.withColumnRenamed("node", "fp"), "fp")
+    # tables of a row a fingerprint grow with the input: merge joins, nothing of them through the driver
+    joined = fps.join(found.withColumnRenamed("node", "fp").hint("merge"), "fp")
     parts = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked_fps = joined.select("fp", "root").join(parts, "root").select("fp", "root", "component_id")
-    of_fp = fps.join(linked_fps, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("group"), F.coalesce("component_id", "least").alias("component_id"))
+    linked_fps = joined.select("fp", "root").join(parts.hint("merge"), "root").select("fp", "root", "component_id")
+    of_fp = fps.join(linked_fps.hint("merge"), "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("group"), F.coalesce("component_id", "least").alias("component_id"))
     return join_counted(marked, stored(of_fp, folder, "components"), "fp").select("id", "text_hash", "fp", "group", "component_id")
 
 
