@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import aggregates, blocks, cluster, graph, mesh, numbering, pixels, primitives, sampling, sequence, spatial
-from plumbline.storage import shared_folder
+from plumbline.storage import shared_folder, stored
 
 
 def table(df, *columns):
@@ -298,3 +298,17 @@ def test_chamfer_both_ways_searches_once_each_way(spark, monkeypatch):
     monkeypatch.setattr(blocks, "nearest", lambda *a, **o: seen.append(a) or search(*a, **o))
     got = spatial.chamfer_l1_l2(points([0.0, 4.0]), points([1.0])).first()
     assert (got["forward"], got["backward"], got["chamfer"], got["l2"]) == (2.0, 1.0, 3.0, 6.0) and len(seen) == 2
+
+
+def test_edges_that_form_stars_take_no_round(spark, tmp_path, monkeypatch):
+    """Rounds end with stars, not with a round that changes nothing; a round has few joins."""
+    written = []
+    monkeypatch.setattr(graph, "stored", lambda df, folder, name: written.append((name, df)) or stored(df, folder, name))
+    stars = spark.createDataFrame([(1, k) for k in range(2, 40)] + [(50, 41), (None, 3), (60, 60)], "a long, b long")
+    found = graph.connected_components(stars, f"file://{tmp_path}/stars").collect()
+    assert sorted(tuple(r) for r in found) == sorted([(k, 1) for k in range(1, 40)] + [(41, 41), (50, 41)])
+    assert [n for n, _ in written] == ["edges-0"]
+    written.clear()
+    path = spark.createDataFrame([(k, k + 1) for k in range(30)], "a long, b long")
+    assert sorted(tuple(r) for r in graph.connected_components(path, f"file://{tmp_path}/path").collect()) == [(k, 0) for k in range(31)]
+    assert written[1][1]._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 3
