@@ -44,6 +44,35 @@ def test_overlapping_and_empty_runs(spark):
     assert runs.new_keys(spark.range(3), spark.range(1, 5), ["id"]).count() == 2 and runs.common_keys(spark.range(3), spark.range(1, 5), ["id"]).count() == 2
 
 
+def test_places_and_ends_are_held_in_no_table(spark):
+    """Masks are encoded and swept in sorted order: only a key's sums are aggregated, of which there are few."""
+    r = masks(spark, {"a": [3, 4, 4, 5, 9, None], "b": [-1, 0]})
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan(r)
+    assert "Aggregate" not in plan(runs.combine(r, r, ["m"], "union"))
+    assert plan(runs.scores(r, r, ["m"])).count("Aggregate") == 1
+
+
+def test_all_operations_from_one_sweep(spark):
+    r = random.Random(5)
+    a, b = ({k: {r.randrange(-20, 40) for _ in range(r.randrange(50))} for k in keys} for keys in ("uvwx", "vwxy"))
+    left, right = masks(spark, a), masks(spark, b)
+    got = runs.algebra(left, right, ["m"])
+    want = None
+    for how in ("union", "intersection", "difference", "symmetric"):
+        one = runs.combine(left, right, ["m"], how).withColumn("how", F.lit(how))
+        want = one if want is None else want.unionByName(one)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Union") == 1
+
+
+def test_shared_areas_need_no_join(spark):
+    data = spark.createDataFrame([("i", 0, 10), ("i", 5, 12), ("i", 5, 5), ("i", 20, 21), ("i", 12, 13), (None, 1, 3), ("e", 4, 4)], "image string, start long, end long")
+    got = runs.shared_areas(data, ["image"])
+    assert {tuple(x) for x in got.collect()} == {("i", 14, 5, 2, 2), (None, 2, 0, 1, 1)}
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize(("shape", "size", "stride", "padding"), [((9,), 3, 2, 1), ((7, 8), (3, 2), (1, 2), (1, 0)), ((5, 6, 4), (2, 3, 2), (2, 1, 1), (1, 1, 0))])
 def test_pooling_over_axes(spark, shape, size, stride, padding):
     x = np.random.default_rng(3).normal(0, 1, shape)
