@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -168,11 +169,30 @@ def reestimated_offsets(planes: DataFrame, samples: DataFrame, most: float) -> D
 
 
 def segment_modes(df: DataFrame, by: Sequence[str], value: str, spread: str, *, share: float = 0.5, most: float = 1e-3) -> DataFrame:
-    """Most frequent value of each segment (least of equals) if it holds over ``share`` of it and ``spread`` varies little."""
+    """Most frequent value of each segment (least of equals) if it holds over ``share`` of it and ``spread`` varies little.
+
+    Where all of a segment's spread are below 10^4 and have four decimals at most, the variance is taken from whole
+    numbers and held against ``most`` without rounding, so one equal to it isn't below it in whatever order rows come.
+    """
     counts = df.groupBy(*by, value).agg(F.count("*").alias("n"))
     top = counts.groupBy(*by).agg(F.max(F.struct("n", (-F.col(value)).alias("v"))).alias("b"), F.sum("n").alias("total"))
-    varied = df.groupBy(*by).agg(F.coalesce(F.var_samp(spread), F.lit(0.0)).alias("variance"))
-    return top.join(varied, list(by)).filter((F.col("b.n") > share * F.col("total")) & (F.col("variance") < most)).select(*by, (-F.col("b.v")).alias(value), "variance")
+    short = F.col(spread).try_cast("decimal(8,4)")
+    exact = F.coalesce(short.cast("double") == F.col(spread).cast("double"), F.col(spread).isNull())
+    units = F.when(exact, (short * 10000).cast("long"))
+    varied = df.select(*by, F.col(spread).alias("_x"), exact.alias("_exact"), units.alias("_u")).groupBy(*by).agg(
+        F.every("_exact").alias("_exact"),
+        F.count("_x").cast("decimal(11,0)").alias("_k"),
+        F.sum("_u").cast("decimal(19,0)").alias("_s"),
+        F.sum((F.col("_u") * F.col("_u")).cast("decimal(17,0)")).alias("_q"),
+        F.coalesce(F.var_samp("_x"), F.lit(0.0)).alias("_rounded"),
+    )
+    # of k whole numbers: k (k - 1) times the variance
+    whole = F.when(F.col("_exact") & (F.col("_k") > 1), F.col("_k") * F.col("_q") - F.col("_s") * F.col("_s"))
+    pairs = F.col("_k") * (F.col("_k") - 1)
+    below = F.coalesce(whole < pairs * F.lit(Decimal(str(most)) * 10**8), F.col("_rounded") < most)
+    variance = F.coalesce(F.try_divide(whole.cast("double"), pairs.cast("double")) / 1e8, "_rounded")
+    varied = varied.select(*by, below.alias("_below"), variance.alias("variance"))
+    return top.join(varied, list(by)).filter((F.col("b.n") > share * F.col("total")) & F.col("_below")).select(*by, (-F.col("b.v")).alias(value), "variance")
 
 
 def contact_report(contacts: DataFrame) -> DataFrame:

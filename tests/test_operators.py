@@ -343,3 +343,16 @@ def test_a_hull_makes_no_array_for_each_point(monkeypatch):
     p = np.random.default_rng(9).random((500, 2))
     hull = primitives.convex_hull(np.concatenate([p, [[-1.0, -1.0], [2.0, -1.0], [2.0, 2.0], [-1.0, 2.0], [0.5, -1.0]]]))
     assert hull.tolist() == [[-1.0, -1.0], [2.0, -1.0], [2.0, 2.0], [-1.0, 2.0]]
+
+
+def test_variance_equal_to_the_bound_is_not_below_it(spark):
+    """Discounts of variance 0.001, which doubles put on either side of it by the order of additions."""
+    equal = [2, 9, 1, 8, 10, 8, 7, 2, 3, 3, 8, 1, 4, 0, 9, 9, 5, 5, 8, 3, 7, 8, 4, 8, 2, 9, 4, 8, 2, 7, 1, 1, 7, 1, 1]
+    rows = [("odd", v) for v in (1e9, 1e9 + 0.01, None)] + [("one", 0.5), ("none", None), ("nan", float("nan")), ("nan", 0.1)]
+    rows += [("tiny", v) for v in (1e-7, 3e-7)] + [("wide", v) for v in (0.0, 0.1)] + [("near", v) for v in (0.0, 0.0447)]
+    for seed in range(8):
+        rows += [(f"equal-{seed}", v / 100) for v in random.Random(seed).sample(equal, len(equal))]
+    df = spark.createDataFrame([(g, 1, v) for g, v in rows], "seg string, proto int, x double").coalesce(1)
+    found = {r["seg"]: r["variance"] for r in aggregates.segment_modes(df, ["seg"], "proto", "x").collect()}
+    assert found.keys() == {"odd", "one", "none", "tiny", "near"}
+    assert found["one"] == found["none"] == 0.0 and found["near"] == pytest.approx(0.0447**2 / 2) and found["tiny"] == pytest.approx(2e-14)
